@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm import chat, fingerprints, langid, mixing, neardup, packing, quality, records, secrets, urlrules
@@ -51,12 +51,15 @@ def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rule"] < secrets.BASE)
-    counts = [F.coalesce(F.size(F.filter("spans", lambda s, k=k: s["rule"] == k)), F.lit(0)).cast("long").alias(f"n_{secrets.RULES[k].kind}") for k in range(secrets.BASE)]
-    none = F.col("spans").isNull()
-    counts = [F.when(none, F.lit(0).cast("long")).otherwise(c).alias(f"n_{secrets.RULES[k].kind}") for k, c in enumerate(counts)]
+    counts = [_count(k).alias(f"n_{secrets.RULES[k].kind}") for k in range(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def _count(rule: int) -> Column:
+    n = F.size(F.filter("spans", lambda s: s["rule"] == rule))
+    return F.when(F.col("spans").isNull(), 0).otherwise(n).cast("long")
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = records.write(table(spark, sf_dir, "documents"), shared_dir(spark, "records"), public_tokenizers.path(WORD_BPE), "word", end_id=1)
     return records.read(spark, shards)
