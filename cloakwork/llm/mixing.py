@@ -64,12 +64,13 @@ def tempered(docs: DataFrame, power: float = 0.5) -> dict[str | None, float]:
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 8, prefix: int = 3) -> DataFrame:
-    """docs with source_rank, block, slot and place (slot * block size + rank in the block; unique but for repeats
-    of a place of an absent document). Sources without a weight are an error.
+    """docs with source_rank, block, slot and place (slot * block size + rank in the block), which replace columns of
+    these names. Sources without a weight are an error.
 
     prefix: digits of the md5 by which a source is split.
     """
     spark = docs.sparkSession
+    docs = docs.drop("source_rank", "block", "slot", "place")
     weights = tempered(docs) if weights is None else weights
     if not weights:
         return docs.select("*", *(F.lit(None).cast("long").alias(c) for c in ("source_rank", "block", "slot", "place")))
@@ -101,7 +102,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 8) -> DataFrame:
     """docs, all rows and the same columns, in the order of the schedule."""
-    place = free_name(docs.columns, "place")
-    if place != "place":
-        raise ValueError("rename the column place")
-    return mix(docs, weights, block).orderBy("place").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source")
+    return mix(whole, weights, block).orderBy("place").select("row.*")

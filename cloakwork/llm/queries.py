@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import chat, fingerprints, langid, mixing, neardup, packing, quality, records, secrets, urlrules
+from cloakwork.llm import chat, fingerprints, langid, mixing, neardup, oracle, packing, quality, records, secrets, urlrules
 from cloakwork.llm.shared import shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": oracle.QUALITY, "op5_neardup": oracle.NEARDUP, "op8_secrets": oracle.SECRETS, "op10_mixing": oracle.MIXING}
