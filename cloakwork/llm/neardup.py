@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     tiles = F.filter(tiles, lambda t: (t["a"] != t["b"]) | (F.col("blocks") == 1))
     dealt = hot_join(groups, sizes, "component").withColumn("blocks", blocks).withColumn("own", own).select("component", F.col("id").alias("rid"), F.explode(tiles).alias("t")).select("rid", F.xxhash64("component", "t.a", "t.b").alias("tile"))
     members = groups.select(F.col("id").alias("rid")).distinct()
-    texts = docs.join(members, docs["doc_id"] == members["rid"]).select("rid", "text")
+    # never by broadcast: the members grow with the documents
+    texts = docs.hint("merge").join(members, docs["doc_id"] == members["rid"]).select("rid", "text")
     tasks = texts.join(dealt, "rid").select("tile", "rid", "text")
     confirmed = tasks.repartition("tile").sortWithinPartitions("tile", "rid").mapInArrow(_confirm(shingle, num, den), "u long, v long")
     found = components(cut(confirmed, "links"))
