@@ -62,7 +62,7 @@ def notes_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """note_id (the file's stem) and note_text of every .txt file."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("note_id"), F.col("value").alias("note_text"))
 
 
