@@ -34,7 +34,7 @@ from cloakwork.llm.tokens import batches
 #: Cells of a fingerprint (a multiple of 3), growth after a failure, words of a long sentence's part.
 CELLS, GROWTH, SENTENCE = 48, 4, 16
 #: Characters sketched at a time.
-SLICE = 2_000_000
+SLICE = 400_000
 _END = re.compile(r"\n\s*|(?<=[.!?])\s+")
 _PART = re.compile(rf"(?:\S+\s*){{1,{SENTENCE}}}")
 _CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
@@ -52,17 +52,22 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """64-bit digests, none 0 or twice, of the text's paragraphs."""
+    """64-bit digests of the text's paragraphs, none twice: a repeated one would never peel."""
     parts = paragraphs(text)
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     if len(set(parts)) < len(parts):
         seen: Counter[str] = Counter()
-        hashes = []
-        for p in parts:
-            hashes.append(xxhash.xxh3_64_intdigest(p, seen[p]))
+        before = np.empty(len(parts), np.uint64)
+        for i, p in enumerate(parts):
+            before[i] = seen[p]
             seen[p] += 1
-    else:
-        hashes = list(map(xxhash.xxh3_64_intdigest, parts))
-    return np.fromiter(hashes, np.uint64, len(hashes)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            keys = np.where(before > 0, mix64(keys + before * np.uint64(0x9E3779B97F4A7C15)), keys)
+    while len(first := np.unique(keys, return_index=True)[1]) < len(keys):  # two hashes met by chance
+        again = np.ones(len(keys), bool)
+        again[first] = False
+        keys[again] = mix64(keys[again] + np.uint64(1))
+    return keys
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
@@ -114,7 +119,8 @@ class Sketches:
                 pure = np.where(sign > 0, self.check[look], -self.check[look]) == _check(k)
             look, k, sign = look[pure], k[pure], sign[pure]
             doc = owner[look]
-            _, first = np.unique(np.stack([doc.astype(np.uint64), k]), axis=1, return_index=True) if len(k) else (0, np.empty(0, int))
+            with np.errstate(over="ignore"):  # a digest may stand alone in several cells
+                _, first = np.unique(k + doc.astype(np.uint64) * _SALTS[0], return_index=True)
             doc, k, sign = doc[first], k[first], sign[first]
             if not len(k):
                 break

@@ -31,6 +31,13 @@ def test_likeness_is_that_of_multisets():
     assert n == 3 and len(cells) == fp.CELLS and cells["count"].sum() == 9
 
 
+def test_digests_are_distinct():
+    text = " ".join(f"{w}!!" for i in range(300) for w in ("A", "ES", "THE", "OF", "TO"))
+    keys = fp.digests(text)
+    assert len(set(keys.tolist())) == len(keys) == len(fp.paragraphs(text)) == 1500
+    assert fp.likeness([keys], [fp.digests(text + " A!!")])[0] == 1500 / 1501
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     out = []
