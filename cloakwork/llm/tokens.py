@@ -15,9 +15,11 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Chunks kept before the cache starts anew: entries and characters.
-MAX_ENTRIES, MAX_CHARS = 600_000, 16_000_000
+MAX_ENTRIES, MAX_CHARS = 1_200_000, 24_000_000
 #: Words a call of the tokenizer.
 JOINED = 128
+#: Before a word: a line break, written twice (texts with two white spaces in a row are cut in another way).
+BREAK = "\n\n"
 #: A white space run but for its last character, or a word with the white space before it.
 _CHUNK = re.compile(r"\s+(?!\S)|\s?\S+")
 #: Two white spaces in a row.
@@ -43,6 +45,10 @@ class Encoder:
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.edge[i] = token.startswith("\u0120") if kind == "byte" else token.endswith("</w>")
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.mark_ids = {m: one(m)[0] for m in ".,;:!?" if len(one(m)) == 1} if kind != "whole" else {}
+        self.lowers = kind == "word" and one("AZ\u00c9") == one("az\u00e9")
+        self.break_id = one("\n")[0] if kind == "byte" else -1
         self._clear()
 
     @classmethod
@@ -77,22 +83,66 @@ class Encoder:
         self.chars += sum(map(len, chunks))
 
     def _add(self, cache: dict[str, int], prefix: str, chunks: list[str]) -> None:
-        """A call of the tokenizer costs as much as some words, so plain words go in rows of JOINED, separated by
-        spaces, and the ids are cut where a token begins (byte) or ends (word) a word."""
-        joins = self.kind == "word" or (self.kind == "byte" and prefix == " ")
-        other = [c for c in chunks if not (joins and c.isalpha())]
-        simple = [c for c in chunks if c.isalpha()] if joins else []
-        rows = [simple[i : i + JOINED] for i in range(0, len(simple), JOINED)]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast([prefix + " ".join(r) for r in rows], add_special_tokens=False)):
+        """Words of letters go to the tokenizer in rows, for a call costs as much as some words. A word with one
+        mark behind it, or a line break before it, is put together from the word's ids; the rest goes one by one."""
+        if self.kind == "whole":
+            return self._add_each(cache, prefix, chunks)
+        words: dict[str, list[tuple[str, str, str]]] = {" ": [], "": []}  # by prefix: (chunk, word, mark)
+        other = []
+        for c in chunks:
+            at, body = (prefix, c) if not prefix or c[:2] != BREAK else ("", c[2:])
+            word, mark = (body[:-1], body[-1]) if body[-1:] in self.mark_ids else (body, "")
+            if word.isalpha() and (at == prefix or not mark):
+                words[at].append((c, word, mark))
+            else:
+                other.append(c)
+        for at, found in words.items():
+            plain = cache if at == prefix else self.plain
+            self._add_words(plain, at, [w for w in dict.fromkeys(w for _, w, _ in found) if w not in plain])
+            made = [f for f in found if f[0] not in cache]
+            if made:
+                base = np.fromiter((plain[w] for _, w, _ in made), np.int64, len(made))
+                self._compose(cache, [c for c, _, _ in made], base, [m for _, _, m in made], at != prefix)
+        self._add_each(cache, prefix, other)
+
+    def _add_each(self, cache: dict[str, int], prefix: str, chunks: list[str]) -> None:
+        texts = [c[1:] if prefix and c[:2] == BREAK else prefix + c for c in chunks]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._store(cache, chunks, np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _add_words(self, cache: dict[str, int], prefix: str, words: list[str]) -> None:
+        """Rows of words; the ids are cut where a token begins (byte, after a space) or ends (word) a word, or at the
+        line breaks between them (byte, without a space)."""
+        breaks = self.kind == "byte" and prefix == ""
+        rows = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        texts = ["\n".join(r) if breaks else prefix + " ".join(r) for r in rows]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.int64)
-            at = np.flatnonzero(self.edge[ids])
-            lengths = np.diff(at, append=len(ids)) if self.kind == "byte" else np.diff(at, prepend=-1)
+            if breaks:
+                at = np.flatnonzero(ids == self.break_id)
+                lengths, ids = np.diff(at, prepend=-1, append=len(ids)) - 1, ids[ids != self.break_id]
+            else:
+                at = np.flatnonzero(self.edge[ids])
+                lengths = np.diff(at, append=len(ids)) if self.kind == "byte" else np.diff(at, prepend=-1)
             if len(lengths) == len(row):
                 self._store(cache, row, ids, lengths)
             else:  # a letter that this tokenizer takes as a separator
-                other += row
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([prefix + c for c in other], add_special_tokens=False)]
-        self._store(cache, other, np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got)))
+                self._add_each(cache, prefix, row)
+
+    def _compose(self, cache: dict[str, int], chunks: list[str], base: np.ndarray, marks: list[str], broken: bool) -> None:
+        """Chunks of a line break (if broken), the ids at base, and a mark's id (if there is one)."""
+        tail = np.fromiter((self.mark_ids.get(m, -1) for m in marks), np.int64, len(marks))
+        inner = self.length[base]
+        lengths = inner + broken + (tail >= 0)
+        ends = np.cumsum(lengths)
+        ids = np.empty(int(ends[-1]), np.int64)
+        begin = ends - lengths
+        if broken:
+            ids[begin] = self.break_id
+        offset = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner)
+        ids[np.repeat(begin + broken, inner) + offset] = self.flat[np.repeat(self.start[base], inner) + offset]
+        ids[ends[tail >= 0] - 1] = tail[tail >= 0]
+        self._store(cache, chunks, ids, lengths)
 
     def _look_up(self, cache: dict[str, int], prefix: str, chunks: list[str]) -> np.ndarray:
         got = np.fromiter(map(cache.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -112,13 +162,14 @@ class Encoder:
                 plain.append([t] if t else [])
                 spaced.append([])
             elif self.kind == "word":
-                plain.append(t.split())
+                # lower case first, so that a word has one entry; only of a sigma does lower() look at what follows
+                plain.append((t if not self.lowers or "\u03a3" in t else t.lower()).split())
                 spaced.append([])
             elif _RUN.search(t):
                 plain.append(_CHUNK.findall(t))
                 spaced.append([])
             else:
-                first, *rest = t.split(" ")
+                first, *rest = t.replace("\n", " " + BREAK).split(" ")
                 plain.append([first])
                 spaced.append(rest)
         a = self._look_up(self.plain, "", list(chain.from_iterable(plain)))
