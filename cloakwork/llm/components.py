@@ -34,8 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for _ in range(MAX_ROUNDS):
         now = cut(_small(_large(now)), "links")
-        # done when all links are those of stars: no center is a member elsewhere
-        if now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        # done when all links are those of stars: every member has one center, and no center is a member elsewhere
+        members = now.groupBy("u").count()
+        if members.where("count > 1").isEmpty() and members.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

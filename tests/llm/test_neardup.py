@@ -90,3 +90,14 @@ def test_components_equal_union_find(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(a != b for a, b in edges if x in (a, b))}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_components_of_single_short_chains(spark):
+    chains = [[1, 4, 3, 5, 2]]
+    for seed in range(4):
+        nodes = list(range(1, 7))
+        random.Random(seed).shuffle(nodes)
+        chains.append(nodes)
+    for nodes in chains:
+        got = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "u long, v long")).collect()
+        assert sorted((r["id"], r["component"]) for r in got) == [(n, 1) for n in sorted(nodes)], nodes
