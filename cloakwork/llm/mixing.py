@@ -6,6 +6,11 @@ source that still has blocks has had more than t*w - 1 and fewer than t*w + 1 of
 a period, and the schedule of one period repeats: a table of as many rows as the period has slots turns the number
 of a block into its slot. All else are DataFrame operations.
 
+The bound of one block holds against the rounded shares. The period has about PERIOD slots, and is doubled until the
+rounding of all slots together is less than one block for every source; so a source that still has blocks is always
+less than two blocks from its given weight. Where that takes more than MAX_PERIOD slots (very small weights of large
+sources) it is an error. A zero weight has one share.
+
 Within a source the order is that of md5(doc_id). Ranks come from windows over (source, first digits of the md5)
 and from the counts of those groups, so a source with any part of all rows is split over many tasks.
 
@@ -19,15 +24,18 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import free_name
 
-#: Sources at most; the schedule's table is broadcast and has at most PERIOD + MAX_SOURCES rows.
-MAX_SOURCES, PERIOD = 20_000, 1000
+#: Sources at most; least slots of a period, about, and most. The schedule's table is a literal and broadcast while it
+#: has PERIOD + MAX_SOURCES rows at most; a longer one is joined by exchange.
+MAX_SOURCES, PERIOD, MAX_PERIOD = 20_000, 1000, 1 << 22
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -36,31 +44,71 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
     return {s: max(1, math.floor(w / total * period + 0.5)) for s, w in weights.items()}
 
 
-def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, its block in the period, slot) of one period, by earliest deadline among released blocks."""
-    order = sorted(share, key=lambda s: (s is not None, s or ""))
+def exact_shares(weights: Mapping[str | None, float], blocks: Mapping[str | None, int], period: int = PERIOD) -> dict[str | None, int]:
+    """Shares of the first period, doubled from `period`, whose rounding is less than one block in all slots that the
+    sources' blocks need."""
+    total = sum(weights.values())
+    given = {s: w / total for s, w in weights.items() if w > 0}
+    slots = max((n / given[s] for s, n in blocks.items() if s in given), default=0)
+    while True:
+        share = shares(weights, period)
+        size = sum(share.values())
+        if size > MAX_PERIOD:
+            raise ValueError(f"weights need a period of more than {MAX_PERIOD} slots; raise the smallest ones")
+        if all(abs(share[s] / size - w) * slots < 1 for s, w in given.items()):
+            return share
+        period *= 2
+
+
+def _picks(share: Mapping[str | None, int], order: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(number of the source in order, its block in the period) of each slot."""
     period = sum(share.values())
     waiting = [(0, i, 0) for i in range(len(order))]  # (release, source, block)
     ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
     heapq.heapify(waiting)
-    out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * period // share[order[i]]), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append((order[i], k, slot))
+        yield i, k
         if k + 1 < share[order[i]]:
             heapq.heappush(waiting, ((k + 1) * period // share[order[i]], i, k + 1))
-    return out
 
 
-def tempered(docs: DataFrame, power: float = 0.5) -> dict[str | None, float]:
-    """Weights count ** power of the sources, whose number is bounded by MAX_SOURCES."""
+def _order(share: Mapping[str | None, int]) -> list[str | None]:
+    return sorted(share, key=lambda s: (s is not None, s or ""))
+
+
+def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
+    """(source, its block in the period, slot) of one period, by earliest deadline among released blocks."""
+    order = _order(share)
+    return [(order[i], k, slot) for slot, (i, k) in enumerate(_picks(share, order))]
+
+
+def _table(spark: SparkSession, share: Mapping[str | None, int]) -> DataFrame:
+    """s, i, at, n: the schedule of one period, and each source's share."""
+    period = sum(share.values())
+    if period <= PERIOD + MAX_SOURCES:
+        table = [{"s": s, "i": k, "at": t, "n": share[s]} for s, k, t in schedule(share)]
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), "array<struct<s: string, i: long, at: long, n: long>>")).alias("p")).select("p.*")
+    order = _order(share)
+    picks = np.fromiter(_picks(share, order), np.dtype((np.int64, 2)), period)
+    columns = {"s": pa.array(order, pa.string()).take(pa.array(picks[:, 0])), "i": picks[:, 1], "at": np.arange(period), "n": np.array([share[s] for s in order], np.int64)[picks[:, 0]]}
+    return spark.createDataFrame(pa.table(columns))
+
+
+def sizes(docs: DataFrame) -> dict[str | None, int]:
+    """Rows of the sources, whose number is bounded by MAX_SOURCES."""
     rows = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; pass weights by a coarser column")
-    return {r["source"]: r["count"] ** power for r in rows}
+    return {r["source"]: r["count"] for r in rows}
+
+
+def tempered(docs: DataFrame, power: float = 0.5) -> dict[str | None, float]:
+    """Weights count ** power of the sources."""
+    return {s: n**power for s, n in sizes(docs).items()}
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 8, prefix: int = 3) -> DataFrame:
@@ -71,13 +119,13 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     """
     spark = docs.sparkSession
     docs = docs.drop("source_rank", "block", "slot", "place")
-    weights = tempered(docs) if weights is None else weights
+    rows = sizes(docs)
+    weights = {s: n**0.5 for s, n in rows.items()} if weights is None else weights
     if not weights:
         return docs.select("*", *(F.lit(None).cast("long").alias(c) for c in ("source_rank", "block", "slot", "place")))
-    share = shares(weights)
-    table = [{"s": s, "i": k, "at": t, "n": share[s]} for s, k, t in schedule(share)]
-    period = len(table)
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), "array<struct<s: string, i: long, at: long, n: long>>")).alias("p")).select("p.*")
+    share = exact_shares(weights, {s: -(-n // block) for s, n in rows.items()})
+    period = sum(share.values())
+    plan = _table(spark, share)
     names = {n: free_name(docs.columns, f"__{n}") for n in ("h", "g", "before", "rank", "s", "i", "at", "n")}
     h, g, before, rank = (names[n] for n in ("h", "g", "before", "rank"))
     keyed = docs.withColumn(h, F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))).withColumn(g, F.substring(h, 1, prefix))
@@ -85,11 +133,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     groups = groups.select(names["s"], "g", F.coalesce(F.sum("count").over(Window.partitionBy(names["s"]).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
     ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy("source", g).orderBy(h, "doc_id")) - 1)
     ranked = ranked.join(groups, (F.col("source").eqNullSafe(groups[names["s"]])) & (F.col(g) == groups["g"]), "left").withColumn(rank, F.col(rank) + F.col(before)).drop(names["s"], "g")
-    per_source = plan.select(F.col("s").alias(names["s"]), F.col("n").alias(names["n"])).distinct()
+    per_source = plan.where("i = 0").select(F.col("s").alias(names["s"]), F.col("n").alias(names["n"]))
     sized = ranked.join(F.broadcast(per_source), F.col("source").eqNullSafe(per_source[names["s"]]), "left").drop(names["s"])
     number = F.floor(F.col(rank) / block)
     slots = plan.select(F.col("s").alias(names["s"]), F.col("i").alias(names["i"]), F.col("at").alias(names["at"]))
-    placed = sized.join(F.broadcast(slots), F.col("source").eqNullSafe(slots[names["s"]]) & (number % F.col(names["n"]) == slots[names["i"]]), "left")
+    placed = sized.join(F.broadcast(slots) if period <= PERIOD + MAX_SOURCES else slots, F.col("source").eqNullSafe(slots[names["s"]]) & (number % F.col(names["n"]) == slots[names["i"]]), "left")
     slot = F.floor(number / F.col(names["n"])) * period + F.coalesce(F.col(names["at"]), F.raise_error(F.lit("a source has no weight")).cast("long"))
     return placed.select(
         *(docs_col for docs_col in docs.columns),

@@ -134,3 +134,20 @@ def test_mix_equals_brute_force(spark, odd, none):
 def test_hash_order_is_a_prefix_order():
     digests = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(1000))
     assert [k for k, _ in itertools.groupby(d[:3] for d in digests)] == sorted({d[:3] for d in digests})
+
+
+def test_places_keep_to_the_given_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)  # so that the table is joined by exchange
+    weights = {"rare": 0.0015, "thin": 0.0004, "a": 0.6, "b": 0.3981}
+    blocks = {"rare": 45, "thin": 12, "a": 18_000, "b": 11_943}
+    docs = spark.createDataFrame([(i, s) for s, n in blocks.items() for i in range(n)], "doc_id long, source string")
+    slots = {}
+    for r in mixing.mix(docs, weights, block=1).collect():
+        slots.setdefault(r["source"], {})[r["block"]] = r["slot"]
+    assert len({t for s in slots.values() for t in s.values()}) == sum(blocks.values())
+    for s, w in weights.items():
+        assert sorted(slots[s]) == list(range(blocks[s]))
+        for k, t in slots[s].items():  # k blocks before slot t, k + 1 after it
+            assert abs(k - t * w) < 2 and abs(k + 1 - (t + 1) * w) < 2
+    many = mixing.exact_shares({str(i): 1 + i / 2000 for i in range(2000)}, {str(i): 10 for i in range(2000)})
+    assert len(set(many.values())) > 2
