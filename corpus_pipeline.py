@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakwork.llm import mixing, neardup, packing, quality, secrets
-from cloakwork.llm.shared import cut
+from cloakwork.llm.shared import cut, partitions
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 1024 tokens."""
+    """Where each piece of each document lies in sequences of 1024 tokens, which are filled in the order of the schedule.
+
+    Files keep no order between them, so the places are computed again, and partitions are ranges of them.
+    """
+    places = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text", "place")
+    docs = places.repartitionByRange(partitions(spark), "place").sortWithinPartitions("place")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
 
 

@@ -3,12 +3,13 @@
 import os
 
 import pytest
+from llm_texts import prose
 from test_neardup import brute
 from test_quality_secrets_mixing import brute_spans
 from test_tokens_packing_records import check_packed, ids_by_doc
 
 import corpus_pipeline
-from cloakwork.llm import mixing, quality
+from cloakwork.llm import mixing, packing, quality
 from cloakwork.llm.shared import cut
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,15 @@ def test_empty_and_odd_documents(spark, odd, none):
                 assert out.columns == docs.columns
             docs = out
         assert (docs.count() > 0) is some
+
+
+def test_sequences_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30 + 400 * (i % 7 == 0)), "abc"[min(2, i % 5)]) for i in range(600)], "doc_id long, text string, source string")
+    place = {r["doc_id"]: r["place"] for r in mixing.mix(docs).collect()}
+    out = corpus_pipeline.pack(spark, cut(corpus_pipeline.mix_sources(spark, docs, SF), "test"), SF).collect()
+    parts = {}
+    for r in out:
+        if r["sequence_id"] < packing.MERGED:
+            parts.setdefault(r["sequence_id"] >> packing.PART_BITS, set()).add(place[r["doc_id"]])
+    order = [parts[p] for p in sorted(parts)]
+    assert len(order) > 1 and all(max(a) < min(b) for a, b in zip(order, order[1:]))
