@@ -114,17 +114,39 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.coalesce(F.array_join(one, ","), F.lit(""))
 
 
+def _without_keys(text: Column, rule: Rule, mark: str) -> Column:
+    """text with every private key replaced by mark: from the BEGIN line through the END line, or, if that is missing
+    before the next BEGIN, through the base64 words that follow (and a last, shorter one alone in its line)."""
+    base64 = r"[A-Za-z0-9+/=\\]"
+    end = r"(?s)^.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+
+    def rest(part: Column) -> Column:
+        bare = F.regexp_replace(part, r"^\s*(?:Proc-Type:[^\n]*\n)?(?:DEK-Info:[^\n]*\n)?\s*", "")
+        found = F.split(bare, r"(?<=\s)(?=\S)")
+        whole = F.transform(found, lambda x, i: x.rlike(rf"^{base64}{{16,}}\s*$") | ((i > 0) & F.get(found, i - 1).rlike(rf"^{base64}{{16,}}\s*\n\s*$") & x.rlike(rf"^{base64}+(?:[ \t]*\r?\n\s*)?$")))
+        first = F.array_position(whole, False).cast("int")
+        open_end = F.when(F.coalesce(whole[0], F.lit(False)), F.when(first == 0, "").otherwise(F.array_join(F.slice(found, F.greatest(first, F.lit(1)), F.size(found)), ""))).otherwise(part)
+        return F.when(part.rlike(end), F.regexp_replace(part, end, "")).otherwise(open_end)
+
+    parts = F.split(text, rule.pattern, -1)
+    return F.when(F.contains(text, F.lit(rule.has[0])), F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(rest(x))), mark)).otherwise(text)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs, all rows and the same columns, with every found secret in text replaced by mark and n_chars recounted.
 
     Only texts with a finding change. Matches that overlap one replaced before them are replaced as far as they
-    still match; patterns run in the order of the rules.
+    still match; patterns run in the order of the rules. Of a
+    private key, of which scan() names the first line only, all lines are replaced, before any other rule.
     """
     found = scan(docs, rules=rules).where("spans is not null").select(F.col("blob").alias("b")).distinct()
     found = cut(found, "blobs")
     b, blob = (free_name(docs.columns, n) for n in ("__hit", "__blob"))
     text = F.col("text")
     marked = text
+    for r in rules:
+        if r.kind == "pem":
+            marked = _without_keys(marked, r, mark)
     for r in rules:
         exact = r.pattern if not r.group else r.pattern[: -len("+)")] + f"{{{r.least},}})"
         marked = F.regexp_replace(marked, exact, mark)
