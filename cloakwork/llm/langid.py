@@ -6,7 +6,7 @@ proportions maximise the likelihood of its features as draws from a mixture of t
 1, 2 and 3 likeliest languages are compared by the likelihood less PENALTY * ln(features) for each language.
 
 The distributions are learned from a sample of labelled rows, TRAIN_ROWS a language in expectation, chosen by a hash
-of doc_id; counts are summed on the executors, and the driver gets BUCKETS numbers a language, of LANGUAGES at most.
+of doc_id; counts are summed on the executors, and the driver gets BUCKETS numbers a language, for every language.
 
 Defined cases: a text that is null or has no letter is "und" with score 0; without a learned language all are "und";
 a null doc_id has the checksum of an empty text; equal rows get equal results; other columns are ignored.
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from cloakwork.llm.neardup import mix64
 from cloakwork.llm.tokens import batches
 
-BUCKETS, TRAIN_ROWS, LANGUAGES = 1 << 15, 4000, 200
+BUCKETS, TRAIN_ROWS = 1 << 15, 4000
 STEPS, SET, PENALTY, SMOOTH = 12, 3, 4.0, 0.5
-#: Characters at a time.
+#: Characters at a time, for four languages; fewer for more.
 SLICE = 400_000
 PREDICTED = "doc_id long, lang_pred string, score double, mixture string"
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.string())])
@@ -72,13 +72,11 @@ def held_out() -> Column:
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and their distributions as an array (BUCKETS, languages), from labelled docs(doc_id, text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / n)))
-    counted = known.where(chosen).select("lang", "text").mapInArrow(_count_part, "lang string, bucket long, n long")
+    sizes = known.groupBy("lang").count()
+    sized = known.join(F.broadcast(sizes.select(F.col("lang").alias("l"), "count")), F.col("lang") == F.col("l"))
+    part = (F.least(F.lit(1.0), F.lit(rows) / F.col("count")) * (1 << 30)).cast("long")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part
+    counted = sized.where(chosen).select("lang", "text").mapInArrow(_count_part, "lang string, bucket long, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     p = np.full((BUCKETS, len(langs)), SMOOTH)
@@ -136,7 +134,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         langs, model = shared.value
         for batch in parts:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches(texts, [len(t or "") + 1000 for t in texts], SLICE):
+            for a, b in batches(texts, [len(t or "") + 1000 for t in texts], SLICE * 4 // max(4, len(langs))):
                 rows = []
                 for p in mixtures([t or "" for t in texts[a:b]], model):
                     if p is None:

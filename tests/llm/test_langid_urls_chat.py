@@ -145,3 +145,8 @@ def test_chat_odd_rows(spark):
     got = chat.parse(df, chat.learn(df)).collect()
     assert sum(r["lines"] for r in got if r["conv_id"] == 3) == 9000
     assert chat.parse(df.limit(0), chat.Model({})).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, prose(i, 5), f"l{i}") for i in range(210)], "doc_id long, text string, lang string")
+    assert len(langid.learn(docs)[0]) == 210

@@ -170,3 +170,8 @@ def test_places_keep_to_the_given_weights(spark, monkeypatch):
             assert abs(k - t * w) < 2 and abs(k + 1 - (t + 1) * w) < 2
     many = mixing.exact_shares({str(i): 1 + i / 2000 for i in range(2000)}, {str(i): 10 for i in range(2000)})
     assert len(set(many.values())) > 2
+
+
+def test_quality_learns_every_language(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(60 + i)), f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in quality.references(docs)} == {f"l{i}" for i in range(60)}
