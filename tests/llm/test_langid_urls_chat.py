@@ -150,3 +150,11 @@ def test_chat_odd_rows(spark):
 def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([(i, prose(i, 5), f"l{i}") for i in range(210)], "doc_id long, text string, lang string")
     assert len(langid.learn(docs)[0]) == 210
+
+
+def test_redundant_rules_take_no_place(spark):
+    together = ["h:z", *(f"p:{i}" for i in range(11))]  # 2 ** 11 rules as sure as the first token's alone
+    rows = [(together, True)] * 60 + [(["p:other"], i < 27) for i in range(40)]
+    labelled = spark.createDataFrame(rows + [([f"p:{i}"], False) for i in range(11) for _ in range(45)], "tokens array<string>, bad boolean")
+    got = {tuple(r["tokens"]) for r in urlrules.mine(labelled).collect()}
+    assert ("h:z",) in got and ("p:other",) in got
