@@ -158,3 +158,19 @@ def test_redundant_rules_take_no_place(spark):
     labelled = spark.createDataFrame(rows + [([f"p:{i}"], False) for i in range(11) for _ in range(45)], "tokens array<string>, bad boolean")
     got = {tuple(r["tokens"]) for r in urlrules.mine(labelled).collect()}
     assert ("h:z",) in got and ("p:other",) in got
+
+
+def test_long_conversation_equals_whole_viterbi(spark, monkeypatch):
+    rows = [(7, t, role, text) for t, (_, _, role, text) in enumerate(talk(12, 3))] + [(8, t, "user", "a\nb") for t in range(3)]
+    model = chat.learn(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    df = spark.createDataFrame([(c, t - 5, r, x) for c, t, r, x in rows], "conv_id long, turn long, role string, text string")
+    again = chat.learn(df)
+    assert np.array_equal(model.start, again.start) and np.array_equal(model.move, again.move) and all(map(np.array_equal, model.emit, again.emit))
+    for m in (model, chat.Model({("1", 0, 1): 5.0, ("move", 0, 1): 90.0, ("move", 1, 1): 90.0})):
+        want = []
+        for c in (7, 8):
+            lines = chat.lines_of([(t - 5, x, None) for d, t, _, x in rows if d == c])
+            want += [(c, t, chat.ROLES[r], len(x), chat.render(chat.ROLES[r], x)) for _, t, r, x in chat.turns_of(lines, m, -1, -1)]
+        got = [(r["conv_id"], r["turn"], r["role"], r["lines"], r["rendered"]) for r in chat.parse(df.drop("role"), m).collect()]
+        assert sorted(got) == sorted(want)
