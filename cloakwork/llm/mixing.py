@@ -2,21 +2,25 @@
 
 Each source's documents form blocks. Block k of a source with weight w is released at slot floor(k / w) and due at
 slot ceil((k + 1) / w); in each slot the released block with the earliest deadline goes, so that after t slots a
-source that still has blocks has had more than t*w - 1 and fewer than t*w + 1 of them. Weights are rounded to whole shares of
-a period, and the schedule of one period repeats: a table of as many rows as the period has slots turns the number
-of a block into its slot. All else are DataFrame operations.
+source that still has blocks has had more than t*w - 1 and fewer than t*w + 1 of them. Weights are exact fractions, so
+that the bound holds against the weights themselves: brought to one denominator they are whole shares, and the
+schedule repeats after as many slots as there are shares. A table with a row for each slot of that period turns the
+number of a block into its slot. All else are DataFrame operations.
 
-The bound of one block holds against the rounded shares. The period has about PERIOD slots, and is doubled until the
-rounding of all slots together is less than one block for every source; so a source that still has blocks is always
-less than two blocks from its given weight. Where that takes more than MAX_PERIOD slots (very small weights of large
-sources) it is an error. A zero weight has one share.
+Weights are whole numbers, fractions, decimals, or floats, which count as the decimals they are written as. Without
+given weights a source's target is the whole part of the square root of its documents (see tempered), so the period
+grows with the root of the data. More than MAX_PERIOD slots (weights with very many digits) are an error; rounded()
+shortens such weights.
 
 Within a source the order is that of md5(doc_id). Ranks come from windows over (source, first digits of the md5)
-and from the counts of those groups, so a source with any part of all rows is split over many tasks.
+and from the counts of those groups; there are as many digits as it takes for groups of about GROUP documents, so a
+source with any part of all rows is split over many tasks. Whole rows move once for their rank, and once more if they
+are put in order.
 
 No row is dropped: once a source has no more blocks its slots stay empty, and the others go on in theirs.
 Defined cases: a null source is a source of its own; a null doc_id comes first in its source; equal rows each take a
-place; an empty table gives no rows; other columns are kept by mix() and names never clash with its own.
+place; an empty table gives no rows; a source without a weight above 0 is an error; other columns are kept by mix() and
+names never clash with its own.
 """
 
 from __future__ import annotations
@@ -25,39 +29,39 @@ import heapq
 import json
 import math
 from collections.abc import Iterator, Mapping
+from decimal import Decimal
+from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import free_name
 
-#: Sources at most; least slots of a period, about, and most. The schedule's table is a literal and broadcast while it
-#: has PERIOD + MAX_SOURCES rows at most; a longer one is joined by exchange.
-MAX_SOURCES, PERIOD, MAX_PERIOD = 20_000, 1000, 1 << 22
+Weight = int | float | Decimal | Fraction
 
+#: Sources and slots of a period at most, and documents of a group with the same first digits, about.
+MAX_SOURCES, MAX_PERIOD, GROUP = 20_000, 1 << 22, 16_000
+#: A schedule of so many slots at most is a literal and broadcast; a longer one is a table and joined by exchange.
+LITERAL_SLOTS = 100_000
 
-def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Whole shares, one at least, of about `period` in all."""
-    total = sum(weights.values())
-    return {s: max(1, math.floor(w / total * period + 0.5)) for s, w in weights.items()}
 
+def shares(weights: Mapping[str | None, Weight]) -> dict[str | None, int]:
+    """Whole shares in exactly the proportion of the weights."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if bad := [s for s, w in exact.items() if w <= 0]:
+        raise ValueError(f"weights must be above 0, unlike those of {bad[:5]}")
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    out = {s: w.numerator * (whole // w.denominator) for s, w in exact.items()}
+    common = math.gcd(*out.values())
+    if sum(out.values()) // max(1, common) > MAX_PERIOD:
+        raise ValueError(f"the weights' period has more than {MAX_PERIOD} slots; shorten them with rounded()")
+    return {s: n // max(1, common) for s, n in out.items()}
 
-def exact_shares(weights: Mapping[str | None, float], blocks: Mapping[str | None, int], period: int = PERIOD) -> dict[str | None, int]:
-    """Shares of the first period, doubled from `period`, whose rounding is less than one block in all slots that the
-    sources' blocks need."""
-    total = sum(weights.values())
-    given = {s: w / total for s, w in weights.items() if w > 0}
-    slots = max((n / given[s] for s, n in blocks.items() if s in given), default=0)
-    while True:
-        share = shares(weights, period)
-        size = sum(share.values())
-        if size > MAX_PERIOD:
-            raise ValueError(f"weights need a period of more than {MAX_PERIOD} slots; raise the smallest ones")
-        if all(abs(share[s] / size - w) * slots < 1 for s, w in given.items()):
-            return share
-        period *= 2
+
+def rounded(weights: Mapping[str | None, Weight], digits: int = 6) -> dict[str | None, Decimal]:
+    """Weights as shares of 1 with so many digits, one unit of the last at least."""
+    total, unit = sum(Fraction(str(w)) for w in weights.values()), 10**digits
+    return {s: Decimal(max(1, round(Fraction(str(w)) / total * unit))) / unit for s, w in weights.items()}
 
 
 def _picks(share: Mapping[str | None, int], order: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -87,15 +91,18 @@ def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int
 
 
 def _table(spark: SparkSession, share: Mapping[str | None, int]) -> DataFrame:
-    """s, i, at, n: the schedule of one period, and each source's share."""
-    period = sum(share.values())
-    if period <= PERIOD + MAX_SOURCES:
-        table = [{"s": s, "i": k, "at": t, "n": share[s]} for s, k, t in schedule(share)]
-        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), "array<struct<s: string, i: long, at: long, n: long>>")).alias("p")).select("p.*")
-    order = _order(share)
-    picks = np.fromiter(_picks(share, order), np.dtype((np.int64, 2)), period)
-    columns = {"s": pa.array(order, pa.string()).take(pa.array(picks[:, 0])), "i": picks[:, 1], "at": np.arange(period), "n": np.array([share[s] for s in order], np.int64)[picks[:, 0]]}
-    return spark.createDataFrame(pa.table(columns))
+    """s (a source's key), i, at, n: the schedule of one period, and each source's share."""
+    slots: dict[str | None, list[int]] = {s: [] for s in share}
+    for s, _, slot in schedule(share):
+        slots[s].append(slot)
+    rows = [("-" if s is None else f"+{s}", share[s], at) for s, at in slots.items()]
+    kind = "s string, n long, slots array<long>"
+    if sum(share.values()) <= LITERAL_SLOTS:
+        given = F.lit(json.dumps([{"s": s, "n": n, "slots": at} for s, n, at in rows]))
+        table = spark.range(1).select(F.inline(F.from_json(given, f"array<struct<{kind}>>")))
+    else:
+        table = spark.createDataFrame(rows, kind)
+    return table.select("s", "n", F.posexplode("slots").alias("i", "at"))
 
 
 def sizes(docs: DataFrame) -> dict[str | None, int]:
@@ -106,41 +113,44 @@ def sizes(docs: DataFrame) -> dict[str | None, int]:
     return {r["source"]: r["count"] for r in rows}
 
 
-def tempered(docs: DataFrame, power: float = 0.5) -> dict[str | None, float]:
-    """Weights count ** power of the sources."""
-    return {s: n**power for s, n in sizes(docs).items()}
+def tempered(rows: Mapping[str | None, int]) -> dict[str | None, int]:
+    """The whole part of the square root of each source's rows, divided by the least whole number that brings their sum
+    to MAX_PERIOD; 1 at least."""
+    roots = {s: math.isqrt(n) for s, n in rows.items()}
+    by = -(-sum(roots.values()) // (MAX_PERIOD - len(roots)))
+    return {s: max(1, n // by) for s, n in roots.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 8, prefix: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, Weight] | None = None, block: int = 8) -> DataFrame:
     """docs with source_rank, block, slot and place (slot * block size + rank in the block), which replace columns of
-    these names. Sources without a weight are an error.
-
-    prefix: digits of the md5 by which a source is split.
-    """
+    these names."""
     spark = docs.sparkSession
     docs = docs.drop("source_rank", "block", "slot", "place")
     rows = sizes(docs)
-    weights = {s: n**0.5 for s, n in rows.items()} if weights is None else weights
-    if not weights:
+    if not rows:
         return docs.select("*", *(F.lit(None).cast("long").alias(c) for c in ("source_rank", "block", "slot", "place")))
-    share = exact_shares(weights, {s: -(-n // block) for s, n in rows.items()})
+    if weights is not None and (lost := [s for s in rows if s not in weights]):
+        raise ValueError(f"sources without a weight: {lost[:5]}")
+    share = shares(tempered(rows) if weights is None else weights)
     period = sum(share.values())
+    digits = min(8, max(0, math.ceil(math.log(max(1, max(rows.values()) / GROUP), 16))))
+    s, g, h, before, rank, i, at, n = (free_name(docs.columns, f"__{x}") for x in ("s", "g", "h", "before", "rank", "i", "at", "n"))
+    # a key that is never null, so that the window, the counts and the slots meet by one exchange of the rows
+    source = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
+    keyed = docs.withColumns({s: source, h: F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))}).withColumn(g, F.substring(h, 1, digits))
+    groups = keyed.groupBy(s, g).count()
+    ahead = Window.partitionBy(s).orderBy(g).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(s, g, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias(before))
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(s, g).orderBy(h, "doc_id")) - 1)
+    ranked = ranked.join(groups, [s, g]).withColumn(rank, F.col(rank) + F.col(before))
     plan = _table(spark, share)
-    names = {n: free_name(docs.columns, f"__{n}") for n in ("h", "g", "before", "rank", "s", "i", "at", "n")}
-    h, g, before, rank = (names[n] for n in ("h", "g", "before", "rank"))
-    keyed = docs.withColumn(h, F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))).withColumn(g, F.substring(h, 1, prefix))
-    groups = keyed.groupBy(F.col("source").alias(names["s"]), F.col(g).alias("g")).count()
-    groups = groups.select(names["s"], "g", F.coalesce(F.sum("count").over(Window.partitionBy(names["s"]).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
-    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy("source", g).orderBy(h, "doc_id")) - 1)
-    ranked = ranked.join(groups, (F.col("source").eqNullSafe(groups[names["s"]])) & (F.col(g) == groups["g"]), "left").withColumn(rank, F.col(rank) + F.col(before)).drop(names["s"], "g")
-    per_source = plan.where("i = 0").select(F.col("s").alias(names["s"]), F.col("n").alias(names["n"]))
-    sized = ranked.join(F.broadcast(per_source), F.col("source").eqNullSafe(per_source[names["s"]]), "left").drop(names["s"])
+    own = F.broadcast(plan.where("i = 0").select(F.col("s").alias(s), F.col("n").alias(n)))
+    slots = plan.select(F.col("s").alias(s), F.col("i").alias(i), F.col("at").alias(at))
     number = F.floor(F.col(rank) / block)
-    slots = plan.select(F.col("s").alias(names["s"]), F.col("i").alias(names["i"]), F.col("at").alias(names["at"]))
-    placed = sized.join(F.broadcast(slots) if period <= PERIOD + MAX_SOURCES else slots, F.col("source").eqNullSafe(slots[names["s"]]) & (number % F.col(names["n"]) == slots[names["i"]]), "left")
-    slot = F.floor(number / F.col(names["n"])) * period + F.coalesce(F.col(names["at"]), F.raise_error(F.lit("a source has no weight")).cast("long"))
+    placed = ranked.join(own, s).withColumn(i, number % F.col(n)).join(F.broadcast(slots) if period <= LITERAL_SLOTS else slots, [s, i])
+    slot = F.floor(number / F.col(n)) * period + F.col(at)
     return placed.select(
-        *(docs_col for docs_col in docs.columns),
+        *docs.columns,
         F.col(rank).cast("long").alias("source_rank"),
         number.cast("long").alias("block"),
         slot.cast("long").alias("slot"),
@@ -148,7 +158,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     )
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 8) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, Weight] | None = None, block: int = 8) -> DataFrame:
     """docs, all rows and the same columns, in the order of the schedule."""
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "source")
     return mix(whole, weights, block).orderBy("place").select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import mixing, quality, secrets
+from cloakwork.llm import quality, secrets
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,12 +61,12 @@ SECRETS = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
 a AS (SELECT doc_id, {', '.join(f"COUNT(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(secrets.RULES[: secrets.BASE]))}, {_LIST.format(f"k < {secrets.BASE}")} AS base, {_LIST.format("TRUE")} AS spans FROM f GROUP BY 1)
 SELECT d.doc_id, {', '.join(f"COALESCE(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.RULES[: secrets.BASE])}, sha256(encode(COALESCE(base, ''))) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
-MIXING = f"""WITH RECURSIVE c AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY 1),
-w AS (SELECT source, CAST(greatest(1, floor(sqrt(n) / SUM(sqrt(n)) OVER () * {mixing.PERIOD} + 0.5)) AS BIGINT) AS share, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c),
+MIXING = """WITH RECURSIVE c AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT source, CAST(floor(sqrt(n)) AS BIGINT) // (SELECT gcd_of FROM (SELECT list_reduce(list(CAST(floor(sqrt(n)) AS BIGINT)), lambda a, b: gcd(a, b)) AS gcd_of FROM c)) AS share, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM c),
 v AS (SELECT list(share ORDER BY i) AS share, SUM(share)::BIGINT AS q FROM w),
 edf AS (SELECT CAST(0 AS BIGINT) AS t, list_transform(share, lambda x: CAST(0 AS BIGINT)) AS k, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS block, share, q FROM v
  UNION ALL SELECT t + 1, list_transform(k, lambda x, j: CASE WHEN j = pick THEN x + 1 ELSE x END), pick, k[pick], share, q FROM (
-  SELECT *, list_min(list_filter(list_transform(k, lambda x, j: CASE WHEN x < share[j] AND x * q // share[j] <= t THEN {{'due': ((x + 1) * q + share[j] - 1) // share[j], 'j': CAST(j AS BIGINT)}} END), lambda z: z IS NOT NULL)).j AS pick FROM edf WHERE t < q)),
+  SELECT *, list_min(list_filter(list_transform(k, lambda x, j: CASE WHEN x < share[j] AND x * q // share[j] <= t THEN {'due': ((x + 1) * q + share[j] - 1) // share[j], 'j': CAST(j AS BIGINT)} END), lambda z: z IS NOT NULL)).j AS pick FROM edf WHERE t < q)),
 p AS (SELECT w.source, w.share, edf.block, edf.t - 1 AS slot, edf.q FROM edf JOIN w ON edf.i = w.i),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY COALESCE(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS rank FROM documents),
 s AS (SELECT r.*, rank // 8 AS block, w.share FROM r JOIN w ON r.source IS NOT DISTINCT FROM w.source)

@@ -18,8 +18,8 @@ def odd(spark):
         (7, prose(1, 120), "en", "c"),
         (8, "one two", "en", "c"),
     ]
-    more = [(*r, len(r[1]) if r[1] is not None else None, 1, "x", 2, "y", 3, 4, "z", 5) for r in rows]
-    return spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, place long, class string, block int, blob string, kept int, component_id long, spans string, b int")
+    more = [(*r, len(r[1]) if r[1] is not None else None, 1, "x", 2, "y", 3, 4, "z", 5, "g", 6) for r in rows]
+    return spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, place long, class string, block int, blob string, kept int, component_id long, spans string, b int, g string, s int")
 
 
 @pytest.fixture(scope="session")

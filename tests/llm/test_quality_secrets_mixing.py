@@ -2,7 +2,9 @@ import hashlib
 import itertools
 import random
 import re
+from fractions import Fraction
 
+import pytest
 from llm_texts import prose
 
 from cloakwork.llm import mixing, quality, secrets
@@ -99,7 +101,7 @@ def test_secrets_odd_rows_and_redaction(odd, none, spark):
 def test_schedule_deviates_by_less_than_a_block():
     r = random.Random(2)
     for _ in range(200):
-        share = mixing.shares({f"s{i}": r.random() ** 3 + 1e-4 for i in range(r.randint(1, 12))}, r.randint(1, 300))
+        share = mixing.shares({f"s{i}": r.choice([r.randint(1, 40), round(r.random() + 0.01, 1) or 1]) for i in range(r.randint(1, 12))})
         got = mixing.schedule(share)
         period = sum(share.values())
         assert [t for _, _, t in got] == list(range(period))
@@ -110,12 +112,26 @@ def test_schedule_deviates_by_less_than_a_block():
             assert all(abs(had[x] * period - (t + 1) * share[x]) < period for x in share)
 
 
+def test_shares_are_exact():
+    assert mixing.shares({"a": 0.3, "b": 0.7}) == {"a": 3, "b": 7}
+    assert mixing.shares({"a": Fraction(1, 3), "b": 1, None: "0.5"}) == {"a": 2, "b": 6, None: 3}
+    for bad in ({"a": 0}, {"a": 1, "b": -1}, {"a": 0.1234567890123, "b": 1}):
+        with pytest.raises(ValueError):
+            mixing.shares(bad)
+    many = mixing.rounded({f"s{i}": 1 / (i + 1) for i in range(3000)} | {"big": 350.0})
+    share = mixing.shares(many)
+    total = sum(1 / (i + 1) for i in range(3000)) + 350
+    assert abs(share["big"] / sum(share.values()) - 350 / total) < 1e-3 and len(set(share.values())) > 30
+    roots = mixing.tempered({"a": 10**18, "b": 4 * 10**16, "c": 5})
+    assert sum(roots.values()) <= mixing.MAX_PERIOD and abs(roots["a"] / roots["b"] - 5) < 0.01 and roots["c"] == 1
+
+
 def test_mix_equals_brute_force(spark, odd, none):
     rows = [(i, "abc"[min(2, i % 5)] if i % 7 else None) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     got = {r["doc_id"]: r for r in mixing.mix(docs, block=4).collect()}
     sizes = {s: sum(x == s for _, x in rows) for s in {x for _, x in rows}}
-    share = mixing.shares({s: n**0.5 for s, n in sizes.items()})
+    share = mixing.shares(mixing.tempered(sizes))
     period = sum(share.values())
     slot = {(s, k): t for s, k, t in mixing.schedule(share)}
     for s in sizes:
@@ -155,11 +171,13 @@ def test_no_key_body_is_left(spark):
         assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))
 
 
-def test_places_keep_to_the_given_weights(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)  # so that the table is joined by exchange
+@pytest.mark.parametrize("literal, group", [(100_000, 16_000), (10, 100)])
+def test_places_keep_to_the_given_weights(spark, monkeypatch, literal, group):
+    monkeypatch.setattr(mixing, "LITERAL_SLOTS", literal)  # so that the table is joined by exchange
+    monkeypatch.setattr(mixing, "GROUP", group)
     weights = {"rare": 0.0015, "thin": 0.0004, "a": 0.6, "b": 0.3981}
     blocks = {"rare": 45, "thin": 12, "a": 18_000, "b": 11_943}
-    docs = spark.createDataFrame([(i, s) for s, n in blocks.items() for i in range(n)], "doc_id long, source string")
+    docs = spark.createDataFrame([(i, s, 1) for i, s in enumerate(s for s, n in blocks.items() for _ in range(n))], "doc_id long, source string, g int")
     slots = {}
     for r in mixing.mix(docs, weights, block=1).collect():
         slots.setdefault(r["source"], {})[r["block"]] = r["slot"]
@@ -167,9 +185,9 @@ def test_places_keep_to_the_given_weights(spark, monkeypatch):
     for s, w in weights.items():
         assert sorted(slots[s]) == list(range(blocks[s]))
         for k, t in slots[s].items():  # k blocks before slot t, k + 1 after it
-            assert abs(k - t * w) < 2 and abs(k + 1 - (t + 1) * w) < 2
-    many = mixing.exact_shares({str(i): 1 + i / 2000 for i in range(2000)}, {str(i): 10 for i in range(2000)})
-    assert len(set(many.values())) > 2
+            assert abs(k - t * w) < 1 and abs(k + 1 - (t + 1) * w) < 1
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": 1})
 
 
 def test_quality_learns_every_language(spark):
