@@ -23,8 +23,10 @@ f AS (SELECT *, len(w) AS n_words, all_letters - capitals AS letters, n - word_c
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM f WHERE len(w) > 2)),
 rep AS (SELECT doc_id, COUNT(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, s) AS c FROM tri) WHERE c > 1) GROUP BY 1),
 lw AS (SELECT doc_id, lang, lower(unnest(w)) AS x FROM f),
-r AS (SELECT lang, x, c FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS k FROM (SELECT lang, x, COUNT(*) AS c FROM lw WHERE lang IS NOT NULL AND length(x) <= {quality.WORD_CHARS} GROUP BY 1, 2)) WHERE k <= {quality.WORDS}),
-l0 AS (SELECT lang, SUM(n_words) AS nw, {', '.join(f'CAST(SUM({c}) AS DOUBLE) AS {c}' for c in quality.CLASSES)} FROM f WHERE lang IS NOT NULL GROUP BY 1),
+z AS (SELECT lang, COUNT(*) AS c FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+tr AS (SELECT f.* FROM f JOIN z ON f.lang = z.lang JOIN documents o ON o.doc_id = f.doc_id WHERE o.text IS NOT NULL AND CAST(('0x' || md5(CAST(f.doc_id AS VARCHAR))[1:8])::UBIGINT AS DOUBLE) < {float(quality.TRAIN_ROWS << 32)} / z.c),
+r AS (SELECT lang, x, c FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS k FROM (SELECT lang, x, COUNT(*) AS c FROM (SELECT lang, lower(unnest(w)) AS x FROM tr) GROUP BY 1, 2)) WHERE k <= {quality.COMMON}),
+l0 AS (SELECT lang, SUM(n_words) AS nw, {', '.join(f'CAST(SUM({c}) AS DOUBLE) AS {c}' for c in quality.CLASSES)} FROM tr GROUP BY 1),
 l AS (SELECT *, {' + '.join(quality.CLASSES)} AS chars, (SELECT SUM(c) FROM r WHERE r.lang = l0.lang) / nw AS total FROM l0 WHERE nw > 0),
 h AS (SELECT lw.doc_id, lw.x, COUNT(*) / any_value(f.n_words) AS p FROM lw JOIN f ON lw.doc_id = f.doc_id WHERE lw.x IN (SELECT x FROM r) GROUP BY 1, 2),
 s AS (SELECT h.doc_id, r.lang, SUM({_HALF.format(p='h.p', q='(r.c / l.nw)')}) AS d, SUM(h.p) AS p, SUM(r.c / l.nw) AS q FROM h JOIN r ON h.x = r.x JOIN l ON r.lang = l.lang GROUP BY 1, 2),

@@ -1,7 +1,10 @@
 import hashlib
 import itertools
+import math
 import random
 import re
+import unicodedata
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -191,5 +194,34 @@ def test_places_keep_to_the_given_weights(spark, monkeypatch, literal, group):
 
 
 def test_quality_learns_every_language(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(60 + i)), f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
-    assert {r["lang"] for r in quality.references(docs)} == {f"l{i}" for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(f"longword{i}" for _ in range(60 + i)), f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert {r["lang"] for r in refs} == {f"l{i}" for i in range(60)}
+    assert all(r["words"] == {f"longword{r['lang'][1:]}": 1.0} for r in refs)
+
+
+def test_quality_distances_equal_brute_force(spark):
+    def distance(p, q):
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+        return math.sqrt(max(0.0, sum(part(p.get(k, 0), q.get(k, 0)) + part(q.get(k, 0), p.get(k, 0)) for k in p.keys() | q.keys()) / 2))
+
+    def classes(t):
+        kind = lambda c: "capital" if unicodedata.category(c) == "Lu" else "letter" if unicodedata.category(c)[0] == "L" else "space" if c in " \t\n\x0b\f\r" else "digit" if c in "0123456789" else "symbol" if c in quality.SYMBOLS else "other"
+        return {k: n / len(t) for k, n in Counter(map(kind, t)).items()}
+
+    def histogram(t, common):
+        w = [x.lower() for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        return {k: n / len(w) for k, n in Counter(x if x in common else "" for x in w).items()}
+
+    rows = [(i, prose(i, 60 + 7 * i) + " ÀÉ #1 Ünder", "en") for i in range(20)] + [(i, " ".join(random.Random(i).choices("der die das und ist Haus ein zwei $ 7".split(), k=90)), "de") for i in range(20, 40)]
+    whole = {lang: " ".join(t for _, t, x in rows if x == lang) for lang in ("en", "de")}
+    common = {lang: {w for w, _ in sorted(Counter(t.lower().split()).items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]} for lang, t in whole.items()}
+    for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        t = rows[r["doc_id"]][1]
+        sums = {lang: Counter() for lang in whole}
+        for _, x, lang in rows:
+            sums[lang].update({k: v * len(x) for k, v in classes(x).items()})
+        refs = {lang: {k: v / sum(c.values()) for k, v in c.items()} for lang, c in sums.items()}
+        both = [(distance(histogram(t, common[x]), histogram(whole[x], common[x])), distance(classes(t), refs[x])) for x in whole]
+        want = min(both, key=lambda d: max(d[0] / quality.WORD_DISTANCE, d[1] / quality.CHAR_DISTANCE))
+        assert abs(r["word_distance"] - want[0]) < 1e-9 and abs(r["char_distance"] - want[1]) < 1e-9
