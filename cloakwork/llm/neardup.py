@@ -3,18 +3,22 @@
 A document is the set of its distinct word shingles. Two small collections of BANDS band values each (a band value
 combines ROWS minhashes) stand for BANDS * BANDS tables: the key of table (i, j) is the pair of the i-th value of the
 first and the j-th of the second. So 2 * BANDS * ROWS minhashes are computed instead of 2 * ROWS * BANDS ** 2. A pair
-of similarity s shares some key with probability (1 - (1 - s**ROWS) ** BANDS) ** 2: 0.9996 at 0.8, 1e-8 at 0.02.
+of similarity s shares some key with probability (1 - (1 - s**ROWS) ** BANDS) ** 2: 0.9997 at 0.8, 7e-12 at 0.02.
 
 1. Signatures: one pass over the texts; equal sets become one class, known by its smallest doc_id.
-2. Values that only one class has are dropped before pairs of values form keys. In each key's bucket, every class
-   links to the smallest one (not to all), and the components of these links are the candidate groups.
-3. Each candidate group's full shingle sets meet in one task, which confirms links exactly. Groups above TILE * 2
-   classes are dealt in tiles, a task for each pair of blocks, so that no pair is missed and no task grows with the
-   group. A task gives at most one link fewer than it has classes, for it looks for connection, not for all pairs.
+2. Values that only one class has are dropped before pairs of values form keys. The classes of a key are its bucket;
+   of buckets with the same classes one stays.
+3. Rounds: each bucket names centers (one at first, then four times as many each round), and every class of it is
+   compared with each center on the full shingle sets. Centers are done. Classes linked with the bucket's first center
+   are no longer named; they stay only as long as the triangle inequality of the Jaccard distance allows a link with
+   a class that is still to be named. (One that could be linked with such a class of an earlier center is named yet.)
+   Rounds end when no bucket has two classes left. So every pair that shares a key is compared, but for those that are
+   linked through a center, or cannot be linked. A group of near copies takes one comparison a class and center, and
+   classes that merely chain from bucket to bucket never meet.
 4. Components of the confirmed links, and one join back to all documents.
 
-Step 3 checks all pairs within a candidate group, not only those that shared a key: nothing found there is lost.
-The stored links are between classes; copies are never expanded.
+A center is compared with TILE classes a task, whose sets pass one by one. The stored links are between classes;
+copies are never expanded.
 
 Defined cases: a null or empty text, and one without words, has an empty set, links with nothing and is kept; a text
 of fewer words than a shingle is one shingle; rows with one doc_id count as one document; a row without doc_id takes
@@ -23,20 +27,18 @@ no part in any group (component_id null) and is kept; an empty table gives no ro
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
 from cloakwork.llm.shared import cut, free_name, hot_join
 
-BANDS, ROWS = 12, 3
-#: Classes a block; a task confirms links within two blocks at most.
-TILE = 256
+BANDS, ROWS = 17, 4
+#: Classes that a task compares with a center.
+TILE = 512
 FEATURES = "doc_id long, n_shingles long, class string, vals array<long>"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.string()), ("vals", pa.list_(pa.int64()))])
 _M = np.random.default_rng(20_240_229).integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -70,8 +72,8 @@ def band_values(s: np.ndarray) -> np.ndarray:
     """2 * BANDS band values of a set; the last bit tells the collection."""
     with np.errstate(over="ignore"):
         low = np.full(len(_M), np.iinfo(np.uint64).max, np.uint64)
-        for a in range(0, len(s), 4096):
-            x = s[a : a + 4096, None] * _M + _A
+        for a in range(0, len(s), 1024):
+            x = s[a : a + 1024, None] * _M + _A
             x ^= x >> np.uint64(32)
             x *= np.uint64(0x9E3779B97F4A7C15)
             low = np.minimum(low, x.min(0))
@@ -96,68 +98,99 @@ def _features(size: int):
     return run
 
 
-def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with den * intersection >= num * union, over all pairs of sets.
-
-    One set is compared with all others at a time, by marking its shingles. Sets that the first comparison has joined
-    needn't be compared with each other; only the rest are compared with all.
-    """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(size) - size
-    count = np.bincount(flat)
-    mark = np.zeros(len(count), bool)
-    label = np.arange(len(sets))
-    left = np.ones(len(sets), bool)  # not yet compared with all that were left
-    out: list[tuple[int, int]] = []
-    # first the set whose shingles are the most common: it likely joins the most
-    u = int(np.argmax(np.add.reduceat(count[flat], starts) / size))
-    while True:
-        tokens = flat[starts[u] : starts[u] + size[u]]
-        mark[tokens] = True
-        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
-        mark[tokens] = False
-        left[u] = False
-        for v in np.flatnonzero((den * both >= num * (size + size[u] - both)) & left).tolist():
-            if label[u] != label[v]:
-                label[label == label[v]] = label[u]
-                out.append((u, v))
-        names, first, members = np.unique(label[left], return_index=True, return_counts=True)
-        if len(names) < 2:  # pairs that are left to compare are joined already
-            return out
-        u = int(np.flatnonzero(left)[first[np.argmin(members)]])
-
-
-def _confirm(size: int, num: int, den: int):
-    def run(parts):
-        group, ids, sets = None, [], []
+COMPARED = "id long, center long, both long, total long"
+_COMPARED = pa.schema([(n, pa.int64()) for n in ("id", "center", "both", "total")])
+
 
-        def ended():
-            rows = [(ids[a], ids[b]) for a, b in links(sets, num, den)] if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
+def _compare(size: int):
+    """Sizes of intersection and union of sorted rows (center, tile, place, id, text); place 0 is the center itself."""
 
+    def run(parts):
+        mark = np.empty(0, np.uint64)
         for batch in parts:
-            for g, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if g != group:
-                    yield ended()
-                    group, ids, sets = g, [], []
-                ids.append(i)
-                sets.append(shingles(t.as_py(), size))
-        yield ended()
+            out = []
+            for center, place, i, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), batch.column(4)):
+                s = shingles(text.as_py(), size)
+                if place == 0:
+                    mark = s
+                else:
+                    both = int(np.isin(s, mark, assume_unique=True).sum())
+                    out.append((i, center, both, len(s) + len(mark) - both))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], schema=_COMPARED)
 
     return run
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """id and component of the classes(id, vals) that share a key with another."""
+def compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs(id, center) with the sizes both and total of their sets' intersection and union; texts(rid, text)."""
+    members = hot_join(pairs, pairs.groupBy("center").agg(F.count("*").alias("n")), "center")
+    dealt = members.select("id", "center", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TILE)).alias("tile"))
+    own = dealt.groupBy("center", "tile").agg(F.lit(0).alias("place")).withColumn("id", F.col("center"))
+    rows = dealt.withColumn("place", F.lit(1)).unionByName(own)
+    # never by broadcast: candidates grow with the documents
+    rows = texts.hint("merge").join(rows, texts["rid"] == rows["id"]).select("center", "tile", "place", "id", "text")
+    return rows.repartition(F.xxhash64("center", "tile")).sortWithinPartitions("center", "tile", "place", "id").mapInArrow(_compare(size), COMPARED)
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """key, id of the classes(id, vals) that share a key with another; no two buckets are alike."""
     values = classes.select("id", F.explode("vals").alias("v"))
     shared = values.groupBy("v").count().where("count > 1").select("v")
     kept = hot_join(values, shared, "v").groupBy("id").agg(F.collect_set("v").alias("v"))
     first, second = F.filter("v", lambda x: x % 2 == 0), F.filter("v", lambda x: x % 2 != 0)
     keys = kept.select("id", F.explode(first).alias("a"), second.alias("b")).select("id", F.explode(F.transform("b", lambda y: F.xxhash64(F.col("a"), y))).alias("key"))
     keys = cut(keys, "keys")
-    centers = keys.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(hot_join(keys, centers, "key").where("id > center").select(F.col("id").alias("u"), F.col("center").alias("v")))
+    content = [F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    one = keys.groupBy("key").agg(*content).where("n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"))
+    return hot_join(keys, one.select("key"), "key")
+
+
+def _left(now: DataFrame, centers: DataFrame, compared: DataFrame, num: int, den: int) -> DataFrame:
+    """What stays in the buckets now(key, id, active: may be named) after their classes were compared with
+    centers(key, center, lead: the bucket's first)."""
+    reach = 1 - num / den + 1e-9
+    linked, distance = den * F.col("both") >= num * F.col("total"), 1 - F.col("both") / F.col("total")
+    both_ways = compared.unionByName(compared.select(F.col("center").alias("id"), F.col("id").alias("center"), "both", "total"))
+    known = both_ways.select("id", "center", linked.alias("linked"), distance.alias("d"))
+    met = hot_join(now, centers, "key").where("id <> center")
+    # only buckets in which some comparison failed
+    failed = met.join(known.where("not linked").select("id", "center"), ["id", "center"]).select("key").distinct()
+    met = hot_join(met, failed, "key").join(known, ["id", "center"])
+    rest = cut(met.join(centers.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti"), "met")
+    first = rest.where("lead").select("key", "id", "active", "linked", "d")
+    earlier = first.where("not active and not linked").groupBy("key").agg(F.min("d").alias("nearest"))
+    settled = F.col("linked") & F.coalesce(F.col("nearest") - F.col("d") > reach, F.lit(True))
+    state = first.join(earlier, "key", "left").select("key", "id", (F.col("active") & ~settled).alias("active"))
+    marked = rest.drop("active").join(state, ["key", "id"])
+    bounds = marked.where("active").groupBy("key", "center").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    near = (F.col("low") - F.col("d") <= reach) & (F.col("d") - F.col("high") <= reach)
+    left = marked.join(bounds, ["key", "center"]).groupBy("key", "id").agg(F.bool_or("active").alias("active"), F.bool_and(near).alias("near")).where("active or near").drop("near")
+    several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return hot_join(left, several, "key")
+
+
+def confirmed(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) between classes(id, vals), enough to connect all that are linked; docs(doc_id, text)."""
+    now = cut(buckets(classes).withColumn("active", F.lit(True)), "buckets")
+    members = now.select("id").distinct()
+    # the texts of all candidates, once; never by broadcast, for they grow with the documents
+    texts = cut(docs.hint("merge").join(members, docs["doc_id"] == members["id"]).select(F.col("id").alias("rid"), "text").dropDuplicates(["rid"]), "texts")
+    compared, most = cut(now.where("key is null").selectExpr("id", "id AS center", "id AS both", "id AS total"), "compared"), 1
+    while not now.isEmpty():
+        if most == 1:
+            centers = now.groupBy("key").agg(F.min("id").alias("center")).withColumn("lead", F.lit(True))
+        else:
+            place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+            centers = now.where("active").select("key", F.col("id").alias("center"), place.alias("r")).where(F.col("r") <= most)
+            centers = centers.select("key", "center", (F.col("r") == 1).alias("lead"))
+        pairs = hot_join(now, centers, "key").where("id <> center")
+        pairs = pairs.groupBy(F.least("id", "center").alias("lo"), F.greatest("id", "center").alias("hi")).agg(F.min("center").alias("center"))
+        old = compared.select(F.least("id", "center").alias("lo"), F.greatest("id", "center").alias("hi"))
+        pairs = pairs.join(old, ["lo", "hi"], "left_anti")
+        pairs = cut(pairs.select((F.col("lo") + F.col("hi") - F.col("center")).alias("id"), "center"), "pairs")
+        compared = compared.unionByName(cut(compare(pairs, texts, size), "compared"))
+        now, most = cut(_left(now, centers, compared, num, den), "buckets"), most * 4
+    return compared.where(den * F.col("both") >= num * F.col("total")).select(F.col("id").alias("u"), F.col("center").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -166,21 +199,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     features = cut(docs.mapInArrow(_features(shingle), FEATURES), "features")
     named = features.where("doc_id is not null and class is not null")
     classes = cut(named.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("vals").alias("vals")), "classes")
-    groups = cut(candidate_groups(classes), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    # blocks of a large group: a class belongs to one block and goes to every pair of blocks that has it
-    blocks = F.when(F.col("n") <= 2 * TILE, F.lit(1)).otherwise(F.ceil(F.col("n") / TILE))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b")))
-    # a block meets itself in any tile it is in, so the tile (b, b) is only needed when there is one block
-    tiles = F.filter(tiles, lambda t: (t["a"] != t["b"]) | (F.col("blocks") == 1))
-    dealt = hot_join(groups, sizes, "component").withColumn("blocks", blocks).withColumn("own", own).select("component", F.col("id").alias("rid"), F.explode(tiles).alias("t")).select("rid", F.xxhash64("component", "t.a", "t.b").alias("tile"))
-    members = groups.select(F.col("id").alias("rid")).distinct()
-    # never by broadcast: the members grow with the documents
-    texts = docs.hint("merge").join(members, docs["doc_id"] == members["rid"]).select("rid", "text")
-    tasks = texts.join(dealt, "rid").select("tile", "rid", "text")
-    confirmed = tasks.repartition("tile").sortWithinPartitions("tile", "rid").mapInArrow(_confirm(shingle, num, den), "u long, v long")
-    found = components(cut(confirmed, "links"))
+    found = components(confirmed(classes, docs, shingle, num, den))
     named_classes = classes.select(F.col("class"), "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     out = hot_join(features, cut(named_classes, "components"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

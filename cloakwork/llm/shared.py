@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,16 +39,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-join on a long or string key that may be hot on the left.
+    """Equi-join on a key that may be hot on the left.
 
-    The right side usually comes from an aggregation on the same key. Joining on an expression of the key makes
-    Spark deal out both sides by exchanges of their own, whose skewed partitions adaptive execution may split;
-    with the aggregation's own partitioning it could not.
+    The right side usually comes from an aggregation on the same key. Joining on a hash of the key, too, makes Spark
+    deal out both sides by exchanges of their own, whose skewed partitions adaptive execution may split; with the
+    aggregation's own partitioning it could not.
     """
-    kind = dict(left.dtypes)[key]
-    expr: Column = F.concat(F.col(key), F.lit("")) if kind == "string" else F.col(key) + F.lit(0).cast("long")
-    r = right.withColumn("__k", expr).drop(key)
-    return left.withColumn("__k", expr).join(r, "__k", how).drop("__k")
+    k = free_name([*left.columns, *right.columns], "__k")
+    return left.withColumn(k, F.xxhash64(key)).join(right.withColumn(k, F.xxhash64(key)), [k, key], how).drop(k)
 
 
 def free_name(columns: list[str], name: str) -> str:

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from llm_texts import prose
 
+from pyspark.sql import functions as F
+
 from cloakwork.llm import neardup
 from cloakwork.llm.components import components
 
@@ -44,10 +46,26 @@ def chain(n, seed=0):
     return out
 
 
-@pytest.mark.parametrize("tile", [256, 8])
+def family(seed, n, least, most, words=120):
+    """n texts, each with its own part of one text's words replaced, between two shares."""
+    r = random.Random(seed)
+    base = [f"{w}{r.randrange(40)}" for w in prose(seed, words).split()]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for i in r.sample(range(words), round(words * r.uniform(least, most))):
+            w[i] = f"x{r.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("tile", [512, 7])
 def test_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(neardup, "TILE", tile)
     texts = chain(60, 1) + chain(40, 2) + [prose(s, 90) for s in range(50)] * 2 + ["short one", "Short  ONE", "", None]
+    for k in range(6):  # near copies, texts about as alike as a link needs, and texts that only share keys
+        texts += family(10 + k, 25, 0, 0.03) + family(10 + k, 12, 0.02, 0.06) + family(20 + k, 20, 0.08, 0.2)
+    random.Random(tile).shuffle(texts)
     rows = list(enumerate(texts))
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
     want = brute(rows, 4)
@@ -56,6 +74,47 @@ def test_equals_brute_force(spark, monkeypatch, tile):
     assert all(r["n_shingles"] == len(sets(rows[r["doc_id"]][1], 4)) for r in got)
 
 
+def test_recall_of_pairs_that_are_barely_linked(spark):
+    """400 pairs at 0.80 to 0.95, each of texts of its own: nearly all must be found, and none below 0.8."""
+    r = random.Random(9)
+    rows, linked = [], 0
+    for k in range(400):
+        base = [f"a{k}.{i}" for i in range(r.randint(150, 400))]
+        n = len(base) - 4  # shingles of five words; a new word at the end of the text changes one, then one more each
+        cut = round(n * (1 - r.uniform(0.8, 0.95) * 2 / (1 + r.uniform(0.8, 0.95))) / 1)
+        other = base[: len(base) - max(1, cut)] + [f"b{k}.{i}" for i in range(max(1, cut))]
+        a, b = sets(" ".join(base), 5), sets(" ".join(other), 5)
+        linked += 100 * len(a & b) >= 80 * len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    found = [k for k in range(400) if got[2 * k] == got[2 * k + 1]]
+    assert linked > 100 and len(found) >= 0.995 * linked
+    assert all(100 * len(sets(text[2 * k], 5) & sets(text[2 * k + 1], 5)) >= 80 * len(sets(text[2 * k], 5) | sets(text[2 * k + 1], 5)) for k in found)
+
+
+def test_comparisons_grow_with_the_group(spark):
+    """Near copies, and a long chain of texts each of which is somewhat like the one before."""
+    r = random.Random(4)
+    words = [f"c{i}" for i in range(200)]
+    drift = []
+    for k in range(300):
+        at = r.randrange(170)
+        words[at : at + 30] = [f"d{k}.{i}" for i in range(30)]
+        drift.append(" ".join(words))
+    for texts, least in ((family(5, 600, 0, 0.01), 1), (drift, 300)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        features = docs.mapInArrow(neardup._features(5), neardup.FEATURES)
+        classes = features.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("vals").alias("vals"))
+        n = classes.count()
+        now = neardup.buckets(classes)
+        centers = now.groupBy("key").agg(F.min("id").alias("center"))
+        pairs = now.join(centers, "key").where("id <> center").select("id", "center").distinct().count()
+        assert pairs < 12 * n
+        found = neardup.near_duplicates(docs)
+        assert found.select("component_id").distinct().count() >= least and (least > 1 or found.where("kept").count() == 1)
+
+
 def test_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
