@@ -1,8 +1,11 @@
 """Incremental blob ledger for secret scans.
 
-Every version of every text is addressed by its content (SHA-256). The ledger holds one row for each blob and rule
-version that has been scanned, with its findings. scan() scans only the blobs that the ledger lacks, one copy of
-each, appends them, and joins findings back to all paths (rows) that hold the blob.
+Every version of every text is addressed by its content (SHA-256), and every rule by a hash of what it finds (pattern,
+group, least length). The ledger's rows name a blob, the rules that it was scanned by, and the findings. scan() looks
+for pairs of blob and rule that the ledger lacks, scans one copy of each such blob by just the missing rules, appends
+a row, and joins the findings of the rules asked for back to all paths (rows) that hold the blob. A changed rule is
+another rule: it is scanned anew, and what its old form found is left out. Reading merges the rows of a blob, so that
+a pair that two runs appended, or one run twice, counts once.
 
 All operations are DataFrame functions. A blob's copies, however many, are scanned once: the copy with the smallest
 doc_id. The joins on the blob are dealt out by exchanges that adaptive execution may split.
@@ -13,9 +16,11 @@ no rows and an empty ledger; other columns are ignored by scan().
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import cut, free_name, shared_dir
@@ -32,6 +37,10 @@ class Rule:
     least: int = 1
     has: tuple[str, ...] = ()
 
+    @property
+    def version(self) -> str:
+        return hashlib.sha256(repr((self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+
 
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("=", ":")),
@@ -42,8 +51,8 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", has=("gh",)),
 )
 BASE = 3
-VERSION = "1"
-LEDGER = "blob string, rules string, spans array<struct<start: long, rule: int, end: long>>"
+FOUND = "array<struct<rule: string, start: long, end: long>>"
+LEDGER = f"blob string, rules array<string>, found {FOUND}"
 
 
 def _pieces(text: Column, rule: Rule, number: int) -> Column:
@@ -64,44 +73,66 @@ def _pieces(text: Column, rule: Rule, number: int) -> Column:
     return F.when(may, found).otherwise(F.array().cast("array<struct<rule: int, i: int, gap: int, n: int, g: int>>"))
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """spans of blobs(blob, text), each blob once or more; blobs without findings have no row."""
-    from pyspark.sql import Window
+def _versions(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.lit(r.version) for r in rules))
+
 
-    hits = blobs.select("blob", F.explode(F.concat(*(_pieces(F.col("text"), r, k) for k, r in enumerate(rules)))).alias("h")).select("blob", "h.*").distinct()
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and found of blobs(blob, text, rules: the versions to scan by), each blob once or more; blobs without
+    findings have no row."""
+    none = F.array().cast("array<struct<rule: int, i: int, gap: int, n: int, g: int>>")
+    pieces = (F.when(F.array_contains("rules", r.version), _pieces(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules))
+    hits = blobs.select("blob", F.explode(F.concat(*pieces)).alias("h")).select("blob", "h.*").distinct()
     so_far = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(so_far)
     least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rule") + 1)
     kept = hits.withColumn("end", end).where(F.col("g") >= least)
-    return kept.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("n")).cast("long").alias("start"), F.col("rule").cast("int").alias("rule"), F.col("end").cast("long").alias("end")))).alias("spans"))
+    one = F.struct(F.element_at(_versions(rules), F.col("rule") + 1).alias("rule"), (F.col("end") - F.col("n")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return kept.groupBy("blob").agg(F.sort_array(F.collect_list(one)).cast(FOUND).alias("found"))
+
+
+def _read(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """blob, rules and found of the ledger, one row a blob; None if there is none yet."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    # as many rows a blob as runs wrote it
+    merged = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("rules", "found")]
+    return rows.groupBy("blob").agg(*merged)
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob and spans (null if none) of docs(doc_id, text). ledger: a folder kept between runs; without one
     the run makes its own in the shared folder."""
+    if len({r.version for r in rules}) < len(rules):
+        raise ValueError("two rules are the same")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     versions = docs.select("doc_id", text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("blob"))
     paths = versions.select("doc_id", "blob")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     first = versions.groupBy("blob").agg(F.min(key).alias("first"))
-    known = None
-    if ledger is not None:
-        try:
-            known = spark.read.schema(LEDGER).parquet(ledger)
-        except Exception as e:  # the first run has no ledger yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    if known is not None:
-        first = first.join(known.where(F.col("rules") == version).select(F.col("blob").alias("seen")), F.col("blob") == F.col("seen"), "left_anti")
-    chosen = first.select(F.col("blob").alias("b"), "first")
-    unseen = versions.join(chosen, (F.col("blob") == F.col("b")) & (key == F.col("first"))).select("blob", "text")
+    known = _read(spark, ledger) if ledger is not None else None
+    if known is None:
+        first = first.withColumn("rules", _versions(rules))
+    else:
+        seen = known.select(F.col("blob").alias("b"), F.col("rules").alias("done"))
+        missing = F.array_except(_versions(rules), F.coalesce("done", F.array().cast("array<string>")))
+        first = first.join(seen, F.col("blob") == F.col("b"), "left").select("blob", "first", missing.alias("rules")).where(F.size("rules") > 0)
+    chosen = first.select(F.col("blob").alias("b"), "first", "rules")
+    unseen = versions.join(chosen, (F.col("blob") == F.col("b")) & (key == F.col("first"))).select("blob", "text", "rules")
     found = scan_blobs(unseen, rules)
-    new = first.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rules"), "spans")
     at = ledger or shared_dir(spark, "ledger")
-    new.write.mode("append").parquet(at)
-    entries = spark.read.schema(LEDGER).parquet(at).where((F.col("rules") == version) & F.col("spans").isNotNull())
-    return paths.join(entries.select(F.col("blob").alias("b"), "spans"), F.col("blob") == F.col("b"), "left").drop("b")
+    first.select("blob", "rules").join(found, "blob", "left").select("blob", "rules", F.coalesce("found", F.array().cast(FOUND)).alias("found")).write.mode("append").parquet(at)
+    # rules by their place in the given ones; those of other rules in the ledger have none
+    spans = F.transform("found", lambda x: F.struct(x["start"], (F.array_position(_versions(rules), x["rule"]).cast("int") - 1).alias("rule"), x["end"]))
+    spans = F.sort_array(F.filter(spans, lambda x: x["rule"] >= 0))
+    written = _read(spark, at) if ledger is not None else spark.read.schema(LEDGER).parquet(at)
+    entries = written.select(F.col("blob").alias("b"), spans.alias("spans")).where(F.size("spans") > 0)
+    return paths.join(entries, F.col("blob") == F.col("b"), "left").drop("b")
 
 
 def names(rules: tuple[Rule, ...] = RULES) -> Column:
