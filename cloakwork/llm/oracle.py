@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import quality, secrets
+from cloakwork.llm import quality, secrets, urlrules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,3 +74,22 @@ r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY COA
 s AS (SELECT r.*, rank // 8 AS block, w.share FROM r JOIN w ON r.source IS NOT DISTINCT FROM w.source)
 SELECT s.doc_id, s.source, s.rank AS source_rank, s.block, (s.block // s.share) * p.q + p.slot AS slot, ((s.block // s.share) * p.q + p.slot) * 8 + s.rank % 8 AS place
 FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source AND s.block % s.share = p.block"""
+
+# Every subset of a labelled URL's tokens is counted; folding and pruning change no verdict.
+_HOST = "regexp_extract(COALESCE(url, ''), '^(?s:.*?)://([^/?#]*)', 1)"
+_FIXED = " ".join(
+    f"WHEN (h = {_q(h)} OR ends_with(h, {_q('.' + h)})) AND starts_with(p, {_q(p)}) THEN {{'rule': {_q(h + p)}, 'verdict': {_q(v)}}}" for v, h, p in sorted(urlrules.FIXED, key=lambda r: -len(r[1] + r[2]))
+)
+URLRULES = rf"""WITH u AS (SELECT page_id, url, translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(COALESCE(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS p,
+  regexp_extract(COALESCE(url, ''), '^(?s:.*?)://[^?#]*\?([^#]*)', 1) AS q FROM pages),
+t AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(string_split(h, '.'), lambda x: 'h:' || x), lambda x: x <> 'h:') || list_filter(list_transform(string_split(p, '/'), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '0', 'g')), lambda x: x <> 'p:')
+  || list_filter(list_transform(string_split(q, '&'), lambda x: 'q:' || string_split(x, '=')[1]), lambda x: x <> 'q:'))) AS tok FROM u),
+l AS (SELECT t.tok, b.bad FROM t JOIN (SELECT doc_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY 1) b ON b.doc_id = t.page_id WHERE len(t.tok) > 0),
+z AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (bad) AS bad FROM l),
+s AS (SELECT list_filter(tok, lambda x, i: m // CAST(power(2, i - 1) AS BIGINT) % 2 = 1) AS items, bad FROM (SELECT tok, bad, unnest(range(1, CAST(power(2, len(tok)) AS BIGINT))) AS m FROM l)),
+c AS (SELECT items, COUNT(*) AS n, COUNT(*) FILTER (bad) AS hits FROM s GROUP BY 1),
+r AS (SELECT items FROM c, z WHERE c.hits >= greatest({urlrules.LEAST}, {urlrules.SUPPORT} * z.n) AND c.hits >= {urlrules.CONFIDENCE} * c.n
+  AND (c.hits / c.n + {urlrules.QUANTILE**2} / (2 * c.n) - {urlrules.QUANTILE} * sqrt(c.hits / c.n * (1 - c.hits / c.n) / c.n + {urlrules.QUANTILE**2} / (4 * c.n * c.n))) / (1 + {urlrules.QUANTILE**2} / c.n) > z.bad / z.n),
+b AS (SELECT DISTINCT tok FROM (SELECT DISTINCT tok FROM t) d JOIN r ON list_has_all(d.tok, r.items)),
+f AS (SELECT page_id, h, p, tok, CASE {_FIXED} END AS fixed FROM t)
+SELECT page_id, h AS host, p AS path, fixed.rule AS rule, COALESCE(fixed.verdict, CASE WHEN b.tok IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM f LEFT JOIN b ON f.tok = b.tok"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": oracle.QUALITY, "op5_neardup": oracle.NEARDUP, "op8_secrets": oracle.SECRETS, "op10_mixing": oracle.MIXING}
+    return {"op3_quality": oracle.QUALITY, "op5_neardup": oracle.NEARDUP, "op7_urlrules": oracle.URLRULES, "op8_secrets": oracle.SECRETS, "op10_mixing": oracle.MIXING}
