@@ -2,14 +2,15 @@
 
 Features are the two- and three-character sequences of the lower-cased letters (all else counts as one space),
 hashed to BUCKETS. Each learned language has a smoothed distribution over the buckets. A text's language
-proportions maximise the likelihood of its features as draws from a mixture of these distributions (EM). Sets of its
-1, 2 and 3 likeliest languages are compared by the likelihood less PENALTY * ln(features) for each language.
+proportions maximise the likelihood of its features as draws from a mixture of these distributions (EM). Then the set of
+its languages grows from the likeliest by the next likeliest, with proportions of its own, for as long as that raises
+the likelihood less PENALTY * ln(features) for each language; any number of languages may be in it.
 
 The distributions are learned from a sample of labelled rows, TRAIN_ROWS a language in expectation, chosen by a hash
 of doc_id; counts are summed on the executors, and the driver gets BUCKETS numbers a language, for every language.
 
-Defined cases: a text that is null or has no letter is "und" with score 0; without a learned language all are "und";
-a null doc_id has the checksum of an empty text; equal rows get equal results; other columns are ignored.
+Defined cases: a text that is null or has no letter is "und" with score 0; without a learned language all are "und"; of
+languages with one proportion the first by name counts as likelier; a null doc_id has the checksum of an empty text; equal rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from cloakwork.llm.neardup import mix64
 from cloakwork.llm.tokens import batches
 
 BUCKETS, TRAIN_ROWS = 1 << 15, 4000
-STEPS, SET, PENALTY, SMOOTH = 12, 3, 4.0, 0.5
+STEPS, PENALTY, SMOOTH = 12, 4.0, 0.5
 #: Characters at a time, for four languages; fewer for more.
 SLICE = 400_000
 PREDICTED = "doc_id long, lang_pred string, score double, mixture string"
@@ -110,17 +111,20 @@ def mixtures(texts: list[str], model: np.ndarray) -> list[np.ndarray | None]:
     total = np.add.reduceat(n, starts)
     p, _ = _em(likely, n, starts, doc, total, np.ones((len(size), model.shape[1]), np.float32), STEPS)
     order = np.argsort(-p, axis=1, kind="stable")
-    best_p, best = None, None
-    for k in range(1, min(SET, model.shape[1]) + 1):
-        allowed = np.zeros_like(p)
-        np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-        q, fit = _em(likely, n, starts, doc, total, allowed, 0 if k == 1 else STEPS)
-        fit = fit - k * PENALTY * np.log(np.maximum(total, 2))
-        if best is None:
-            best_p, best = q, fit
-        else:
-            better = fit > best
-            best_p[better], best[better] = q[better], fit[better]
+    best_p, best = np.zeros_like(p), np.full(len(size), -np.inf)
+    growing = np.arange(len(size))  # documents whose set the last language has improved
+    for k in range(1, model.shape[1] + 1):
+        allowed = np.zeros((len(growing), model.shape[1]), np.float32)
+        np.put_along_axis(allowed, order[growing, :k], 1, axis=1)
+        own = slice(None) if len(growing) == len(size) else np.isin(doc, growing)
+        size_k = size[growing]
+        q, fit = _em(likely[own], n[own], np.cumsum(size_k) - size_k, np.repeat(np.arange(len(size_k)), size_k), total[growing], allowed, 0 if k == 1 else STEPS)
+        fit = fit - k * PENALTY * np.log(np.maximum(total[growing], 2))
+        better = fit > best[growing]
+        growing = growing[better]
+        best_p[growing], best[growing] = q[better], fit[better]
+        if not len(growing):
+            break
     for i, q in zip(which, best_p):
         out[i] = q
     return out

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -84,14 +86,56 @@ def test_rules_are_mined_and_pruned(spark):
         spam, shop = r.random() < 0.2, r.random() < 0.5
         host = "spam" if spam else r.choice("abcd")
         rows.append((i, f"http://{host}.site.io/{'shop' if shop else 'blog'}/{i}?ref=1", spam and shop))
-    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(900, "http://spam.other.io/shop/x"), (901, "http://spam.site.io/blog/9"), (902, None)], "page_id long, url string")
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(900, "http://spam.other.io/shop/x"), (901, "http://spam.site.io/blog/9"), (902, None), (None, "http://spam.x/shop"), (None, "http://spam.x/shop")], "page_id long, url string")
+    pages = pages.selectExpr("*", "'x' AS token", "1 AS n", "2 AS id", "array(1) AS tokens")
     labels = spark.createDataFrame([(i, b) for i, _, b in rows] + [(None, True), (3, None)], "page_id long, bad boolean")
-    got = {x["page_id"]: x["verdict"] for x in urlrules.judge(pages, labels).collect()}
+    out = urlrules.judge(pages, labels).collect()
+    got = {x["page_id"]: x["verdict"] for x in out}
+    assert len(out) == 605 and [x["verdict"] for x in out if x["page_id"] is None] == ["block"] * 2
     assert all(got[i] == ("block" if b else "allow") for i, _, b in rows)
     assert got[900] == "block" and got[901] == "allow" and got[902] == "allow"
     tokens = urlrules.tokens
-    labelled = pages.join(labels, "page_id").select(tokens(pages.url, urlrules.host(pages.url), urlrules.path(pages.url)).alias("tokens"), "bad").where("bad is not null")
-    assert [x["tokens"] for x in urlrules.mine(labelled).collect()] == [["h:spam", "p:shop"]]
+    labelled = pages.drop("tokens").join(labels, "page_id").select(tokens(pages.url, urlrules.host(pages.url), urlrules.path(pages.url)).alias("tokens"), "bad").where("bad is not null")
+    assert [x["needs"] for x in urlrules.mine(labelled).collect()] == [[["h:spam"], ["p:shop"]]]
+
+
+def wilson(hits, n, z=urlrules.QUANTILE):
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def brute_rules(rows, least, confidence):
+    """Token sets with support, confidence and bound that no subset is as sure as."""
+    base = sum(b for _, b in rows) / len(rows)
+    sets = {s for t, b in rows if b for k in range(1, len(t) + 1) for s in itertools.combinations(sorted(t), k)}
+    found = {}
+    for s in sets:
+        has = [b for t, b in rows if set(s) <= set(t)]
+        if sum(has) >= least and sum(has) >= confidence * len(has) and wilson(sum(has), len(has)) > base:
+            found[frozenset(s)] = sum(has) / len(has)
+    return {s for s, c in found.items() if not any(x < s and d >= c for x, d in found.items())}
+
+
+def test_rules_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for _ in range(300):
+        t = {x for x in "abcdef" if r.random() < 0.4}
+        t |= {"g", "h"} if "a" in t else set()  # always with a
+        rows.append((sorted(t), r.random() < (0.9 if {"a", "b"} <= t else 0.75 if "c" in t and "d" not in t else 0.2)))
+    rows = [x for x in rows if x[0]]
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), support=0.0, least=12).collect()
+    got = {frozenset(s) for x in got for s in itertools.product(*x["needs"])}
+    want = brute_rules(rows, 12, urlrules.CONFIDENCE)
+    assert len(want) > 3 and {s for s in want if len(s) > 1} and got == want
+
+
+def test_tokens_that_always_come_together(spark):
+    tail = "&".join(f"k{i}=1" for i in range(30))
+    pages = spark.createDataFrame([(i, f"http://h{i}.io/p?{tail}" if i % 2 else f"http://h{i}.io/q?z=1") for i in range(400)] + [(999, "http://new.org/x?k7=2"), (1000, "http://a.io/" + "b/" * 20_000)], "page_id long, url string")
+    labels = spark.range(400).selectExpr("id AS page_id", "id % 2 = 1 AND id % 9 <> 0 AS bad")
+    got = {x["page_id"]: x["verdict"] for x in urlrules.judge(pages, labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400)) and got[999] == "block" and got[1000] == "allow"
 
 
 def talk(n, seed):
@@ -123,8 +167,6 @@ def test_markers_tell_roles_in_one_text(spark):
 
 
 def test_viterbi_equals_brute_force():
-    import itertools
-
     r = np.random.default_rng(5)
     model = chat.Model({(str(k), s, f): float(r.random() * 20) for k, n in enumerate(chat.SIZES) for s in range(len(chat.STATES)) for f in range(n)})
     for _ in range(5):
@@ -152,12 +194,53 @@ def test_every_language_is_learned(spark):
     assert len(langid.learn(docs)[0]) == 210
 
 
-def test_redundant_rules_take_no_place(spark):
-    together = ["h:z", *(f"p:{i}" for i in range(11))]  # 2 ** 11 rules as sure as the first token's alone
-    rows = [(together, True)] * 60 + [(["p:other"], i < 27) for i in range(40)]
-    labelled = spark.createDataFrame(rows + [([f"p:{i}"], False) for i in range(11) for _ in range(45)], "tokens array<string>, bad boolean")
-    got = {tuple(r["tokens"]) for r in urlrules.mine(labelled).collect()}
-    assert ("h:z",) in got and ("p:other",) in got
+def test_mixture_equals_brute_force():
+    """The same model in plain Python: EM over all languages, then nested sets."""
+    r = random.Random(6)
+    langs = ["aa", "bb", "cc", "dd"]
+    known = {**LANGS, "dd": "wub pok rij nux glo"}
+    model = np.full((langid.BUCKETS, 4), langid.SMOOTH)
+    for i, lang in enumerate(langs):
+        for _ in range(50):
+            syllables = known[lang].split()
+            np.add.at(model[:, i], langid.features(" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(60))), 1)
+    model = (model / model.sum(0)).astype(np.float32)
+
+    def text(*parts):
+        return " ".join("".join(r.choice(known[lang].split()) for _ in range(2)) for lang, n in parts for _ in range(n))
+
+    texts = [text(("aa", 80)), text(("aa", 50), ("dd", 90)), text(("aa", 60), ("bb", 60), ("cc", 60)), text(("aa", 60), ("bb", 70), ("cc", 80), ("dd", 90)), "x", text(("bb", 3)), ""]
+    texts += texts[:2]  # repeated rows
+
+    def em(f, allowed, steps):
+        p = {i: 1 / len(allowed) for i in allowed}
+        for _ in range(steps):
+            new = dict.fromkeys(allowed, 0.0)
+            for b in f:
+                s = sum(float(model[b, i]) * p[i] for i in allowed)
+                for i in allowed:
+                    new[i] += float(model[b, i]) * p[i] / s / len(f)
+            p = new
+        return p, sum(math.log(sum(float(model[b, i]) * p[i] for i in allowed)) for b in f)
+
+    sizes = []
+    for t, q in zip(texts, langid.mixtures(texts, model)):
+        f = langid.features(t).tolist()
+        if not f:
+            assert q is None
+            continue
+        p, _ = em(f, range(4), langid.STEPS)
+        order = sorted(range(4), key=lambda i: -p[i])
+        best, want = -math.inf, None
+        for k in range(1, 5):
+            p, fit = em(f, order[:k], 0 if k == 1 else langid.STEPS)
+            fit -= k * langid.PENALTY * math.log(max(len(f), 2))
+            if fit <= best:
+                break
+            best, want = fit, p
+        sizes.append(len(want))
+        assert all(abs(q[i] - want.get(i, 0.0)) < 1e-3 for i in range(4))
+    assert sizes[:4] == [1, 2, 3, 4]
 
 
 def test_long_conversation_equals_whole_viterbi(spark, monkeypatch):

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import pytest
 from llm_texts import prose
+from pyspark.sql import functions as F
 
 from cloakwork.llm import mixing, quality, secrets
 from cloakwork.llm.shared import shared_dir
@@ -76,6 +77,10 @@ def test_secret_spans_equal_brute_force(spark):
         assert r["blob"] == hashlib.sha256((TEXTS[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def _found(rows):
+    return {r["doc_id"]: [(s["start"], s["rule"], s["end"]) for s in r["spans"] or ()] for r in rows}
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = shared_dir(spark, "ledger")
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
@@ -84,9 +89,32 @@ def test_ledger_scans_only_what_is_new(spark):
     again = secrets.scan(docs, ledger).collect()
     rows = spark.read.parquet(ledger).collect()
     assert len(rows) == len({x["blob"] for x in rows}) == 6  # null and empty are one blob
-    assert {r["doc_id"]: r["spans"] for r in again if r["doc_id"] < 3} == {r["doc_id"]: r["spans"] for r in first}
-    secrets.scan(docs, ledger, version="2").collect()
-    assert spark.read.parquet(ledger).count() == 12
+    assert {i: x for i, x in _found(again).items() if i < 3} == _found(first)
+    secrets.scan(docs, ledger).collect()
+    assert spark.read.parquet(ledger).count() == 6
+
+
+def test_changed_rules_are_scanned_anew_and_alone(spark):
+    ledger = shared_dir(spark, "ledger")
+    docs = spark.createDataFrame([(1, "zz99 and zz1234 AKIA"), (2, "none")], "doc_id long, text string")
+    old = (secrets.Rule("a", "zz[0-9]{4}"), secrets.Rule("b", "AKIA"))
+    assert _found(secrets.scan(docs, ledger, old).collect()) == {1: [(9, 0, 15), (16, 1, 20)], 2: []}
+    new = (secrets.Rule("a", "zz[0-9]{2}"), secrets.Rule("b", "AKIA"))
+    assert _found(secrets.scan(docs, ledger, new).collect()) == {1: [(0, 0, 4), (9, 0, 13), (16, 1, 20)], 2: []}
+    rows = [r["rules"] for r in spark.read.parquet(ledger).collect()]
+    assert sorted(rows) == sorted([[r.version for r in old]] * 2 + [[new[0].version]] * 2)
+    assert _found(secrets.scan(docs, ledger, old[1:]).collect()) == {1: [(16, 0, 20)], 2: []}
+    with pytest.raises(ValueError):
+        secrets.scan(docs, ledger, old + old)
+
+
+def test_a_blob_that_two_runs_appended_counts_once(spark):
+    docs = spark.createDataFrame([(i, TEXTS[0]) for i in range(2)], "doc_id long, text string")
+    ledger = shared_dir(spark, "ledger")
+    want = _found(secrets.scan(docs, ledger).collect())
+    spark.read.parquet(ledger).withColumn("found", F.reverse("found")).write.mode("append").parquet(ledger)
+    got = secrets.scan(docs, ledger).collect()
+    assert len(got) == 2 and _found(got) == want
 
 
 def test_secrets_odd_rows_and_redaction(odd, none, spark):
