@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is a multiset of paragraphs: its lines, cut further after sentence ends, and long sentences after every
-SENTENCE words, so that a text of one line has several. The digest of a paragraph is a 64-bit hash of its text and
+A text is a multiset of paragraphs: its lines, cut further after sentence ends, and sentences after every SENTENCE
+words, so that a text of one line has several. The digest of a paragraph is a 64-bit hash of its text and
 of how many times it came before. A sketch has three rows of cells; a digest is added to one cell of each. A cell
 holds a count, the sum of digests and the sum of their check hashes. The difference of two texts' sketches holds
 only the digests that one of them lacks; cells with one digest are peeled until none is left. If cells remain, both
@@ -44,7 +44,7 @@ _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 def paragraphs(text: str) -> list[str]:
     out: list[str] = []
     for p in _END.split(text):
-        if len(p) > 8 * SENTENCE:
+        if len(p) > 2 * SENTENCE and len(p.split()) > SENTENCE:
             out += _PART.findall(p)
         elif p:
             out.append(p)
@@ -237,30 +237,37 @@ def edits(docs: DataFrame) -> DataFrame:
     start of the next document's text), and how alike its fingerprint is to that and to the next document's.
 
     The next document is the one with the next smaller doc_id, after the last the first; a single document follows
-    itself. One exchange brings neighbours together: ranges of ids are found from the ids alone, and the first
-    document of each range is dealt to the range before it, too. What the driver gets is two ids a range.
+    itself. One exchange brings neighbours together, a range a task: ranges are found from ids and hashes alone, and the
+    first document of each range is dealt to the range before it, too. What the driver gets is one id and hash a range
+    (and the sample of ids by which Spark finds ranges, at most a million).
 
-    Defined cases: a null text is an empty one; rows of equal doc_id come in the order of their texts; rows without
-    doc_id come last; an empty table gives no rows; other columns are ignored.
+    Defined cases: a null text is an empty one; rows of equal doc_id come in descending order of their texts' hash, by
+    which any number of them are split over ranges; rows without doc_id come last; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    ranges = docs.select(key.alias("k")).repartitionByRange(4 * partitions(spark), "k").groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("top")).collect()
-    tops = np.array(sorted(r["top"] for r in ranges), np.int64)  # ascending; a document of range i is at most tops[i]
-    if not len(tops):
+    docs = docs.withColumns({"k": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "h": F.xxhash64("text")})
+    ranges = docs.select("k", "h").repartitionByRange(partitions(spark), "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("k", "h")).alias("top")).collect()
+    tops = sorted((r["top"]["k"], r["top"]["h"]) for r in ranges)  # ascending; a document of range i is at most tops[i]
+    if not tops:
         return spark.createDataFrame([], EDITS)
+    top_k, top_h = (np.array(x, np.int64) for x in zip(*tops))
 
-    # range, and whether the document is the highest of it; the ids alone go to Python
-    @F.pandas_udf("struct<b: long, head: boolean>")
-    def place(k: pd.Series) -> pd.DataFrame:
-        b = np.searchsorted(tops, k.to_numpy())
-        return pd.DataFrame({"b": b, "head": tops[b] == k.to_numpy()})
+    # range, and whether the document is the highest of it; ids and hashes alone go to Python
+    @F.pandas_udf("struct<b: int, head: boolean>")
+    def place(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        k, h = k.to_numpy(), h.to_numpy()
+        b, end = np.searchsorted(top_k, k), np.searchsorted(top_k, k, "right")
+        for i in np.flatnonzero(end > b).tolist():  # ids that are tops
+            b[i] += np.searchsorted(top_h[b[i] : end[i]], h[i])
+        return pd.DataFrame({"b": b.astype(np.int32), "head": (top_k[b] == k) & (top_h[b] == h)})
 
     n = len(tops)
-    dealt = docs.withColumn("at", place(key)).select("doc_id", "text", "at.b", "at.head")
+    dealt = docs.withColumn("at", place("k", "h")).select("doc_id", "h", "text", "at.b", "at.head")
     is_head = F.col("head")
     # descending order: range b + 1 comes before b, and the highest follows range 0
     copies = F.when(is_head, F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("extra")), F.struct(((F.col("b") + 1) % n).alias("b"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("extra"))))
-    rows = dealt.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.b", "c.extra", "doc_id", "text")
-    return rows.repartition("b").sortWithinPartitions("b", "extra", F.desc_nulls_last("doc_id"), "text").mapInArrow(_edit_part, EDITS)
+    rows = dealt.select(F.explode(copies).alias("c"), "doc_id", "text", "h").select("c.b", "c.extra", "doc_id", "text", "h")
+    order = ["extra", F.desc_nulls_last("doc_id"), F.desc("h"), "text"]
+    return rows.repartitionById(n, F.col("b")).sortWithinPartitions(*order).mapInArrow(_edit_part, EDITS)

@@ -4,15 +4,16 @@ A shard holds records one after another, each framed as: length of the payload (
 bytes (4), payload, masked checksum of the payload (4). All numbers are little-endian. The checksum is CRC-32; the
 mask rotates it right by 15 bits and adds 0xa282ead8, so that checksums stored inside payloads do no harm. The
 payload is: doc_id (8 bytes, signed), flags (1 byte: 1 if doc_id is null), bytes an id (1), and the ids. Ids take two
-bytes when the vocabulary fits, else four. Beside NAME.bin lies NAME.idx: the offset of each record (8 bytes), so
+bytes when all ids of the tokenizer and the end id fit, else four. Beside NAME.bin lies NAME.idx: the offset of each record (8 bytes), so
 that a reader can fetch the records in any order.
 
 Writing: rows are dealt by ranges of doc_id, one shard a partition; a shard is written under a name of its own for
 each attempt and is named in the manifest only if its task succeeded. A task that is repeated writes another file;
 nothing refers to the first. Files go through pyarrow's file systems, so the folder may be in any store it knows.
 
-Defined cases: a null text is an empty one (only the end id); null doc_ids come first; equal doc_ids are ordered by
-text; an empty table gives no shard and no rows; other columns are ignored.
+Defined cases: a null text is an empty one (only the end id); null doc_ids come first; rows of equal or null doc_id are
+ordered by a hash of the text, by which any number of them are split over shards, then by text; an empty table gives no
+shard and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,9 +84,10 @@ def read_at(path: str, wanted: list[int]) -> list[tuple[int | None, np.ndarray]]
         return out
 
 
-def _write_part(folder: str, tokenizer: str, kind: str, end_id: int, width: int):
+def _write_part(folder: str, tokenizer: str, kind: str, end_id: int):
     def run(parts):
         encoder = Encoder.of(tokenizer, kind)
+        width = 2 if max(encoder.highest, end_id) < 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         fs, base = pa.fs.FileSystem.from_uri(folder)
         path, out, offsets, at, docs, tokens = f"/shard-{shard:06d}-{uuid.uuid4().hex}.bin", None, [], 0, 0, 0
@@ -113,13 +115,14 @@ def _write_part(folder: str, tokenizer: str, kind: str, end_id: int, width: int)
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", end_id: int = 1, vocabulary: int = 1 << 16) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", end_id: int = 1) -> list[dict]:
     """Write docs(doc_id, text) as shards in ascending doc_id order; the manifest, one entry a shard (bounded by the
     number of partitions), in order, with the ids before each shard as `start`."""
-    width = 2 if vocabulary <= 1 << 16 else 4
     n = partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    shards = sorted((r.asDict() for r in ordered.mapInArrow(_write_part(folder, tokenizer, kind, end_id, width), MANIFEST).collect()), key=lambda r: r["shard"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    shards = sorted((r.asDict() for r in ordered.mapInArrow(_write_part(folder, tokenizer, kind, end_id), MANIFEST).collect()), key=lambda r: r["shard"])
     start = 0
     for s in shards:
         s["start"] = start

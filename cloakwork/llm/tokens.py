@@ -42,7 +42,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = kind
         vocab = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.highest = max(vocab.values())
+        self.edge = np.zeros(self.highest + 1, bool)
         for token, i in vocab.items():
             self.edge[i] = token.startswith("\u0120") if kind == "byte" else token.endswith("</w>")
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids

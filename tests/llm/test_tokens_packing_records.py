@@ -105,3 +105,17 @@ def test_damage_is_found(tmp_path):
     path.write_bytes(data[:-1])
     with path.open("rb") as f, pytest.raises(ValueError):
         list(records.read_records(f))
+
+
+def test_records_of_a_large_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"[U]": 0, "far": 70_000, "low": 5}, unk_token="[U]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    docs = spark.createDataFrame([(None, f"far low {'low ' * i}") for i in range(40)], "doc_id long, text string")
+    shards = records.write(docs, shared_dir(spark, "records"), str(tmp_path / "t.json"), "whole", end_id=1)
+    assert len(shards) > 1  # rows of one id are split
+    want = sorted(zlib.crc32(np.array([70_000, 5, *[5] * i, 1], "<u4").tobytes()) for i in range(40))
+    assert sorted(r["ids_crc32"] for r in records.read(spark, shards).collect()) == want
+    assert all(70_000 in records.read_at(s["path"], [0])[0][1] for s in shards)
