@@ -6,7 +6,9 @@ Each stage takes what its predecessor kept, written as Parquet in the shared fol
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloakwork.llm import mixing, neardup, packing, quality, secrets
 from cloakwork.llm.shared import cut, partitions
@@ -35,11 +37,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 1024 tokens, which are filled in the order of the schedule.
 
-    Files keep no order between them, so the places are computed again, and partitions are ranges of them.
+    Files keep that order in their names and rows, but readers do not: documents are dealt by ranges of file and row.
     """
-    places = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text", "place")
-    docs = places.repartitionByRange(partitions(spark), "place").sortWithinPartitions("place")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files: rows come in the order that docs has
+        return packing.pack(docs, tokenizer, "byte", end_id=0)
+    number = [F.regexp_extract("file", p, 1).try_cast("long") for p in (r"^part-([0-9]+)", r"-c([0-9]+)[.]")]
+    order = [*number, F.col("file"), F.col("row")]
+    ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    return packing.pack(ordered.select("doc_id", "text"), tokenizer, "byte", end_id=0)
 
 
 STAGES = [
