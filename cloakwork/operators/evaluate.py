@@ -6,13 +6,12 @@ Span tables are long: note_id, span_start, span_end, span_tag[, score, recognize
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.operators.spans import resolve_frame
+from cloakwork.operators.spans import packed_rows, resolve_frame, resolved_rows
 
 KEY = ["note_id", "span_tag", "span_start", "span_end"]
 
@@ -39,28 +38,68 @@ def explode_labels(spans: DataFrame, labels: Mapping[str, Sequence[str]], column
     return spans.withColumn(column, F.explode(table[F.col(column)]))
 
 
-def find_matches(gold: DataFrame, predicted: DataFrame, threshold: float = 0.5, exact: bool = False, denominator: str = "prediction") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(true positives: gold keys, false positives: predictions, false negatives: gold rows).
+def _enough(p: Column, g: Column, threshold: float, exact: bool, denominator: str) -> Column:
+    """Whether prediction p covers gold span g enough; both have start and end."""
+    if exact:
+        return (p["start"] == g["start"]) & (p["end"] == g["end"])
+    if threshold <= 0:
+        return F.lit(True)
+    both = F.greatest(F.lit(0), F.least(p["end"], g["end"]) - F.greatest(p["start"], g["start"]))
+    size = p["end"] - p["start"] if denominator == "prediction" else g["end"] - g["start"]
+    return F.when(size > 0, both / size).otherwise(0.0) >= threshold
+
+
+KINDS = ("tp", "fp", "fn")
+
+
+def _matched(golds: Column, preds: Column, threshold: float = 0.5, exact: bool = False, denominator: str = "prediction") -> Column:
+    """array of struct(kind, tag, start, end) of one note's gold and predicted spans, arrays of struct(tag, start, end,
+    ...); golds come in the order of their ordinals."""
+
+    def of(kind: str, x: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), x["tag"].alias("tag"), x["start"].alias("start"), x["end"].alias("end"))
+
+    def judged(z: Column) -> Column:
+        """Of each prediction what it found (a gold key), else itself."""
+        first = lambda p: F.get(F.filter(z["g"], lambda g: (g["tag"] == p["tag"]) & _enough(p, g, threshold, exact, denominator)), F.lit(0))
+        pairs = F.transform(z["p"], lambda p: F.struct(p.alias("p"), first(p).alias("g")))
+        return F.transform(pairs, lambda x: F.when(x["g"].isNull(), of("fp", x["p"])).otherwise(of("tp", x["g"])))
+
+    def whole(z: Column) -> Column:
+        missed = F.transform(F.filter(z["g"], lambda g: ~F.array_contains(z["found"], of("tp", g))), lambda g: of("fn", g))
+        return F.concat(z["found"], F.filter(z["judged"], lambda x: x["kind"] == "fp"), missed)
+
+    # one value after another as a lambda's variable: what is only named within a lambda would be made for each element
+    step = F.transform(F.array(F.struct(golds.alias("g"), preds.alias("p"))), lambda z: F.struct(z["g"], judged(z).alias("judged")))
+    step = F.transform(step, lambda z: F.struct(z["g"], z["judged"], F.array_distinct(F.filter(z["judged"], lambda x: x["kind"] == "tp")).alias("found")))
+    return F.transform(step, whole)[0]
+
+
+def _by_note(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """note_id, golds and preds of every note in gold: one exchange a side."""
+    span = [F.col("span_tag").alias("tag"), F.col("span_start").alias("start"), F.col("span_end").alias("end")]
+    g = gold.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal"), F.struct(*span).alias("s")))).alias("g"))
+    p = predicted.groupBy("note_id").agg(F.collect_list(F.struct(*span)).alias("preds"))
+    return g.join(p, "note_id", "left").select("note_id", F.col("g.s").alias("golds"), F.coalesce("preds", F.slice("g.s", 1, 0)).alias("preds"))
+
+
+def matched_rows(gold: DataFrame, predicted: DataFrame, **how) -> DataFrame:
+    """note_id, span_tag, span_start, span_end and kind of all true positives (gold keys), false positives
+    (predictions) and false negatives (gold rows).
 
     A prediction counts if its note is in gold and its tag anywhere in gold. Its candidate is the first gold row, by
     ordinal, of its note and tag with enough overlap; a gold key is found if it is somebody's candidate. The overlap
-    is relative to the prediction's length, or to the gold span's. Rows need an ordinal (gold) and a pred_id.
+    is relative to the prediction's length, or to the gold span's (denominator). gold needs an ordinal.
     """
-    g = gold.select("note_id", "span_tag", F.col("span_start").alias("g_start"), F.col("span_end").alias("g_end"), F.col("ordinal").alias("g_ordinal"))
-    p = predicted.join(gold.select("note_id").distinct(), "note_id", "left_semi").join(gold.select("span_tag").distinct(), "span_tag", "left_semi")
-    both = F.greatest(F.lit(0), F.least("span_end", "g_end") - F.greatest("span_start", "g_start"))
-    size = F.col("span_end") - F.col("span_start") if denominator == "prediction" else F.col("g_end") - F.col("g_start")
-    if exact:
-        enough = (F.col("span_start") == F.col("g_start")) & (F.col("span_end") == F.col("g_end"))
-    elif threshold > 0:
-        enough = F.when(size > 0, both / size).otherwise(0.0) >= threshold
-    else:
-        enough = F.lit(True)
-    first = p.join(g, ["note_id", "span_tag"]).where(enough).groupBy("pred_id").agg(F.min(F.struct("g_ordinal", "note_id", "span_tag", "g_start", "g_end")).alias("c"))
-    tp = first.select(F.col("c.note_id").alias("note_id"), F.col("c.span_tag").alias("span_tag"), F.col("c.g_start").alias("span_start"), F.col("c.g_end").alias("span_end")).distinct()
-    fp = p.join(first.select("pred_id"), "pred_id", "left_anti")
-    fn = gold.join(tp, KEY, "left_anti")
-    return tp, fp, fn
+    rows = _by_note(gold, predicted).select("note_id", F.explode(_matched(F.col("golds"), F.col("preds"), **how)).alias("m"))
+    rows = rows.select("note_id", F.col("m.tag").alias("span_tag"), F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), F.col("m.kind").alias("kind"))
+    return rows.join(gold.select("span_tag").distinct(), "span_tag", "left_semi").select(*KEY, "kind")
+
+
+def find_matches(gold: DataFrame, predicted: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """matched_rows() as three tables: true positives, false positives, false negatives."""
+    rows = matched_rows(gold, predicted, **how)
+    return tuple(rows.where(F.col("kind") == k).drop("kind") for k in KINDS)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -70,11 +109,13 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
 
 
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+
+
 def counts(gold: DataFrame, predicted: DataFrame, by: Sequence[str], **how) -> DataFrame:
-    """tp, fp and fn for each value of the columns by."""
-    tp, fp, fn = find_matches(gold, predicted, **how)
-    rows = reduce(DataFrame.unionByName, (d.select(*by, *(F.lit(int(k == i)).alias(n) for i, n in enumerate(("tp", "fp", "fn")))) for k, d in enumerate((tp, fp, fn))))
-    return rows.groupBy(*by).agg(*(F.sum(n).cast("long").alias(n) for n in ("tp", "fp", "fn"))) if by else rows.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in ("tp", "fp", "fn")))
+    """tp, fp and fn for each value of the columns by, which are of note_id, span_tag, span_start and span_end."""
+    return matched_rows(gold, predicted, **how).groupBy(*by).agg(*_counts())
 
 
 def compute_metrics(gold: DataFrame, predicted: DataFrame, by: Sequence[str] = ("span_tag",), **how) -> DataFrame:
@@ -102,40 +143,36 @@ def format_results(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({c: F.format_string("%.4f", F.col(c)) for c in ("precision", "recall", "f1")})
 
 
-def matched_rows(gold: DataFrame, predicted: DataFrame, **how) -> DataFrame:
-    """All true positives, false positives and false negatives as rows with a column kind."""
-    return reduce(DataFrame.unionByName, (d.select(*KEY).withColumn("kind", F.lit(k)) for k, d in zip(("tp", "fp", "fn"), find_matches(gold, predicted, **how))))
-
-
 def ablation(gold: DataFrame, predicted: DataFrame, configs: Mapping[str, Sequence[str]], **how) -> DataFrame:
     """Micro and macro scores of each configuration: predictions of its categories, resolved per note, matched.
 
-    The configurations' predictions are matched in one plan: each gets a copy of the notes under a name of its own.
+    A note's gold spans and predictions meet once; all configurations are resolved and matched there.
     """
-    names = list(configs)
-    parts = []
-    for name in names:
-        kept = predicted.where(F.col("category").isin(list(configs[name])))
-        parts.append(resolve_frame(kept.select("note_id", "span_start", "span_end", "span_tag", "score")).withColumn("config", F.lit(name)))
-    preds = reduce(DataFrame.unionByName, parts).withColumn("note_id", F.concat_ws("\u0001", "config", F.col("note_id").cast("string")))
-    preds = preds.withColumn("pred_id", F.xxhash64("note_id", "span_start", "span_end", "span_tag"))
-    golds = gold.withColumn("config", F.explode(F.array(*(F.lit(n) for n in names)))).withColumn("note_id", F.concat_ws("\u0001", "config", F.col("note_id").cast("string")))
-    tp, fp, fn = find_matches(golds, preds, **how)
-    rows = reduce(DataFrame.unionByName, (d.select(F.substring_index("note_id", "\u0001", 1).alias("config"), "span_tag", *(F.lit(int(k == i)).alias(n) for i, n in enumerate(("tp", "fp", "fn")))) for k, d in enumerate((tp, fp, fn))))
-    by_tag = rows.groupBy("config", "span_tag").agg(*(F.sum(n).cast("long").alias(n) for n in ("tp", "fp", "fn")))
+    rest = ["span_tag", "span_start", "span_end", "category"]
+    packed = predicted.groupBy("note_id").agg(packed_rows(predicted, rest).alias("rows"))
+    kind = dict(packed.dtypes)["rows"]
+    g = gold.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct(F.col("span_tag").alias("tag"), F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("s")))).alias("g"))
+    notes = g.join(packed, "note_id", "left").select(F.col("g.s").alias("golds"), F.coalesce("rows", F.array().cast(kind)).alias("rows"))
+
+    def of(categories: Sequence[str]) -> Column:
+        kept = resolved_rows(F.filter("rows", lambda r: r["row"]["category"].isin(list(categories))), kind)
+        preds = F.transform(kept, lambda r: F.struct(r["row"]["span_tag"].alias("tag"), r["start"], (-r["minus"]).alias("end")))
+        return _matched(F.col("golds"), preds, **how)
+
+    each = F.array(*(F.struct(F.lit(name).alias("config"), of(categories).alias("m")) for name, categories in configs.items()))
+    rows = notes.select(F.explode(each).alias("c")).select("c.config", F.explode("c.m").alias("m")).select("config", F.col("m.tag").alias("span_tag"), F.col("m.kind").alias("kind"))
+    by_tag = rows.groupBy("config", "span_tag").agg(*_counts()).join(gold.select("span_tag").distinct(), "span_tag", "left_semi")
     by_tag = by_tag.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
-    out = by_tag.groupBy("config").agg(*(F.sum(n).alias(n) for n in ("tp", "fp", "fn")), *(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
+    out = by_tag.groupBy("config").agg(*(F.sum(n).alias(n) for n in KINDS), *(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
     return out.withColumns({f"micro_{k}": v for k, v in prf(F.col("tp"), F.col("fp"), F.col("fn")).items()})
 
 
 def power_set(spans: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Every combination of models, named by their sorted names joined with "+", resolved per note."""
-    out = []
-    for k in range(1, len(models) + 1):
-        for combo in combinations(sorted(models), k):
-            rows = spans.where(F.col("model_name").isin(list(combo))).drop("model_name")
-            out.append(resolve_frame(rows, "+".join(combo)))
-    return reduce(DataFrame.unionByName, out)
+    """Every combination of models, named by their sorted names joined with "+", resolved per note; one scan."""
+    combos = ["+".join(c) for k in range(1, len(models) + 1) for c in combinations(sorted(models), k)]
+    member = F.create_map(*(x for m in models for x in (F.lit(m), F.array(*(F.lit(c) for c in combos if m in c.split("+"))))))
+    rows = spans.withColumn("__combo", F.explode(member[F.col("model_name")])).drop("model_name")
+    return resolve_frame(rows, by=("__combo", "note_id")).withColumnRenamed("__combo", "model_name")
 
 
 def char_labels(spans: DataFrame) -> DataFrame:
@@ -144,6 +181,30 @@ def char_labels(spans: DataFrame) -> DataFrame:
     return chars.groupBy("note_id", "pos").agg(F.max_by("span_tag", F.struct("ordinal", "span_tag")).alias("tag"))
 
 
+def char_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """token_metrics() of the characters' labels, without a row a character: between two borders of a note's spans all
+    characters have one label."""
+
+    def packed(spans: DataFrame, name: str) -> DataFrame:
+        row = F.struct("ordinal", F.col("span_tag").alias("tag"), F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+        return spans.where("span_end > span_start").groupBy("note_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    notes = packed(gold, "g").join(packed(predicted, "p"), "note_id", "full_outer")
+    none = F.array().cast(dict(notes.dtypes)["g"])
+    notes = notes.select(F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    borders = F.array_sort(F.array_distinct(F.flatten(F.array("g.start", "g.end", "p.start", "p.end"))))
+    notes = notes.withColumn("b", borders)
+    parts = notes.select("g", "p", F.explode(F.arrays_zip(F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(0))).alias("a"), F.slice("b", F.lit(2), F.size("b")).alias("e"))).alias("i"))
+    # sorted by ordinal, so the last that covers an interval tells
+    label = lambda spans: F.coalesce(_covering(spans, F.col("i.a"))["tag"], F.lit("O"))
+    rows = parts.select(label("g").alias("g"), label("p").alias("p"), (F.col("i.e") - F.col("i.a")).cast("long").alias("n"))
+    return _confusion_scores(rows.groupBy("g", "p").agg(F.sum("n").alias("count")))
+
+
+def _covering(spans: str, at: Column) -> Column:
+    return F.try_element_at(F.filter(spans, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(-1))
+
+
 def token_labels(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """note_id, tok_start, tok_end, tag: that of the first span, by ordinal, that overlaps the token; else O."""
     hit = tokens.join(spans.select("note_id", "span_start", "span_end", "span_tag", "ordinal"), "note_id").where((F.col("tok_start") < F.col("span_end")) & (F.col("span_start") < F.col("tok_end")))
@@ -155,16 +216,14 @@ def token_metrics(gold: DataFrame, predicted: DataFrame, on: Sequence[str]) -> D
     """Per label scores of (tag) rows at positions on; positions without a label are O, which isn't scored."""
     g, p = gold.select(*on, F.col("tag").alias("g")), predicted.select(*on, F.col("tag").alias("p"))
     pairs = g.join(p, list(on), "full_outer").select(F.coalesce("g", F.lit("O")).alias("g"), F.coalesce("p", F.lit("O")).alias("p"))
-    confusion = pairs.groupBy("g", "p").count()
+    return _confusion_scores(pairs.groupBy("g", "p").count())
+
+
+def _confusion_scores(confusion: DataFrame) -> DataFrame:
+    """Per label scores of a confusion table (g, p, count)."""
     same = F.col("g") == F.col("p")
     rows = confusion.select(F.col("g").alias("tag"), F.when(same, F.col("count")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(same, 0).otherwise(F.col("count")).alias("fn")).unionByName(
         confusion.where(~same).select(F.col("p").alias("tag"), F.lit(0).cast("long").alias("tp"), F.col("count").alias("fp"), F.lit(0).cast("long").alias("fn"))
     )
     out = rows.where("tag <> 'O'").groupBy("tag").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
     return out.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("support", F.col("tp") + F.col("fn"))
-
-
-def with_pred_id(predicted: DataFrame) -> DataFrame:
-    """A pred_id by content; equal rows are numbered."""
-    w = Window.partitionBy(*KEY).orderBy(*KEY)
-    return predicted.withColumn("pred_id", F.xxhash64(*KEY, F.row_number().over(w)))

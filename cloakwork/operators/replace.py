@@ -1,22 +1,24 @@
-"""Replacement of spans: route each entity type to an operator, compute values once per distinct text, splice.
+"""Replacement of spans: route each entity type to an operator, make its value, splice. No row moves.
 
-Native operators (mask, redact, hash, cap, weekday, fake) are expressions. The others (dates, names, places, format-
-preserving encryption) are Arrow functions and run on distinct (operator, text, jitter) only; their values are joined
-back before one linear fold builds each output text.
+Native operators (mask, redact, hash, cap, fake) are expressions. The others (dates, names, places, format-preserving
+encryption) are one Arrow function that gets a note's texts for them, not the note, and keeps the values it has made
+lately, for names, dates and places repeat. All values are keyed and depend on what an operator reads alone, so the
+same text gets the same value wherever it stands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys, accession_hash, jitter_or_default
 from cloakwork.operators import ages, dates, fake, fpe, locations, names
 from cloakwork.operators.spans import resolve_results
-from cloakwork.schema import ITEMS
+from cloakwork.schema import ITEM, ITEMS, no_spans
 
 # The operator of each entity type; any other type is redacted.
 ROUTES = {
@@ -56,7 +58,8 @@ OPERATORS = ("redact", "masking", "fake", "age_grouping", "hips_alphanumeric", "
 
 @dataclass(frozen=True)
 class Settings:
-    """How spans are replaced. year: of dates without one; study and salt: of accession hashes."""
+    """How spans are replaced. year: of dates without one; study and salt: of accession hashes; names, cities, streets
+    and facilities: what names and places become (None: the built-in lists)."""
 
     keys: Keys = field(repr=False)
     year: int
@@ -67,6 +70,10 @@ class Settings:
     jitter_required: bool = False
     stopwords: tuple[str, ...] = ()
     merge_types: tuple[str, ...] = MERGE_TYPES
+    names: tuple[str, ...] | None = None
+    cities: tuple[str, ...] | None = None
+    streets: tuple[str, ...] | None = None
+    facilities: tuple[str, ...] | None = None
 
     def __post_init__(self):
         unknown = set(self.routes.values()) - set(OPERATORS)
@@ -92,15 +99,22 @@ def mask(entity: Column) -> Column:
 def splice(text: Column, items: Column) -> Column:
     """struct(text, items) with items' spans replaced; items (start, end, entity_type, text, operator) are sorted and
     disjoint, in coordinates of the input; those returned are in coordinates of the output."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.array().cast(ITEMS).alias("items"))
 
-    def step(a: Column, x: Column) -> Column:
-        before = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]))
-        b = F.length(before)
-        item = F.struct(b.alias("start"), (b + F.length(x["text"])).alias("end"), x["entity_type"].alias("entity_type"), x["text"].alias("text"), x["operator"].alias("operator"))
-        return F.struct(F.concat(before, x["text"]).alias("out"), x["end"].alias("at"), F.array_append(a["items"], item).alias("items"))
+    def move(a: Column, x: Column) -> Column:
+        """by: how far the output is ahead of the input; piece: the text before the item."""
+        start = x["start"] + a["by"]
+        item = F.struct(start.alias("start"), (start + F.length(x["text"])).alias("end"), x["entity_type"].alias("entity_type"), x["text"].alias("text"), x["operator"].alias("operator"))
+        piece = F.struct(F.substring(text, a["at"] + 1, x["start"] - a["at"]).alias("piece"), item.alias("item"))
+        by = a["by"] + F.length(x["text"]) - (x["end"] - x["start"])
+        return F.struct(by.alias("by"), x["end"].alias("at"), F.array_append(a["done"], piece).alias("done"))
 
-    return F.aggregate(items, start, step, lambda a: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))).alias("text"), a["items"].alias("items")))
+    def whole(a: Column) -> Column:
+        parts = F.flatten(F.transform(a["done"], lambda d: F.array(d["piece"], d["item"]["text"])))
+        rest = F.substring(text, a["at"] + 1, F.length(text))
+        return F.struct(F.concat(F.array_join(parts, ""), rest).alias("text"), F.transform(a["done"], lambda d: d["item"]).alias("items"))
+
+    start = F.struct(F.lit(0).alias("by"), F.lit(0).alias("at"), F.array().cast(f"array<struct<piece: string, item: {ITEM}>>").alias("done"))
+    return F.aggregate(items, start, move, whole)
 
 
 def mask_text(text: Column, spans: Column) -> Column:
@@ -109,73 +123,89 @@ def mask_text(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(splice(text, items)["text"])
 
 
-def values(spans: DataFrame, settings: Settings) -> DataFrame:
-    """spans(operator, entity_type, original, jitter, patient) with value. Rows are distinct on what an operator
-    reads, so that each value is made once."""
-    s = settings
-    op, text = F.col("operator"), F.col("original")
-    native = (
-        F.when(op == "redact", F.lit(""))
-        .when(op == "keep", text)
-        .when(op == "masking", mask(F.col("entity_type")))
-        .when(op == "age_grouping", ages.cap_age(text, s.age_limit))
-        .when(op == "accession_number_hash", accession_hash(text, F.lit(s.salt), F.lit(s.study), F.col("patient")))
-        .when(op.isin("fake", "faker_anonymizer"), fake.fake(F.col("entity_type"), text, s.keys))
-    )
-    slow = (
-        ("date_jitter", dates.shift_dates(text, F.col("jitter"), s.year)),
-        ("hips_alphanumeric", fpe.encrypt(text, s.keys)),
-        ("hips_names", names.replace_names(text, s.keys, stopwords=s.stopwords)),
-        ("hips_location", locations.replace_locations(text, s.keys, s.stopwords)),
+#: Values that a task keeps.
+MEMO = 100_000
+SLOW = ("date_jitter", "hips_alphanumeric", "hips_names", "hips_location")
+
+
+def native_value(operator: Column, entity: Column, text: Column, patient: Column, s: Settings) -> Column:
+    return (
+        F.when(operator == "redact", F.lit(""))
+        .when(operator == "keep", text)
+        .when(operator == "masking", mask(entity))
+        .when(operator == "age_grouping", ages.cap_age(text, s.age_limit))
+        .when(operator == "accession_number_hash", accession_hash(text, F.lit(s.salt), F.lit(s.study), patient))
+        .when(operator.isin("fake", "faker_anonymizer"), fake.fake(entity, text, s.keys))
     )
-    out = spans.where(~op.isin([n for n, _ in slow])).withColumn("value", native)
-    used = set(s.routes.values())
-    for name, value in slow:
-        if name in used:
-            out = out.unionByName(spans.where(op == name).withColumn("value", value))
-    return out
+
+
+def makers(s: Settings) -> dict[str, Callable[[str, int], str | None]]:
+    """The slow operators, by name, as functions of a text and a jitter."""
+    namer = names.Namer(s.keys, s.names or names.default_names(), s.stopwords)
+    placer = locations.Placer(s.keys, s.facilities or locations.FACILITIES, s.streets or locations.STREETS, s.cities or locations.CITIES, s.stopwords)
+    ids = fpe.Identifiers(s.keys)
+    return {
+        "date_jitter": lambda t, j: dates.shift_date(t, j, s.year),
+        "hips_alphanumeric": lambda t, j: ids.encrypt(t),
+        "hips_names": lambda t, j: namer.replace(t),
+        "hips_location": lambda t, j: placer.replace(t),
+    }
+
+
+def slow_values(asked: Column, jitter: Column, settings: Settings) -> Column:
+    """array<string> for asked, array<struct<operator, text>>: a value for each, null where the text is."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made, known = makers(settings), {}
+
+        def one(operator: str, text: str, days: int) -> str | None:
+            key = (operator, text, days if operator == "date_jitter" else 0)
+            if key not in known:
+                if len(known) >= MEMO:
+                    known.clear()
+                known[key] = made[operator](text, days)
+            return known[key]
+
+        for rows, days in batches:
+            yield pd.Series([[one(x["operator"], x["text"], int(d)) if x["text"] is not None else None for x in row] for row, d in zip(rows, days)])
+
+    return run(asked, jitter)
 
 
 def anonymize(notes: DataFrame, settings: Settings) -> DataFrame:
-    """notes(row_id or text_hash, note_text, spans[, patient_uid, jitter]) with anonymized_note_text, items,
-    entity_count, processing_status and error_message.
+    """notes(note_text, spans[, patient_uid, jitter]) with anonymized_note_text, items, entity_count, processing_status
+    and error_message.
 
-    Spans are resolved first. A null text stays null; a note is never dropped. Two exchanges: of distinct values, and
-    of the spans back to their notes.
+    Spans are resolved first. A null text stays null; a note is never dropped. Each row is done for itself, so texts
+    that several patients share, with or without a row_id, get each patient's values.
     """
-    key = "row_id" if "row_id" in notes.columns else "text_hash"
     patient = F.col("patient_uid") if "patient_uid" in notes.columns else F.lit(None).cast("string")
     given = F.col("jitter") if "jitter" in notes.columns else F.lit(None).cast("int")
-    resolved = notes.withColumn("__spans", resolve_results(F.col("spans"), "longest_wins", settings.merge_types, F.col("note_text")))
-    resolved = resolved.withColumn("__jitter", jitter_or_default(given, patient, settings.keys, settings.jitter_required)).withColumn("__patient", patient)
-    flat = resolved.select(key, "note_text", "__jitter", "__patient", F.explode("__spans").alias("s"))
-    op = route(F.col("s.entity_type"), settings.routes)
-    flat = flat.select(
-        key,
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        F.col("s.entity_type").alias("entity_type"),
-        op.alias("operator"),
-        F.substring("note_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("original"),
-        # what an operator does not read must not split its values
-        F.when(op == "date_jitter", F.col("__jitter")).alias("jitter"),
-        F.when(op == "accession_number_hash", F.col("__patient")).alias("patient"),
+    text = F.col("note_text")
+    routed = F.transform(
+        resolve_results(F.coalesce(F.col("spans"), no_spans()), "longest_wins", settings.merge_types, text),
+        lambda s: F.struct(s["start"], s["end"], s["entity_type"], route(s["entity_type"], settings.routes).alias("operator"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("original")),
     )
-    reads = ["operator", "entity_type", "original", "jitter", "patient"]
-    made = values(flat.select(*reads).distinct(), settings)
-    same = None
-    for c in reads:
-        test = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        same = test if same is None else same & test
-    joined = flat.alias("l").join(made.alias("r"), same).select(*[F.col(f"l.{c}") for c in (key, "start", "end", "entity_type", "operator")], "r.value")
-    items = joined.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "entity_type", F.coalesce("value", F.lit("")).alias("text"), "operator"))).alias("__items"))
-    out = notes.join(items, F.col(key) == F.col("__key"), "left")
-    done = F.when(F.col("__items").isNull(), F.struct(F.col("note_text").alias("text"), F.array().cast(ITEMS).alias("items"))).otherwise(splice(F.col("note_text"), F.col("__items")))
-    return out.withColumn("__done", done).select(
+    rows = notes.withColumns({"__items": F.array_sort(routed), "__jitter": jitter_or_default(given, patient, settings.keys, settings.jitter_required), "__patient": patient})
+    slow = [n for n in SLOW if n in settings.routes.values()]
+    none = F.lit(None).cast("string")
+    asked = F.transform("__items", lambda x: F.struct(x["operator"], F.when(x["operator"].isin(slow), x["original"]).otherwise(none).alias("text")))
+    made = slow_values(asked, F.col("__jitter"), settings) if slow else F.transform("__items", lambda x: none)
+    rows = rows.withColumn("__made", made)
+
+    def item(x: Column, value: Column) -> Column:
+        new = F.coalesce(value, native_value(x["operator"], x["entity_type"], x["original"], F.col("__patient"), settings), F.lit(""))
+        return F.struct(x["start"], x["end"], x["entity_type"], new.alias("text"), x["operator"])
+
+    items = F.zip_with("__items", "__made", item).cast(ITEMS)
+    untouched = F.struct(text.alias("text"), F.array().cast(ITEMS).alias("items"))
+    done = F.when(F.coalesce(F.size("__items"), F.lit(0)) == 0, untouched).otherwise(splice(text, items))
+    return rows.withColumn("__done", done).select(
         *notes.columns,
         F.col("__done.text").alias("anonymized_note_text"),
         F.col("__done.items").alias("items"),
         F.size("__done.items").alias("entity_count"),
-        F.when(F.col("note_text").isNull(), "skipped").otherwise("success").alias("processing_status"),
-        F.when(F.col("note_text").isNull(), "note_text is null").alias("error_message"),
+        F.when(text.isNull(), "skipped").otherwise("success").alias("processing_status"),
+        F.when(text.isNull(), "note_text is null").alias("error_message"),
     )

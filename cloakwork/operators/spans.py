@@ -49,28 +49,49 @@ def by_position(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
+def _last(spans: Column) -> Column:
+    return F.try_element_at(spans, F.lit(-1))
+
+
+def _without_last(spans: Column) -> Column:
+    return F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0)))
+
+
 def dedupe(spans: Column, by_type: bool) -> Column:
-    """One span for each (start, end), or (start, end, type): that of the highest score, the first on ties."""
-    same = (lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"]) & (x["entity_type"] == y["entity_type"])) if by_type else (lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"]))
-    # after by_position equal ranges are neighbours with the best one first; types may alternate, so all are looked at
-    return F.aggregate(by_position(spans), no_spans(), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.array_append(kept, x)))
+    """One span for each (start, end), or (start, end, type): that of the highest score, the first on ties. Equal ones
+    are made neighbours, so that each span is compared with one other."""
+    if by_type:
+        keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["entity_type"].alias("t"), (-s["score"]).alias("c"), s.alias("s")))
+        ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
+    else:
+        ordered = by_position(spans)
+    same = lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"]) & ((x["entity_type"] == y["entity_type"]) if by_type else F.lit(True))
+    return F.aggregate(ordered, no_spans(), lambda kept, x: F.when(F.coalesce(same(x, _last(kept)), F.lit(False)), kept).otherwise(F.array_append(kept, x)))
 
 
 def longest_wins(spans: Column) -> Column:
     """Left to right: a span without overlap is kept; one that is longer than every kept span it overlaps evicts
-    them; any other is dropped. Spans must come sorted."""
+    them; any other is dropped. Spans must come sorted.
+
+    Kept spans are disjoint, so the one that ends last is the only one that a later span can overlap; it stands last.
+    """
 
     def step(kept: Column, x: Column) -> Column:
-        hit = F.filter(kept, lambda k: overlaps(k, x))
-        beats = F.forall(hit, lambda k: length(x) > length(k))
-        return F.when(F.size(hit) == 0, F.array_append(kept, x)).when(beats, F.array_append(F.filter(kept, lambda k: ~overlaps(k, x)), x)).otherwise(kept)
+        last = _last(kept)
+        free = F.size(kept) == 0
+        # of spans without length, one may end before the last one does
+        apart = F.when(x["end"] < last["end"], F.concat(_without_last(kept), F.array(x, last))).otherwise(F.array_append(kept, x))
+        return F.when(free, F.array_append(kept, x)).when(~overlaps(last, x), apart).when(length(x) > length(last), F.array_append(_without_last(kept), x)).otherwise(kept)
 
     return F.aggregate(spans, no_spans(), step)
 
 
 def merge_contained(spans: Column) -> Column:
-    """Drop spans within an earlier kept one; partial overlaps survive. Spans must come sorted."""
-    return F.aggregate(spans, no_spans(), lambda kept, x: F.when(F.exists(kept, lambda k: contains(k, x)), kept).otherwise(F.array_append(kept, x)))
+    """Drop spans within an earlier kept one; partial overlaps survive. Spans must come sorted, so a span lies within
+    an earlier one if the furthest end so far is not before its own."""
+    start = F.struct(F.lit(None).cast("int").alias("reach"), no_spans().alias("kept"))
+    within = lambda a, x: F.coalesce(a["reach"] >= x["end"], F.lit(False))
+    return F.aggregate(spans, start, lambda a, x: F.when(within(a, x), a).otherwise(F.struct(x["end"].alias("reach"), F.array_append(a["kept"], x).alias("kept"))), lambda a: a["kept"])
 
 
 def drop_overlapping_earlier(spans: Column) -> Column:
@@ -170,21 +191,32 @@ def merge_continuous(spans: Column, text: Column, max_gap: int) -> Column:
     return F.aggregate(by_position(spans), no_spans(), step)
 
 
-def resolve_frame(df: DataFrame, model_name: str | None = None) -> DataFrame:
-    """Per note, longest-wins over rows (note_id, span_start, span_end, span_tag, ...); other columns stay."""
-    rest = [c for c in df.columns if c != "note_id"]
-    score = F.col("score") if "score" in df.columns else F.lit(0.0)
-    packed = df.groupBy("note_id").agg(F.collect_list(F.struct(F.col("span_start").alias("start"), (-F.col("span_end")).alias("minus"), (-score).alias("less"), F.struct(*rest).alias("row"))).alias("rows"))
-    kind = dict(packed.dtypes)["rows"]
+def resolved_rows(rows: Column, kind: str) -> Column:
+    """Longest wins over an array (of type kind) of struct(start, minus: -end, less: -score, row)."""
     meets = lambda a, b: (a["start"] < -b["minus"]) & (b["start"] < -a["minus"])
     size = lambda a: -a["minus"] - a["start"]
     same = lambda a, b: (a["start"] == b["start"]) & (a["minus"] == b["minus"])
+    none = F.array().cast(kind)
+    once = F.aggregate(F.array_sort(rows), none, lambda kept, x: F.when(F.coalesce(same(x, _last(kept)), F.lit(False)), kept).otherwise(F.array_append(kept, x)))
 
     def step(kept: Column, x: Column) -> Column:
-        hit = F.filter(kept, lambda k: meets(k, x))
-        beats = F.forall(hit, lambda k: size(x) > size(k)) & ~F.exists(kept, lambda k: same(k, x))
-        return F.when(F.exists(kept, lambda k: same(k, x)), kept).when(F.size(hit) == 0, F.array_append(kept, x)).when(beats, F.array_append(F.filter(kept, lambda k: ~meets(k, x)), x)).otherwise(kept)
+        last = _last(kept)
+        apart = F.when(-x["minus"] < -last["minus"], F.concat(_without_last(kept), F.array(x, last))).otherwise(F.array_append(kept, x))
+        return F.when(F.size(kept) == 0, F.array_append(kept, x)).when(~meets(last, x), apart).when(size(x) > size(last), F.array_append(_without_last(kept), x)).otherwise(kept)
+
+    return F.aggregate(once, none, step)
+
+
+def packed_rows(df: DataFrame, rest: Sequence[str]) -> Column:
+    """An aggregate that collects rows in the form of resolved_rows()."""
+    score = F.col("score") if "score" in df.columns else F.lit(0.0)
+    return F.collect_list(F.struct(F.col("span_start").alias("start"), (-F.col("span_end")).alias("minus"), (-score).alias("less"), F.struct(*rest).alias("row")))
+
 
-    kept = F.aggregate(F.array_sort("rows"), F.array().cast(kind), step)
-    out = packed.select("note_id", F.explode(kept).alias("r")).select("note_id", "r.row.*")
+def resolve_frame(df: DataFrame, model_name: str | None = None, by: Sequence[str] = ("note_id",)) -> DataFrame:
+    """Per note (or the columns by), longest-wins over rows (note_id, span_start, span_end, span_tag, ...); other
+    columns stay."""
+    packed = df.groupBy(*by).agg(packed_rows(df, [c for c in df.columns if c not in by]).alias("rows"))
+    kept = resolved_rows(F.col("rows"), dict(packed.dtypes)["rows"])
+    out = packed.select(*by, F.explode(kept).alias("r")).select(*by, "r.row.*")
     return out.withColumn("model_name", F.lit(model_name)) if model_name is not None else out

@@ -181,8 +181,8 @@ q AS (SELECT * FROM p WHERE note_id IN (SELECT note_id FROM g) AND span_tag IN (
 c AS (SELECT pid, arg_min({{'n': g.note_id, 't': g.span_tag, 'a': g.span_start, 'b': g.span_end}}, (g.ordinal, g.span_start, g.span_end)) AS c FROM q JOIN g ON q.note_id = g.note_id AND q.span_tag = g.span_tag
  WHERE CASE WHEN q.span_end > q.span_start THEN greatest(0, least(q.span_end, g.span_end) - greatest(q.span_start, g.span_start)) / (q.span_end - q.span_start) ELSE 0 END >= 0.5 GROUP BY pid),
 tp AS (SELECT DISTINCT c.n AS note_id, c.t AS span_tag, c.a AS span_start, c.b AS span_end FROM c),
-fp AS (SELECT note_id, span_tag, span_start, span_end FROM q WHERE pid NOT IN (SELECT pid FROM c)),
-fn AS (SELECT note_id, span_tag, span_start, span_end FROM g WHERE (note_id, span_tag, span_start, span_end) NOT IN (SELECT (note_id, span_tag, span_start, span_end) FROM tp)),
+fp AS (SELECT note_id, span_tag, span_start, span_end FROM q ANTI JOIN c USING (pid)),
+fn AS (SELECT note_id, span_tag, span_start, span_end FROM g ANTI JOIN tp USING (note_id, span_tag, span_start, span_end)),
 r AS (SELECT *, 'tp' AS kind FROM tp UNION ALL SELECT *, 'fp' FROM fp UNION ALL SELECT *, 'fn' FROM fn)"""
 _PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END AS f1"
 _SUMS = "COUNT(*) FILTER (kind = 'tp') AS tp, COUNT(*) FILTER (kind = 'fp') AS fp, COUNT(*) FILTER (kind = 'fn') AS fn"
@@ -193,7 +193,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return gold(spark, sf_dir), evaluate.with_pred_id(predicted(spark, sf_dir))
+    return gold(spark, sf_dir), predicted(spark, sf_dir)
 
 
 @query(f"{_MATCH} SELECT note_id, span_tag, span_start, span_end, kind FROM r")
@@ -237,8 +237,7 @@ s AS (SELECT tag, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp,
  SELECT g AS tag, CASE WHEN g = p THEN n ELSE 0 END AS tp, 0 AS fp, CASE WHEN g = p THEN 0 ELSE n END AS fn FROM j UNION ALL SELECT p, 0, n, 0 FROM j WHERE g <> p) WHERE tag <> 'O' GROUP BY 1)
 SELECT tag, tp, fp, fn, {_ROUND}, tp + fn AS support FROM (SELECT *, {_PRF} FROM s)""")
 def char_token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, p = evaluate.char_labels(gold(spark, sf_dir)), evaluate.char_labels(predicted(spark, sf_dir))
-    return _rounded(evaluate.token_metrics(g, p, ["note_id", "pos"]), "precision", "recall", "f1")
+    return _rounded(evaluate.char_metrics(gold(spark, sf_dir), predicted(spark, sf_dir)), "precision", "recall", "f1")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT note_id, "start" AS tok_start, "end" AS tok_end FROM ({TOKENS_SQL})), g AS ({GOLD_SQL}),
