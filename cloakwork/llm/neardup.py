@@ -8,14 +8,16 @@ of similarity s shares some key with probability (1 - (1 - s**ROWS) ** BANDS) **
 1. Signatures: one pass over the texts; equal sets become one class, known by its smallest doc_id.
 2. Values that only one class has are dropped before pairs of values form keys. The classes of a key are its bucket;
    of buckets with the same classes one stays.
-3. Rounds: each bucket names centers (one at first, then four times as many each round), and every class of it is
-   compared with each center on the full shingle sets. Centers are done. Classes linked with the bucket's first center
-   are no longer named; they stay only as long as the triangle inequality of the Jaccard distance allows a link with
-   a class that is still to be named. (One that could be linked with such a class of an earlier center is named yet.)
-   Rounds end when no bucket has two classes left. So every pair that shares a key is compared, but for those that are
-   linked through a center, or cannot be linked. A group of near copies takes one comparison a class and center, and
-   classes that merely chain from bucket to bucket never meet.
-4. Components of the confirmed links, and one join back to all documents.
+3. Rounds that link: in every bucket whose classes are not connected yet, each class may be compared with the smallest
+   one; a class is compared with one such class a round, on the full shingle sets. Links connect classes, and buckets
+   that are connected are done. A group of near copies is connected by about one comparison a class.
+4. Rounds that exclude: a bucket that is not connected yet names centers from outside of its largest component (one at
+   first, then four times as many each round), and every class of another component is compared with each of them.
+   Centers are done. Classes of the largest component stay only as long as the triangle inequality of the Jaccard
+   distance allows a link with one that is still to be named. Rounds end when every bucket is connected or has one
+   class left. So every pair that shares a key is compared, but for those that are connected, or cannot be linked;
+   and classes that merely chain from bucket to bucket never meet.
+5. The components of the confirmed links, and one join back to all documents.
 
 A center is compared with TILE classes a task, whose sets pass one by one. The stored links are between classes;
 copies are never expanded.
@@ -39,6 +41,8 @@ from cloakwork.llm.shared import cut, free_name, hot_join
 BANDS, ROWS = 17, 4
 #: Classes that a task compares with a center.
 TILE = 512
+#: Rounds that compare each class with one other.
+LINKING = 3
 FEATURES = "doc_id long, n_shingles long, class string, vals array<long>"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.string()), ("vals", pa.list_(pa.int64()))])
 _M = np.random.default_rng(20_240_229).integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -145,52 +149,80 @@ def buckets(classes: DataFrame) -> DataFrame:
     return hot_join(keys, one.select("key"), "key")
 
 
-def _left(now: DataFrame, centers: DataFrame, compared: DataFrame, num: int, den: int) -> DataFrame:
-    """What stays in the buckets now(key, id, active: may be named) after their classes were compared with
-    centers(key, center, lead: the bucket's first)."""
-    reach = 1 - num / den + 1e-9
-    linked, distance = den * F.col("both") >= num * F.col("total"), 1 - F.col("both") / F.col("total")
+def _merged(components_: DataFrame | None, links: DataFrame) -> DataFrame:
+    """components_(id, component) after links(u, v): the links between components alone are followed."""
+    if components_ is None:
+        return cut(components(links), "components")
+    of = lambda c: components_.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    mapped = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+    moved = components(mapped.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    nodes = mapped.select(F.col("u").alias("id"), F.col("cu").alias("component")).unionByName(mapped.select(F.col("v").alias("id"), F.col("cv").alias("component")))
+    every = components_.unionByName(nodes).distinct()
+    return cut(hot_join(every, moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
+
+
+def _open(now: DataFrame, components_: DataFrame | None) -> DataFrame:
+    """now(key, id) without connected buckets; c: a class's component, least and least_c: the bucket's smallest class."""
+    labelled = now.withColumn("c", F.col("id")) if components_ is None else now.join(components_, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    spread = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("least"), F.min_by("c", "id").alias("least_c")).where("low <> high")
+    return hot_join(labelled, spread.select("key", "least", "least_c"), "key")
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "center").alias("lo"), F.greatest("id", "center").alias("hi"), "center")
+
+
+def _new(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """pairs(id, center), each pair once, either way, and none of those compared."""
+    once = _unordered(pairs).groupBy("lo", "hi").agg(F.min("center").alias("center"))
+    once = once.join(_unordered(compared).select("lo", "hi"), ["lo", "hi"], "left_anti")
+    return once.select((F.col("lo") + F.col("hi") - F.col("center")).alias("id"), "center")
+
+
+def _left(met: DataFrame, centers: DataFrame, compared: DataFrame, reach: float) -> DataFrame:
+    """What stays in the buckets met(key, id, c, active, center) once their classes were compared with their centers."""
     both_ways = compared.unionByName(compared.select(F.col("center").alias("id"), F.col("id").alias("center"), "both", "total"))
-    known = both_ways.select("id", "center", linked.alias("linked"), distance.alias("d"))
-    met = hot_join(now, centers, "key").where("id <> center")
-    # only buckets in which some comparison failed
-    failed = met.join(known.where("not linked").select("id", "center"), ["id", "center"]).select("key").distinct()
-    met = hot_join(met, failed, "key").join(known, ["id", "center"])
-    rest = cut(met.join(centers.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti"), "met")
-    first = rest.where("lead").select("key", "id", "active", "linked", "d")
-    earlier = first.where("not active and not linked").groupBy("key").agg(F.min("d").alias("nearest"))
-    settled = F.col("linked") & F.coalesce(F.col("nearest") - F.col("d") > reach, F.lit(True))
-    state = first.join(earlier, "key", "left").select("key", "id", (F.col("active") & ~settled).alias("active"))
-    marked = rest.drop("active").join(state, ["key", "id"])
-    bounds = marked.where("active").groupBy("key", "center").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    rest = met.join(centers.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti")
+    # pairs that were connected before need no comparison and have no distance
+    rest = cut(rest.join(both_ways.select("id", "center", (1 - F.col("both") / F.col("total")).alias("d")), ["id", "center"], "left"), "met")
+    bounds = rest.where("active and d is not null").groupBy("key", "center").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+    actives = rest.where("active").groupBy("key", "center").agg(F.count("*").alias("actives"))
+    # a center from which all that are to be named have a distance tells whom they can be linked with
+    whole = bounds.join(actives, ["key", "center"]).where("n = actives").select("key", "center", "low", "high")
     near = (F.col("low") - F.col("d") <= reach) & (F.col("d") - F.col("high") <= reach)
-    left = marked.join(bounds, ["key", "center"]).groupBy("key", "id").agg(F.bool_or("active").alias("active"), F.bool_and(near).alias("near")).where("active or near").drop("near")
-    several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return hot_join(left, several, "key")
+    left = rest.join(whole, ["key", "center"], "left").groupBy("key", "id").agg(F.bool_or("active").alias("active"), F.bool_and(F.coalesce(near, F.lit(True))).alias("near"))
+    return left.where("active or near").select("key", "id")
 
 
-def confirmed(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) between classes(id, vals), enough to connect all that are linked; docs(doc_id, text)."""
-    now = cut(buckets(classes).withColumn("active", F.lit(True)), "buckets")
+def connected(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """id and component of classes(id, vals) that are linked with another; docs(doc_id, text)."""
+    now = cut(buckets(classes), "buckets")
     members = now.select("id").distinct()
     # the texts of all candidates, once; never by broadcast, for they grow with the documents
     texts = cut(docs.hint("merge").join(members, docs["doc_id"] == members["id"]).select(F.col("id").alias("rid"), "text").dropDuplicates(["rid"]), "texts")
-    compared, most = cut(now.where("key is null").selectExpr("id", "id AS center", "id AS both", "id AS total"), "compared"), 1
+    compared = cut(now.where("key is null").selectExpr("id", "id AS center", "id AS both", "id AS total"), "compared")
+    found = None
+
+    def judge(pairs: DataFrame) -> None:
+        nonlocal compared, found
+        new = cut(compare(cut(pairs, "pairs"), texts, size), "compared")
+        compared = compared.unionByName(new)
+        found = _merged(found, new.where(den * F.col("both") >= num * F.col("total")).select(F.col("id").alias("u"), F.col("center").alias("v")))
+
+    for _ in range(LINKING):
+        now = cut(_open(now, found), "buckets")
+        judge(_new(now.where("c <> least_c").select("id", F.col("least").alias("center")), compared).groupBy("id").agg(F.min("center").alias("center")))
+    now, most = cut(_open(now.select("key", "id"), found).select("key", "id", "c"), "buckets"), 1
     while not now.isEmpty():
-        if most == 1:
-            centers = now.groupBy("key").agg(F.min("id").alias("center")).withColumn("lead", F.lit(True))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            centers = now.where("active").select("key", F.col("id").alias("center"), place.alias("r")).where(F.col("r") <= most)
-            centers = centers.select("key", "center", (F.col("r") == 1).alias("lead"))
-        pairs = hot_join(now, centers, "key").where("id <> center")
-        pairs = pairs.groupBy(F.least("id", "center").alias("lo"), F.greatest("id", "center").alias("hi")).agg(F.min("center").alias("center"))
-        old = compared.select(F.least("id", "center").alias("lo"), F.greatest("id", "center").alias("hi"))
-        pairs = pairs.join(old, ["lo", "hi"], "left_anti")
-        pairs = cut(pairs.select((F.col("lo") + F.col("hi") - F.col("center")).alias("id"), "center"), "pairs")
-        compared = compared.unionByName(cut(compare(pairs, texts, size), "compared"))
-        now, most = cut(_left(now, centers, compared, num, den), "buckets"), most * 4
-    return compared.where(den * F.col("both") >= num * F.col("total")).select(F.col("id").alias("u"), F.col("center").alias("v"))
+        largest = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("largest"))
+        rows = hot_join(now, largest, "key").select("key", "id", "c", (F.col("c") != F.col("largest")).alias("active"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        centers = rows.where("active").select("key", F.col("id").alias("center"), F.col("c").alias("center_c"), place.alias("r")).where(F.col("r") <= most).drop("r")
+        met = hot_join(rows, centers, "key").where("id <> center")
+        judge(_new(met.where("c <> center_c").select("id", "center"), compared))
+        left = _left(met.drop("center_c"), centers, compared, 1 - num / den + 1e-9)
+        now, most = cut(_open(left, found).select("key", "id", "c"), "buckets"), most * 4
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -199,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     features = cut(docs.mapInArrow(_features(shingle), FEATURES), "features")
     named = features.where("doc_id is not null and class is not null")
     classes = cut(named.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("vals").alias("vals")), "classes")
-    found = components(confirmed(classes, docs, shingle, num, den))
+    found = connected(classes, docs, shingle, num, den)
     named_classes = classes.select(F.col("class"), "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     out = hot_join(features, cut(named_classes, "components"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
