@@ -1,29 +1,39 @@
-"""Command line: recognizer, anonymizer, transformer, reassembly and pipeline jobs; options may stand in a YAML file."""
+"""Command line: recognizer, llm-recognizer, anonymizer, transformer, reassembly and pipeline jobs; options may stand in
+a YAML file."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys
-from cloakwork.operators import bio
+from cloakwork.operators import bio, llm_spans
 from cloakwork.operators.replace import Settings, anonymize
 from cloakwork.plans import jobs
 from cloakwork.schema import SPANS
 from cloakwork.sources import io
+from cloakwork.sources.resources import word_list
+
+
+#: Lists that replacement can choose from.
+LISTS = ("names", "cities", "streets", "facilities", "stopwords")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cloakwork")
     sub = p.add_subparsers(dest="job", required=True)
-    for name in ("recognizer", "anonymizer", "transformer", "reassembly", "pipeline"):
+    for name in ("recognizer", "llm-recognizer", "anonymizer", "transformer", "reassembly", "pipeline"):
         s = sub.add_parser(name)
-        s.add_argument("-i", "--input")
+        s.add_argument("-i", "--input", nargs="+", help="Parquet files, folders or globs")
+        s.add_argument("--recursive", action="store_true", default=None, help="folders with all below them")
+        s.add_argument("--merge-schemas", action="store_true", default=None, help="of files with different columns")
         s.add_argument("-o", "--output")
         s.add_argument("--config", help="YAML with the same names; the command line wins")
         s.add_argument("--entities", nargs="*")
@@ -35,10 +45,20 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--key", help="file with 64 hex digits")
             s.add_argument("--year", type=int, help="of dates without one")
             s.add_argument("--jitter-required", action="store_true", default=None)
+            for kind in LISTS:
+                s.add_argument(f"--{kind}", help=f"file of {kind} to choose from, one a line")
         if name in ("transformer", "reassembly", "pipeline"):
             s.add_argument("--model", help="module:function that makes a model; rule is the built-in one")
             s.add_argument("--chunk", type=int)
             s.add_argument("--overlap", type=int)
+        if name in ("llm-recognizer", "pipeline"):
+            s.add_argument("--llm", help="module:function that makes a model, a callable from prompt to reply")
+            s.add_argument("--prompt", help="file with the prompt that a note's text follows")
+        if name == "llm-recognizer":
+            s.add_argument("--attempts", type=int)
+        if name == "pipeline":
+            s.add_argument("--llm-mode", choices=("off", "only", "merge"))
+            s.add_argument("--stages", help="folder for the spans of each stage")
         if name == "reassembly":
             s.add_argument("--notes", help="Parquet with text_hash and note_text")
     return p
@@ -57,37 +77,45 @@ def options(argv: list[str]) -> argparse.Namespace:
                     raise SystemExit(f"unknown option {k} in {args.config}")
                 if getattr(args, k) is None:
                     setattr(args, k, v)
-    needed = ["input", "output", *(["salt", "key"] if args.job in ("anonymizer", "pipeline") else []), *(["notes"] if args.job == "reassembly" else [])]
+    needed = ["input", "output", *(["salt", "key"] if args.job in ("anonymizer", "pipeline") else []), *(["notes"] if args.job == "reassembly" else []), *(["llm", "prompt"] if args.job == "llm-recognizer" or getattr(args, "llm_mode", None) in ("only", "merge") else [])]
     missing = [n for n in needed if not getattr(args, n)]
     if missing:
         raise SystemExit(f"{args.job} needs {', '.join('--' + m for m in missing)}")
     return args
 
 
+def _named(path: str):
+    """What module:name stands for."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _model(args: argparse.Namespace) -> jobs.ModelConfig | None:
     if not args.model:
         return None
-    if args.model == "rule":
-        load = bio.rule_model
-    else:
-        import importlib
-
-        module, _, name = args.model.partition(":")
-        load = getattr(importlib.import_module(module), name)
+    load = bio.rule_model if args.model == "rule" else _named(args.model)
     return jobs.ModelConfig(args.model, load, args.chunk or 512, args.overlap or 40)
 
 
+def _text(path: str) -> str:
+    return Path(path).read_text(encoding="utf-8").strip()
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
     args = options(argv)
     spark = spark or SparkSession.builder.appName("cloakwork").getOrCreate()
-    df = io.read_pipeline(spark, io.input_pattern(args.input))
+    paths = [args.input] if isinstance(args.input, str) else args.input
+    df = io.read_pipeline(spark, [p if args.recursive else io.input_pattern(p) for p in paths], recursive=bool(args.recursive), merge_schemas=bool(args.merge_schemas))
     entities = args.entities or list(jobs.ENTITIES)
     settings = None
     if args.job in ("anonymizer", "pipeline"):
-        settings = Settings(Keys.load(args.salt, args.key), args.year or dt.datetime.now(dt.timezone.utc).year, jitter_required=bool(args.jitter_required))
+        settings = Settings(Keys.load(args.salt, args.key), args.year or dt.datetime.now(dt.timezone.utc).year, jitter_required=bool(args.jitter_required), **{k: tuple(word_list(getattr(args, k))) for k in LISTS if getattr(args, k)})
     if args.job == "recognizer":
         required, key = ["text_hash", "note_text"], "text_hash"
         job = lambda d: jobs.recognize(d, entities, bool(args.resolve))
+    elif args.job == "llm-recognizer":
+        required, key = ["text_hash", "note_text"], "text_hash"
+        job = lambda d: llm_spans.recognize(d, _text(args.prompt), _named(args.llm), args.attempts or 3)
     elif args.job == "anonymizer":
         required, key = ["text_hash", "note_text"], "row_id" if "row_id" in df.columns else "text_hash"
         if "spans" not in df.columns:
@@ -95,22 +123,24 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         job = lambda d: anonymize(d, settings)
     elif args.job == "transformer":
         required, key = ["text_hash", "note_text"], "text_hash"
-        model = _model(args) or jobs.ModelConfig("rule", bio.rule_model)
+        if not (model := _model(args)):
+            raise SystemExit("transformer needs --model")
         job = lambda d: jobs.tag(d, model)
     elif args.job == "reassembly":
         required, key = ["text_hash", "chunk_id", "entities"], "text_hash"
-        model = _model(args) or jobs.ModelConfig("rule", bio.rule_model)
+        model = _model(args) or jobs.ModelConfig("model", bio.rule_model)  # only its name and labels are used
         job = lambda d: jobs.reassemble(d, io.read_pipeline(spark, io.input_pattern(args.notes)), model)
     else:
         required, key = ["note_text"], "row_id"
-        job = lambda d: jobs.pipeline(d, settings, _model(args), entities)
+        ask = {"llm": _named(args.llm), "prompt": _text(args.prompt), "llm_mode": args.llm_mode} if args.llm_mode in ("only", "merge") else {}
+        job = lambda d: jobs.pipeline(d, settings, _model(args), entities, stages=args.stages, **ask)
     if args.dry_run:
         print(jobs.dry_run(df, required, job))
         return 0
     if args.resume:
         rows = jobs.run_resumed(df, job, args.output, key)
     else:
-        io.write_parquet(job(df), args.output)
+        io.write_parquet(jobs.without_failed(job(df)), args.output)
         rows = spark.read.parquet(args.output).count()
     if not rows and not df.isEmpty():
         raise jobs.EmptyOutput("no rows came out of an input that had some")

@@ -10,6 +10,7 @@ _IP = r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|
 _DOMAIN = r"(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}"
 _TENS, _ONES = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety", "one|two|three|four|five|six|seven|eight|nine"
 _TEENS = "ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+# Names, order and what they match, here and in FORMATS.
 WHITE = {
     "LEADING_SPACE_DIGITS": r"^\s+[0-9]+$",
     "LEADING_SPACE_ALPHANUMERIC": r"^\s+[0-9a-zA-Z]+$",
@@ -22,7 +23,6 @@ AGES = {
     "AGE_WITH_UNITS": r"(?i)^(?:(?:age\s*:?\s*)[(\[\"\s,>]*[0-9]{1,3}(?:\.[0-9]{1,2})?|[(\[\"\s,>s]*[0-9]{1,3}(?:\.[0-9]{1,2})?(?:\s*1/2)?[-\s]*(?:yo|y\.?o\.?|y/o|years?(?:\s*of\s*age)?|yrs?|y|months?|mo|m\.?o?|days?|weeks?)(?:[-\s]*old)?)[)\]\"\s,.]*$",
     "AGE_NUMERIC_ONLY": r"^[(\[\"\s,]*[0-9]{1,3}[)\]\"\s,]*$",
 }
-# Names, order and what they match.
 FORMATS = {
     "DIGITS": r"^[0-9]+$",
     "LOWERCASE": r"^[a-z]+$",

@@ -35,6 +35,24 @@ def chunk_documents(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return rows.select("text_hash", "patient_id", "chunk_id", F.substring("__t", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("chunk_text"), F.col("c.start").alias("char_offset_start"), F.concat_ws("_", "text_hash", "chunk_id").alias("chunk_uid"))
 
 
+def joined(chunks: Column) -> Column:
+    """The text of sorted chunks, an array of struct(char_offset_start, chunk_text, ...): each adds what the ones before
+    it lack."""
+
+    def add(a: Column, x: Column) -> Column:
+        new = F.substring(x["chunk_text"], a["n"] - x["char_offset_start"] + 1, F.length(x["chunk_text"]))
+        return F.struct((a["n"] + F.length(new)).alias("n"), F.array_append(a["parts"], new).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(chunks, start, add, lambda a: F.array_join(a["parts"], ""))
+
+
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    """text_hash and note_text of the texts that chunks(text_hash, char_offset_start, chunk_text) were cut from."""
+    grouped = chunks.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("char_offset_start", "chunk_text"))).alias("c"))
+    return grouped.select("text_hash", joined(F.col("c")).alias("note_text"))
+
+
 def group_chunks(chunks: DataFrame) -> DataFrame:
     """One row a document: text_hash, patient_id (of the first chunk), chunks in order, failed."""
     status = F.col("chunk_status") if "chunk_status" in chunks.columns else F.lit("success")
@@ -60,10 +78,14 @@ def reassemble(chunks: DataFrame, notes: DataFrame, model: str = "model", iou: f
     return out.select("text_hash", "patient_id", F.coalesce("note_text", F.lit("")).alias("note_text"), spans.alias("spans")).withColumn("entity_count", F.size("spans"))
 
 
+def window_starts(n: Column, size: int, overlap: int) -> Column:
+    """Where the windows of a text of n characters begin; one at 0 if it is no longer than a window."""
+    return F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)))
+
+
 def windows(docs: DataFrame, key: str, size: int = WINDOW, overlap: int = WINDOW_OVERLAP) -> DataFrame:
     """Windows of long texts, and whole texts of others: key, offset, window."""
-    n = F.length("note_text")
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)))
+    starts = window_starts(F.length("note_text"), size, overlap)
     return docs.select(key, "note_text", F.explode(starts).alias("offset")).select(key, "offset", F.substring("note_text", F.col("offset") + 1, F.lit(size)).alias("window"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cloakwork.operators.spans import merge_continuous
 from cloakwork.schema import SPANS
 
-# Entity types of identifier kinds, most values used of each, and gaps closed between hits.
+# Entity types of identifier kinds, the score, and gaps closed between hits.
 KINDS = {
     "person": "PATIENT",
     "phone_number": "PHONE",
@@ -31,8 +31,7 @@ KINDS = {
     "medical_license": "MEDICAL_LICENSE",
     "ip_address": "IP_ADDRESS",
 }
-LIMITS = {"acc_num": 1000, "csn_id": 1500, "har": 700, "person": None, "mrn": None, "phone_number": None}
-OTHER_LIMIT, SCORE = 200, 0.95
+SCORE = 0.95
 GAPS = {"PATIENT": 1, "LOCATION": 3}
 
 
@@ -43,13 +42,11 @@ def fold(text: str) -> str:
 
 
 def usable(kind: str, values: Sequence[str | None], stopwords: frozenset[str]) -> list[str]:
-    """Words of names, other values whole; without spurious ones, at most the kind's limit."""
+    """Words of names, other values whole; without spurious ones."""
     out: list[str] = []
     for v in values:
         out += re.split(r"[\s,]+", v or "") if kind == "person" else [(v or "").strip()]
-    good = [v for v in dict.fromkeys(out) if len(v) > 1 and any(c.isalnum() for c in v) and v.lower() not in stopwords]
-    limit = LIMITS.get(kind, OTHER_LIMIT)
-    return good if limit is None else good[:limit]
+    return [v for v in dict.fromkeys(out) if len(v) > 1 and any(c.isalnum() for c in v) and v.lower() not in stopwords]
 
 
 def hits(text: str, identifiers: dict[str, Sequence[str]], stopwords: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.text import strip_fences
-from cloakwork.operators.spans import by_position, longest_wins
+from cloakwork.operators.chunk import WINDOW, WINDOW_OVERLAP, window_starts
+from cloakwork.operators.spans import by_position, longest_wins, shift
 from cloakwork.schema import SPANS, no_spans
 
 REPLY = "map<string, array<struct<text: string, confidence: double>>>"
@@ -39,28 +40,39 @@ def located(text: Column, reply: Column) -> Column:
 
 
 def ask(prompts: Column, load: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0) -> Column:
-    """Replies of a model that load() makes once a worker; null after `attempts` failures, with doubling waits."""
+    """Replies, array<string>, to an array of prompts, by a model that load() makes once a batch; null after `attempts`
+    failures, with doubling waits."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def run(batches: pd.Series) -> pd.Series:
         model = load()
 
-        def one(p: str | None) -> str | None:
+        def one(p: str) -> str | None:
             for k in range(attempts):
                 try:
-                    return model(p) if p is not None else None
+                    return model(p)
                 except Exception:  # whatever a client raises is retried, then given up
                     if k + 1 < attempts:
                         time.sleep(wait * 2**k)
             return None
 
-        return batches.map(one)
+        return batches.map(lambda prompts: [one(p) for p in prompts])
 
     return run(prompts)
 
 
-def recognize(notes: DataFrame, prompt: str, load: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0) -> DataFrame:
-    """notes(text_hash, note_text) with spans, processing_status and error_message."""
-    asked = notes.withColumn("__reply", ask(F.concat(F.lit(prompt), F.lit("\n\n"), F.col("note_text")), load, attempts, wait))
-    ok = F.col("__reply").isNotNull()
-    return asked.select(*notes.columns, F.when(ok, located(F.col("note_text"), F.col("__reply"))).otherwise(no_spans()).alias("spans"), F.when(ok, "success").otherwise("failed").alias("processing_status"), F.when(~ok, "no reply").alias("error_message"))
+def recognize(notes: DataFrame, prompt: str, load: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0, size: int = WINDOW, overlap: int = WINDOW_OVERLAP) -> DataFrame:
+    """notes(note_text, ...) with spans, processing_status and error_message.
+
+    A text longer than size is asked about window by window, and the spans are moved to their places and resolved; if a
+    window has no reply the note has failed. A null text is skipped.
+    """
+    text = F.col("note_text")
+    windows = F.transform(F.coalesce(window_starts(F.length(text), size, overlap), F.array().cast("array<int>")), lambda a: F.struct(a.alias("at"), F.substring(text, a + 1, F.lit(size)).alias("window")))
+    rows = notes.withColumn("__windows", windows)
+    rows = rows.withColumn("__replies", ask(F.transform("__windows", lambda w: F.concat(F.lit(prompt), F.lit("\n\n"), w["window"])), load, attempts, wait))
+    found = F.flatten(F.zip_with("__windows", "__replies", lambda w, r: shift(located(w["window"], r), w["at"])))
+    ok = ~F.exists("__replies", lambda r: r.isNull())
+    spans = F.when(ok, longest_wins(by_position(F.array_distinct(found)))).otherwise(no_spans())
+    status = F.when(text.isNull(), "skipped").when(ok, "success").otherwise("failed")
+    return rows.select(*notes.columns, spans.alias("spans"), status.alias("processing_status"), F.when(text.isNull(), "note_text is null").when(~ok, "no reply").alias("error_message"))

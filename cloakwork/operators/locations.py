@@ -13,10 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys
-from cloakwork.operators.detect import DIRECTION, STATE, STREET, ZIP
+from cloakwork.operators.detect import DIRECTION, STATE, STREET, UNIT, ZIP
 from cloakwork.operators.names import Namer, case_of
 
-_ADDRESS = re.compile(rf"^\s*(?P<number>[0-9]{{1,6}})\s+(?:{DIRECTION}\s+)?(?P<street>[A-Za-z0-9' .\-]+?)\s+(?P<kind>{STREET})\.?(?P<unit>\s+(?:Ste|Suite|Apt|Unit|Fl|Floor|#)\s*[A-Za-z0-9\-]+)?(?:\s*,\s*(?P<city>[A-Za-z' .\-]+?))?(?:\s*,?\s*(?P<state>{STATE})\b\.?)?(?:\s*(?P<zip>{ZIP}))?\s*$", re.I)
+_ADDRESS = re.compile(rf"^\s*(?P<number>[0-9]{{1,6}})\s+(?:{DIRECTION}\s+)?(?P<street>[A-Za-z0-9' .\-]+?)\s+(?P<kind>{STREET})\.?(?:\s+{DIRECTION})?(?P<unit>\s*,?\s+{UNIT})?(?:\s*,\s*(?P<city>[A-Za-z' .\-]+?))?(?:\s*,?\s*(?P<state>{STATE})\b\.?)?(?:\s*(?P<zip>{ZIP}))?\s*$", re.I)
 _BOX = re.compile(rf"^\s*(?:P\.?\s*O\.?|Post\s+Office)\s+Box\s+(?P<number>[0-9]+)(?:\s*,\s*(?P<city>[A-Za-z' .\-]+?))?(?:\s*,?\s*(?P<state>{STATE})\b\.?)?(?:\s*(?P<zip>{ZIP}))?\s*$", re.I)
 _CITY = re.compile(rf"^\s*(?P<city>[A-Za-z' .\-]+?)\s*,\s*(?P<state>{STATE})\b\.?(?:\s*(?P<zip>{ZIP}))?\s*$", re.I)
 _ZIP = re.compile(rf"^\s*(?P<zip>{ZIP})\s*$")

@@ -15,9 +15,25 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys
 
-# Words of names that tell nothing of a person.
-SALUTATIONS = frozenset("mr mrs ms miss dr prof professor rev reverend fr father sr sister hon honorable judge justice sir dame lord lady rabbi imam pastor elder deacon bishop archbishop cardinal pope captain major colonel general admiral sergeant lieutenant commander chief".split())
-SUFFIXES = frozenset("jr sr ii iii iv v vi vii viii ix x 1st 2nd 3rd 4th 5th 6th 7th 8th 9th 10th esq esquire phd md dds dmd jd rn np pa do mba ma ms bs ba cpa dvm od pharmd dpm".split())
+# Words of names that tell nothing of a person: forms of address by walk of life, and what may follow a name.
+_ADDRESS_WORDS = {
+    "courtesy": "Mr Mister Mrs Ms Mx Miss Madam Mme Mlle Sir Ma'am Master",
+    "learning": "Dr Doctor Prof Professor Dean Provost Chancellor",
+    "church": "Rev Reverend Fr Father Pastor Rabbi Imam Bishop Deacon Cantor Sr Sister Br Brother Mother",
+    "arms": "Gen General Col Colonel Maj Major Capt Captain Lt Lieutenant Sgt Sergeant Cpl Corporal Pvt Adm Admiral Cmdr Commander Officer Chief",
+    "state": "Hon Honorable Judge Justice Sen Senator Rep Gov Governor Mayor Amb Ambassador Pres President",
+    "rank": "Lord Lady Dame Baron Count Countess",
+}
+SALUTATIONS = frozenset(re.sub("[^a-z ]", "", " ".join(_ADDRESS_WORDS.values()).lower()).split())
+_AFTER_NAMES = {
+    "generation": "Jr Junior Sr Senior 2nd 3rd 4th 5th",
+    "law": "Esq Esquire JD LLB LLM QC KC",
+    "doctors": "MD DO MBBS MBChB DDS DMD DPM DVM OD DC PhD ScD DSc EdD PsyD DrPH PharmD DPT DNP FACS FACP FRCP",
+    "nurses": "RN LPN LVN NP APRN ARNP FNP CRNA CNM CNS BSN MSN",
+    "therapy": "PA PA-C PT OT OTR SLP RD RPh LCSW LMFT LPC LMHC MSW BSW EMT RT",
+    "degrees": "BA BS BSc AB MA MS MSc MBA MPH MPA MHA MEd MFA CPA CFA PE",
+}
+SUFFIXES = frozenset(re.sub("[^a-z0-9 ]", "", " ".join(_AFTER_NAMES.values()).lower()).split()) | {"i" * n for n in (2, 3)} | {"iv", "v", "vi", "vii", "viii", "ix", "x"}
 PARTICLES = frozenset("van von der den de del della di da dos das du la le el al bin ibn ben ter ten zu zur af av st".split())
 _TOKEN = re.compile(r"[^\s,]+|[\s,]+")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,11 @@ def reassemble(chunks: DataFrame, notes: DataFrame, model: ModelConfig) -> DataF
     return out.withColumn("spans", bio.map_labels(F.col("spans"), dict(model.labels), model.id_label, model.id_multiplier)) if model.labels else out
 
 
-def pipeline(notes: DataFrame, settings: Settings, model: ModelConfig | None = None, entities: Sequence[str] = ENTITIES, llm: Callable[[], Callable[[str], str]] | None = None, prompt: str = "", llm_mode: str = "off") -> DataFrame:
+def pipeline(notes: DataFrame, settings: Settings, model: ModelConfig | None = None, entities: Sequence[str] = ENTITIES, llm: Callable[[], Callable[[str], str]] | None = None, prompt: str = "", llm_mode: str = "off", stages: str | None = None) -> DataFrame:
     """Tag, detect, ask a model, resolve, replace. llm_mode: off, only (the model's spans alone) or merge.
 
-    One lazy plan; texts meet by row_id, so that a text of several patients is not multiplied.
+    One lazy plan. stages: a folder where the tagger's, the model's and all spans are written as tables tagged, asked and
+    recognized, from which the later steps read.
     """
     if llm_mode not in ("off", "only", "merge"):
         raise ValueError("llm_mode is off, only or merge")
@@ -92,14 +94,23 @@ def pipeline(notes: DataFrame, settings: Settings, model: ModelConfig | None = N
     base = base.withColumn("row_id", row_id(F.col("text_hash"), F.col("patient_uid")))
     found = recognize(base, entities).drop("entity_count", "processing_status", "error_message") if llm_mode != "only" else base.withColumn("spans", F.array().cast(dict(recognize(base.limit(0), entities).dtypes)["spans"]))
     extra = []
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        if stages is None:
+            return df
+        io.write_parquet(df, f"{stages.rstrip('/')}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{stages.rstrip('/')}/{name}")
+
     if model and llm_mode != "only":
-        extra.append(reassemble(tag(base.dropDuplicates(["text_hash"]), model), base, model).select("text_hash", F.col("spans").alias("__model")))
+        tagged = staged(reassemble(tag(base.dropDuplicates(["text_hash"]), model), base, model).select("text_hash", "spans"), "tagged")
+        extra.append(tagged.select("text_hash", F.col("spans").alias("__model")))
     if llm and llm_mode != "off":
-        extra.append(llm_spans.recognize(base.dropDuplicates(["text_hash"]).select("text_hash", "note_text"), prompt, llm).select("text_hash", F.col("spans").alias("__llm")))
+        asked = staged(llm_spans.recognize(base.dropDuplicates(["text_hash"]).select("text_hash", "note_text"), prompt, llm), "asked")
+        extra.append(asked.select("text_hash", F.col("spans").alias("__llm")))
     for e in extra:
         name = e.columns[1]
         found = found.join(e, "text_hash", "left").withColumn("spans", F.concat("spans", F.coalesce(name, F.slice("spans", 1, 0)))).drop(name)
-    return anonymize(found, settings)
+    return anonymize(staged(found, "recognized"), settings)
 
 
 def guard(output: DataFrame, had_input: bool) -> DataFrame:
@@ -110,17 +121,24 @@ def guard(output: DataFrame, had_input: bool) -> DataFrame:
 
 
 def run_resumed(df: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, key: str) -> int:
-    """Run job on rows whose key the output at path lacks, and append; the number of rows now there."""
+    """Run job on rows whose key the output at path lacks, and append; the number of rows now there.
+
+    Rows that fail are left out of the output, so that the next run takes them again.
+    """
     spark = df.sparkSession
     try:
         df = io.remaining(df, spark.read.parquet(path), key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    io.write_parquet(job(df), path, "append")
+    io.write_parquet(without_failed(job(df)), path, "append")
     return spark.read.parquet(path).count()
 
 
+def without_failed(out: DataFrame) -> DataFrame:
+    return out.where("processing_status <> 'failed'") if "processing_status" in out.columns else out
+
+
 def dry_run(df: DataFrame, required: Sequence[str], job: Callable[[DataFrame], DataFrame]) -> str:
     """Check columns and return the plan; nothing runs."""
     require_columns(df, required)

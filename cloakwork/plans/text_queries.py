@@ -89,10 +89,8 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reassemble_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("text_hash"), F.col("text").alias("note_text"))
     rows = chunk.chunk_documents(docs, 128, 16)
-    grouped = rows.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("char_offset_start", "chunk_text"))).alias("c"))
-    # each chunk adds what the text so far lacks
-    whole = F.aggregate("c", F.lit(""), lambda a, x: F.concat(a, F.substring(x["chunk_text"], F.length(a) - x["char_offset_start"] + 1, F.length(x["chunk_text"]))))
-    return grouped.select(F.col("text_hash").cast("long").alias("doc_id"), text_hash(whole).alias("text_hash"), F.length(whole).cast("long").alias("n"))
+    whole = chunk.whole_texts(rows)
+    return whole.select(F.col("text_hash").cast("long").alias("doc_id"), text_hash(F.col("note_text")).alias("text_hash"), F.length("note_text").cast("long").alias("n"))
 
 
 @query(_span_sql("documents", "doc_id", "text", detect.EMAIL, "EMAIL_ADDRESS"))
@@ -388,10 +386,14 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return f"file://{tempfile.mkdtemp(prefix='cloakwork-stream-')}"
+    """A new folder below the one that driver and executors share; only a local master without one gets its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cloakwork-stream-')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _stream_path(spark: SparkSession, sf_dir: str, name: str) -> str:

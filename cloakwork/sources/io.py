@@ -22,18 +22,19 @@ def input_pattern(path: str) -> str:
     return path if "*" in path or path.endswith((".parquet", "/")) else f"{path}/*.parquet"
 
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, recursive: bool = False) -> DataFrame:
-    """Files, folders (recursive on request) or globs, through Spark's reader, so that any store works."""
-    reader = spark.read.option("mergeSchema", "true")
+def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, recursive: bool = False, merge_schemas: bool = False) -> DataFrame:
+    """Files, folders (recursive on request) or globs, through Spark's reader, so that any store works. merge_schemas
+    reads the footer of every file first; without it all files have the columns of one."""
+    reader = spark.read.option("mergeSchema", str(merge_schemas).lower())
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.parquet(*([path] if isinstance(path, str) else sorted(path)))
     return df.select(*columns) if columns else df
 
 
-def read_pipeline(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet with lower-case names, schemas of all files merged."""
-    df = read_parquet(spark, path)
+def read_pipeline(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, recursive: bool = False, merge_schemas: bool = False) -> DataFrame:
+    """Parquet with lower-case names."""
+    df = read_parquet(spark, path, recursive=recursive, merge_schemas=merge_schemas)
     df = df.toDF(*(c.lower() for c in df.columns))
     return df.select(*columns) if columns else df
 
