@@ -1,14 +1,17 @@
 """Format-preserving encryption (FF3 of NIST SP 800-38G) of the letters and digits of identifiers.
 
-Only letters and digits change; all else keeps its place. AES comes from Spark's own aes_encrypt elsewhere; here, in
-an Arrow function over distinct values, a small table-driven AES in Python is enough.
+Only letters and digits change; all else keeps its place. FF3 feeds each of its eight rounds through one AES block, with
+numbers of up to 96 bits in between, for which SQL has no type; so it runs in an Arrow function, where the blocks of all
+values of a batch go through AES together, as arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,10 +42,13 @@ def _tables() -> tuple[list[int], list[int]]:
 
 
 _BOX, _DOUBLE = _tables()
+_BOXES, _DOUBLES = np.array(_BOX, np.uint8), np.array(_DOUBLE, np.uint16).astype(np.uint8)
+#: Where each byte of a block comes from when its rows are shifted.
+_SHIFT = np.array([(i + 4 * (i % 4)) % 16 for i in range(16)])
 
 
 class Aes:
-    """Encryption of single blocks with a key of 16, 24 or 32 bytes."""
+    """Encryption of blocks, each for itself, with a key of 16, 24 or 32 bytes."""
 
     def __init__(self, key: bytes):
         words = [list(key[i : i + 4]) for i in range(0, len(key), 4)]
@@ -56,25 +62,23 @@ class Aes:
             elif n > 6 and i % n == 4:
                 w = [_BOX[b] for b in w]
             words.append([a ^ b for a, b in zip(words[i - n], w)])
-        self.keys = [sum(words[4 * r : 4 * r + 4], []) for r in range(rounds + 1)]
+        self.keys = np.array([sum(words[4 * r : 4 * r + 4], []) for r in range(rounds + 1)], np.uint8)
 
-    def block(self, data: bytes) -> bytes:
-        s = [a ^ b for a, b in zip(data, self.keys[0])]
+    def blocks(self, data: np.ndarray) -> np.ndarray:
+        """Of an array (blocks, 16) of bytes."""
+        s = data ^ self.keys[0]
         for r, key in enumerate(self.keys[1:], 1):
-            s = [_BOX[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
+            s = _BOXES[s[:, _SHIFT]]
             if r < len(self.keys) - 1:
-                mixed = []
-                for c in range(0, 16, 4):
-                    col = s[c : c + 4]
-                    every = col[0] ^ col[1] ^ col[2] ^ col[3]
-                    mixed += [col[k] ^ every ^ _DOUBLE[col[k] ^ col[(k + 1) % 4]] for k in range(4)]
-                s = mixed
-            s = [a ^ b for a, b in zip(s, key)]
-        return bytes(s)
+                c = s.reshape(-1, 4, 4)
+                every = np.bitwise_xor.reduce(c, axis=2, keepdims=True)
+                s = (c ^ every ^ _DOUBLES[c ^ np.roll(c, -1, axis=2)]).reshape(-1, 16)
+            s = s ^ key
+        return s
 
 
 class Ff3:
-    """FF3 over an alphabet. key in bytes, tweak of 8 bytes."""
+    """FF3 over an alphabet, for many texts of one length at a time. key in bytes, tweak of 8 bytes."""
 
     def __init__(self, key: bytes, tweak: bytes, alphabet: str):
         self.aes, self.alphabet, self.radix = Aes(key[::-1]), alphabet, len(alphabet)
@@ -95,28 +99,31 @@ class Ff3:
             out.append(self.alphabet[d])
         return "".join(out)
 
-    def _round(self, i: int, half: str) -> int:
-        w = self.left if i % 2 else self.right
-        p = (w ^ i).to_bytes(4) + self._number(half).to_bytes(12)
-        return int.from_bytes(self.aes.block(p[::-1])[::-1])
-
-    def encrypt(self, text: str) -> str:
-        u = (len(text) + 1) // 2
-        a, b = text[:u], text[u:]
-        for i in range(8):
-            m = len(text) - u if i % 2 else u
-            c = (self._number(a) + self._round(i, b)) % self.radix**m
-            a, b = b, self._string(c, m)
-        return a + b
-
-    def decrypt(self, text: str) -> str:
-        u = (len(text) + 1) // 2
-        a, b = text[:u], text[u:]
-        for i in reversed(range(8)):
-            m = len(text) - u if i % 2 else u
-            c = (self._number(b) - self._round(i, a)) % self.radix**m
-            a, b = self._string(c, m), a
-        return a + b
+    def _round(self, i: int, halves: list[int]) -> list[int]:
+        w = (self.left if i % 2 else self.right) ^ i
+        data = b"".join(n.to_bytes(12, "little") + w.to_bytes(4, "little") for n in halves)
+        out = self.aes.blocks(np.frombuffer(data, np.uint8).reshape(-1, 16)).tobytes()
+        return [int.from_bytes(out[k : k + 16], "little") for k in range(0, len(out), 16)]
+
+    def _apply(self, texts: list[str], decrypt: bool) -> list[str]:
+        if not texts:
+            return []
+        n = len(texts[0])
+        u = (n + 1) // 2
+        a, b = [self._number(t[:u]) for t in texts], [self._number(t[u:]) for t in texts]
+        for i in reversed(range(8)) if decrypt else range(8):
+            most = self.radix ** (n - u if i % 2 else u)
+            if decrypt:
+                a, b = [(x - y) % most for x, y in zip(b, self._round(i, a))], a
+            else:
+                a, b = b, [(x + y) % most for x, y in zip(a, self._round(i, b))]
+        return [self._string(x, u) + self._string(y, n - u) for x, y in zip(a, b)]
+
+    def encrypt(self, texts: list[str]) -> list[str]:
+        return self._apply(texts, False)
+
+    def decrypt(self, texts: list[str]) -> list[str]:
+        return self._apply(texts, True)
 
 
 class Identifiers:
@@ -132,36 +139,41 @@ class Identifiers:
         tweak = hashlib.sha256(f"{kind}:{n}:{self.key.hex()}".encode()).digest()[:8]
         return Ff3(self.key, tweak, alphabet)
 
-    def _apply(self, text: str | None, decrypt: bool) -> str | None:
-        content = "".join(c for c in text or "" if c in ALNUM)
-        if not content:
-            return text
-        alphabet = DIGITS if content.isdigit() else ALNUM
-        least, most = LIMITS[alphabet]
-        if len(content) > most:
-            new = hashlib.sha256((content + self.key.hex()).encode()).hexdigest()
-        else:
-            cipher = self._cipher(alphabet, len(content))
-            padded = content.ljust(least, alphabet[0])
-            new = (cipher.decrypt(padded) if decrypt else cipher.encrypt(padded))[: len(content)]
-        out = iter(new)
-        filled = "".join(next(out, "") if c in ALNUM else c for c in text)
-        return filled + "".join(out)
-
-    def encrypt(self, text: str | None) -> str | None:
-        return self._apply(text, False)
-
-    def decrypt(self, text: str | None) -> str | None:
-        return self._apply(text, True)
+    def _apply(self, texts: list[str | None], decrypt: bool) -> list[str | None]:
+        contents = ["".join(c for c in t or "" if c in ALNUM) for t in texts]
+        new: list[str] = [""] * len(texts)
+        alike: dict[tuple[str, int], list[int]] = {}
+        for i, content in enumerate(contents):
+            alphabet = DIGITS if content.isdigit() else ALNUM
+            if len(content) > LIMITS[alphabet][1]:
+                new[i] = hashlib.sha256((content + self.key.hex()).encode()).hexdigest()
+            elif content:
+                alike.setdefault((alphabet, len(content)), []).append(i)
+        for (alphabet, n), rows in alike.items():
+            cipher = self._cipher(alphabet, n)
+            padded = [contents[i].ljust(LIMITS[alphabet][0], alphabet[0]) for i in rows]
+            for i, x in zip(rows, cipher.decrypt(padded) if decrypt else cipher.encrypt(padded)):
+                new[i] = x[:n]
+        return [_filled(t, x) if c else t for t, c, x in zip(texts, contents, new)]
 
+    def encrypt(self, texts: list[str | None]) -> list[str | None]:
+        return self._apply(texts, False)
 
-def encrypt(text: Column, keys: Keys) -> Column:
-    made: list[Identifiers] = []
+    def decrypt(self, texts: list[str | None]) -> list[str | None]:
+        return self._apply(texts, True)
+
+
+def _filled(text: str, content: str) -> str:
+    """text with its letters and digits replaced by those of content; what is left of content follows."""
+    out = iter(content)
+    return "".join(next(out, "") if c in ALNUM else c for c in text) + "".join(out)
 
+
+def encrypt(text: Column, keys: Keys) -> Column:
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Identifiers(keys))
-        return s.map(made[0].encrypt)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = Identifiers(keys)
+        for s in batches:
+            yield pd.Series(ids.encrypt([None if pd.isna(t) else t for t in s]), dtype=object)
 
     return run(text)

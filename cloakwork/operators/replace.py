@@ -139,16 +139,16 @@ def native_value(operator: Column, entity: Column, text: Column, patient: Column
     )
 
 
-def makers(s: Settings) -> dict[str, Callable[[str, int], str | None]]:
-    """The slow operators, by name, as functions of a text and a jitter."""
+def makers(s: Settings) -> dict[str, Callable[[list[str], list[int]], list[str | None]]]:
+    """The slow operators, by name, as functions of texts and jitters."""
     namer = names.Namer(s.keys, s.names or names.default_names(), s.stopwords)
     placer = locations.Placer(s.keys, s.facilities or locations.FACILITIES, s.streets or locations.STREETS, s.cities or locations.CITIES, s.stopwords)
     ids = fpe.Identifiers(s.keys)
     return {
-        "date_jitter": lambda t, j: dates.shift_date(t, j, s.year),
-        "hips_alphanumeric": lambda t, j: ids.encrypt(t),
-        "hips_names": lambda t, j: namer.replace(t),
-        "hips_location": lambda t, j: placer.replace(t),
+        "date_jitter": lambda texts, days: [dates.shift_date(t, d, s.year) for t, d in zip(texts, days)],
+        "hips_alphanumeric": lambda texts, days: ids.encrypt(texts),
+        "hips_names": lambda texts, days: [namer.replace(t) for t in texts],
+        "hips_location": lambda texts, days: [placer.replace(t) for t in texts],
     }
 
 
@@ -158,17 +158,16 @@ def slow_values(asked: Column, jitter: Column, settings: Settings) -> Column:
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         made, known = makers(settings), {}
-
-        def one(operator: str, text: str, days: int) -> str | None:
-            key = (operator, text, days if operator == "date_jitter" else 0)
-            if key not in known:
-                if len(known) >= MEMO:
-                    known.clear()
-                known[key] = made[operator](text, days)
-            return known[key]
-
         for rows, days in batches:
-            yield pd.Series([[one(x["operator"], x["text"], int(d)) if x["text"] is not None else None for x in row] for row, d in zip(rows, days)])
+            # what an operator does not read must not split its values
+            keys = [[(x["operator"], x["text"], int(d) if x["operator"] == "date_jitter" else 0) if x["text"] is not None else None for x in row] for row, d in zip(rows, days)]
+            if len(known) > MEMO:
+                known.clear()
+            new = {k for row in keys for k in row if k is not None and k not in known}
+            for operator, make in made.items():
+                own = [k for k in new if k[0] == operator]
+                known.update(zip(own, make([k[1] for k in own], [k[2] for k in own])))
+            yield pd.Series([[None if k is None else known[k] for k in row] for row in keys])
 
     return run(asked, jitter)
 

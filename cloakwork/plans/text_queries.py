@@ -12,11 +12,11 @@ from cloakwork.functions.formats import FORMATS, WHITE, detect_format
 from cloakwork.functions.keyed import Keys, accession_hash, keyed_pick, patient_jitter
 from cloakwork.functions.text import category, estimate_tokens, name_words
 from cloakwork.operators import ages, chunk, dates, detect, fake, fpe, known, llm_spans, locations, names
-from cloakwork.operators.replace import Settings, anonymize, mask_text
+from cloakwork.operators.replace import ROUTES, Settings, anonymize, mask_text
 from cloakwork.operators.spans import resolve_results
 from cloakwork.plans import jobs
 from cloakwork.plans.catalogue import query, table
-from cloakwork.schema import row_id, text_hash
+from cloakwork.schema import SPANS, row_id, text_hash
 from cloakwork.sources import io
 from cloakwork.streaming import stream
 
@@ -338,23 +338,127 @@ def fpe_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones.select("hit", fpe.encrypt(F.col("hit"), KEYS).alias("encrypted"))
 
 
-@query()
+def _index_sql(text: str, n: int) -> str:
+    """The keyed index of a text in SQL."""
+    return f"CAST(('0x' || sha256(unhex('{_K}') || encode({text}))[1:16])::UBIGINT % {n} AS INTEGER)"
+
+
+def _pick_sql(text: str, values) -> str:
+    return f"[{', '.join(_q(v) for v in values)}][{_index_sql(text, len(values))} + 1]"
+
+
+_NAMES = names.default_names()
+
+
+@query(f"""SELECT c_custkey, 'Dr. ' || {_pick_sql("lower(c_mktsegment)", _NAMES)} || ' van ' || {_pick_sql("lower(reverse(c_mktsegment))", _NAMES)} || ', MD' AS name FROM customer""")
 def replace_names_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Dr. "), F.initcap("c_mktsegment"), F.lit(" van "), F.initcap(F.reverse("c_mktsegment")), F.lit(", MD"))
     return table(spark, sf_dir, "customer").select("c_custkey", names.replace_names(text, KEYS).alias("name"))
 
 
-@query()
+def _digits_sql(text: str, n: int) -> str:
+    return f"CAST({_index_sql(text, 9 * 10 ** (n - 1))} + {10 ** (n - 1)} AS VARCHAR)"
+
+
+_NUMBER = "CAST(s_suppkey % 900 + 100 AS VARCHAR)"
+_ZIP = "lpad(CAST(s_suppkey % 100000 AS VARCHAR), 5, '9')"
+
+
+@query(f"""SELECT s_suppkey, n || ' Oak St, Springfield, CA ' || z AS address,
+ {_digits_sql('n', 3)} || ' ' || {_pick_sql("'oak'", locations.STREETS)} || ' St, ' || {_pick_sql("'springfield'", locations.CITIES)} || ', CA ' || {_digits_sql('z', 5)} AS replaced
+FROM (SELECT s_suppkey, {_NUMBER} AS n, {_ZIP} AS z FROM supplier)""")
 def replace_locations_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat((F.col("s_suppkey") + 100).cast("string"), F.lit(" Oak St, Springfield, CA "), F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "9"))
+    text = F.concat((F.col("s_suppkey") % 900 + 100).cast("string"), F.lit(" Oak St, Springfield, CA "), F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "9"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("address"), locations.replace_locations(text, KEYS).alias("replaced"))
 
 
-@query()
+@query(f"""SELECT s_suppkey, "start", "end", score FROM (SELECT s_suppkey, {_NUMBER} AS n, {_ZIP} AS z, CASE s_suppkey % 3 WHEN 0 THEN 'N. Oak Street Apt 4, Salt Lake City, Utah ' WHEN 1 THEN 'Elm Rd Reno NV ' ELSE 'P.O. Box 7' END AS mid, s_suppkey % 3 AS k FROM supplier),
+ LATERAL (SELECT CASE WHEN k = 2 THEN 5 ELSE 3 END AS "start", CASE WHEN k = 2 THEN 5 + 10 + 11 + 5 ELSE 3 + length(n) + 1 + length(mid) + 5 END AS "end", CAST(CASE k WHEN 0 THEN 0.95 WHEN 1 THEN 0.9 ELSE 0.85 END AS DOUBLE) AS score)""")
+def address_spans_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the three forms within other text."""
+    n, z, k = (F.col("s_suppkey") % 900 + 100).cast("string"), F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "9"), F.col("s_suppkey") % 3
+    text = (
+        F.when(k == 0, F.concat(F.lit("at "), n, F.lit(" N. Oak Street Apt 4, Salt Lake City, Utah "), z, F.lit(" since 2020")))
+        .when(k == 1, F.concat(F.lit("at "), n, F.lit(" Elm Rd Reno NV "), z, F.lit(", took 5 mg")))
+        .otherwise(F.concat(F.lit("mail P.O. Box 7, Reno, NV "), z, F.lit(" only")))
+    )
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(detect.address(text)).alias("s"))
+    return rows.select("s_suppkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.score").alias("score"))
+
+
+_DATES = ("%m/%d/%Y", "%Y-%m-%d", "%d/%b/%Y", "%B %d, %Y", "%m-%d-%Y", "%B %Y")
+_JAVA_DATES = ("MM/dd/yyyy", "yyyy-MM-dd", "dd/MMM/yyyy", "MMMM dd, yyyy", "MM-dd-yyyy", "MMMM yyyy")
+
+
+@query(f"""SELECT o_orderkey, 3 AS "start", 3 + length(d) AS "end", d AS hit FROM (SELECT o_orderkey, CASE o_orderkey % 6 {' '.join(f"WHEN {i} THEN strftime(o_orderdate, {_q(f)})" for i, f in enumerate(_DATES))} END AS d FROM orders)""")
+def date_spans_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of six layouts within other text."""
+    d = None
+    for i, f in enumerate(_JAVA_DATES):
+        test = F.col("o_orderkey") % 6 == i
+        d = F.when(test, F.date_format("o_orderdate", f)) if d is None else d.when(test, F.date_format("o_orderdate", f))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("on "), d, F.lit(" at 12 with 3 of 40")).alias("t"))
+    found = rows.select("o_orderkey", "t", F.explode(detect.date(F.col("t"))).alias("s"))
+    return found.select("o_orderkey", F.col("s.start").alias("start"), F.col("s.end").cast("long").alias("end"), F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("hit"))
+
+
+#: What stands before a record number of eight digits, and the best score that some layout gives it.
+_MRN_FORMS = (("MRN: ", 0.95), ("MRN:", 0.95), ("mrn:  ", 0.95), ("MR# ", 0.95), ("MRN ", 0.95), ("MR ", 0.90), ("Medical Record Number: ", 0.95), ("MED REC #: ", 0.95), ("MED REC: ", 0.95), ("no. ", 0.7))
+
+
+@query(f"""SELECT o_orderkey, length(p) AS "start", length(p) + 8 AS "end", s AS score FROM (SELECT o_orderkey, CASE o_orderkey % {len(_MRN_FORMS)} {' '.join(f"WHEN {i} THEN {_q(p)}" for i, (p, _) in enumerate(_MRN_FORMS))} END AS p,
+ CASE o_orderkey % {len(_MRN_FORMS)} {' '.join(f"WHEN {i} THEN CAST({s} AS DOUBLE)" for i, (_, s) in enumerate(_MRN_FORMS))} END AS s FROM orders)""")
+def mrn_forms_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record numbers after each label; one span of several layouts' hits stays, with the best score."""
+    prefix = F.element_at(F.array(*(F.lit(p) for p, _ in _MRN_FORMS)), (F.col("o_orderkey") % len(_MRN_FORMS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(prefix, F.lpad(F.col("o_orderkey").cast("string"), 8, "1"), F.lit(".")).alias("t"))
+    found = rows.select("o_orderkey", F.explode(resolve_results(detect.mrn(F.col("t")))).alias("s"))
+    return found.select("o_orderkey", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.score").alias("score"))
+
+
+def _hmac_sql(message: str) -> str:
+    return f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode({message}))))"
+
+
+@query(f"""SELECT hit, translate({_hmac_sql("'fake:user:' || hit")}[1:8], '0123456789', 'ghijklmnop') || '@example.com' AS fake FROM (SELECT unnest(regexp_extract_all(text, {_q(detect.EMAIL)})) AS hit FROM documents)""")
 def fake_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_spans(spark, sf_dir).select("hit", fake.fake(F.col("entity_type"), F.col("hit"), KEYS).alias("fake"))
 
 
+_SHARED_JITTER = "CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE -20 END"
+
+
+@query(f"""SELECT o_orderkey, 'seen ' || strftime(CAST(o_orderdate AS DATE) + {_SHARED_JITTER}, '%m/%d/%Y') || ' by [PERSON] ok' AS text, 2 AS entity_count FROM orders""")
+def anonymize_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that patients share, with a jitter each: every row gets its own date."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("seen "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" by Ann ok")).alias("note_text"), F.expr(_SHARED_JITTER).alias("jitter"))
+    person = F.struct(F.lit("PERSON").alias("entity_type"), F.lit(19).alias("start"), F.lit(22).alias("end"), F.lit(0.9).alias("score"), F.lit("r").alias("recognizer"), F.lit("p").alias("pattern"))
+    rows = rows.withColumn("text_hash", text_hash(F.col("note_text"))).withColumn("spans", F.concat(detect.date(F.col("note_text")), F.array(person).cast(SPANS)))
+    out = anonymize(rows, Settings(KEYS, 2024, {**ROUTES, "PERSON": "masking"}))
+    return out.select("o_orderkey", F.col("anonymized_note_text").alias("text"), "entity_count")
+
+
+def _emails_model():
+    """A model that names what looks like an e-mail address."""
+    pattern = detect.EMAIL
+
+    def load():
+        import json
+        import re
+
+        return lambda prompt: json.dumps({"EMAIL_ADDRESS": [{"text": t} for t in dict.fromkeys(re.findall(pattern, prompt, re.A))]})
+
+    return load
+
+
+@query(_span_sql("documents", "doc_id", "text", detect.EMAIL, "EMAIL_ADDRESS").replace("h[i] AS hit", "0.9 AS score"))
+def llm_long_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is asked about windows of long notes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("note_text"))
+    rows = llm_spans.recognize(docs, "find addresses", _emails_model(), size=2000, overlap=200).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.score").alias("score"))
+
+
 @query()
 def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole replacement job over all documents."""
