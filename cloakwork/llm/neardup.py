@@ -10,13 +10,11 @@ of similarity s shares some key with probability (1 - (1 - s**ROWS) ** BANDS) **
    of buckets with the same classes one stays.
 3. Rounds that link: in every bucket whose classes are not connected yet, each class may be compared with the smallest
    one; a class is compared with one such class a round, on the full shingle sets. Links connect classes, and buckets
-   that are connected are done. A group of near copies is connected by about one comparison a class.
-4. Rounds that exclude: a bucket that is not connected yet names centers from outside of its largest component (one at
-   first, then four times as many each round), and every class of another component is compared with each of them.
-   Centers are done. Classes of the largest component stay only as long as the triangle inequality of the Jaccard
-   distance allows a link with one that is still to be named. Rounds end when every bucket is connected or has one
-   class left. So every pair that shares a key is compared, but for those that are connected, or cannot be linked;
-   and classes that merely chain from bucket to bucket never meet.
+   that are connected are done. A group of near copies is connected by about one comparison a class, whatever its size.
+4. The buckets that are left hold classes that share keys but are not linked, mostly. Their components are groups whose
+   full sets meet in one task, which confirms what links there are. Groups above BLOCK * 2 classes are dealt in tiles, a
+   task for each pair of blocks, so that no pair is missed and no task grows with the group. A task compares no classes
+   that are connected already, and gives no more links than it needs to connect.
 5. The components of the confirmed links, and one join back to all documents.
 
 A center is compared with TILE classes a task, whose sets pass one by one. The stored links are between classes;
@@ -32,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
@@ -41,8 +39,8 @@ from cloakwork.llm.shared import cut, free_name, hot_join
 BANDS, ROWS = 17, 4
 #: Classes that a task compares with a center.
 TILE = 512
-#: Rounds that compare each class with one other.
-LINKING = 3
+#: Rounds that compare each class with one other, and classes of a block; a task confirms links within two blocks.
+LINKING, BLOCK = 2, 256
 FEATURES = "doc_id long, n_shingles long, class string, vals array<long>"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.string()), ("vals", pa.list_(pa.int64()))])
 _M = np.random.default_rng(20_240_229).integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -179,19 +177,58 @@ def _new(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     return once.select((F.col("lo") + F.col("hi") - F.col("center")).alias("id"), "center")
 
 
-def _left(met: DataFrame, centers: DataFrame, compared: DataFrame, reach: float) -> DataFrame:
-    """What stays in the buckets met(key, id, c, active, center) once their classes were compared with their centers."""
-    both_ways = compared.unionByName(compared.select(F.col("center").alias("id"), F.col("id").alias("center"), "both", "total"))
-    rest = met.join(centers.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti")
-    # pairs that were connected before need no comparison and have no distance
-    rest = cut(rest.join(both_ways.select("id", "center", (1 - F.col("both") / F.col("total")).alias("d")), ["id", "center"], "left"), "met")
-    bounds = rest.where("active and d is not null").groupBy("key", "center").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
-    actives = rest.where("active").groupBy("key", "center").agg(F.count("*").alias("actives"))
-    # a center from which all that are to be named have a distance tells whom they can be linked with
-    whole = bounds.join(actives, ["key", "center"]).where("n = actives").select("key", "center", "low", "high")
-    near = (F.col("low") - F.col("d") <= reach) & (F.col("d") - F.col("high") <= reach)
-    left = rest.join(whole, ["key", "center"], "left").groupBy("key", "id").agg(F.bool_or("active").alias("active"), F.bool_and(F.coalesce(near, F.lit(True))).alias("near"))
-    return left.where("active or near").select("key", "id")
+def links(sets: list[np.ndarray], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs with den * intersection >= num * union, enough to connect all sets that such pairs connect; known: names of
+    what the sets are connected by already.
+
+    One set is compared with all others at a time, by marking its shingles. Sets that the first comparison has joined
+    needn't be compared with each other; only the rest are compared with all.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    count = np.bincount(flat)
+    mark = np.zeros(len(count), bool)
+    label = np.unique(np.array(known), return_inverse=True)[1]
+    left = np.ones(len(sets), bool)  # not yet compared with all that were left
+    out: list[tuple[int, int]] = []
+    # first the set whose shingles are the most common: it likely joins the most
+    u = int(np.argmax(np.add.reduceat(count[flat], starts) / size))
+    while True:
+        tokens = flat[starts[u] : starts[u] + size[u]]
+        mark[tokens] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), starts)
+        mark[tokens] = False
+        left[u] = False
+        for v in np.flatnonzero((den * both >= num * (size + size[u] - both)) & left).tolist():
+            if label[u] != label[v]:
+                label[label == label[v]] = label[u]
+                out.append((u, v))
+        names, first, members = np.unique(label[left], return_index=True, return_counts=True)
+        if len(names) < 2:  # pairs that are left to compare are joined already
+            return out
+        u = int(np.flatnonzero(left)[first[np.argmin(members)]])
+
+
+def _confirm(size: int, num: int, den: int):
+    def run(parts):
+        group, ids, known, sets = None, [], [], []
+
+        def ended():
+            rows = [(ids[a], ids[b]) for a, b in links(sets, known, num, den)] if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in parts:
+            for g, i, c, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if g != group:
+                    yield ended()
+                    group, ids, known, sets = g, [], [], []
+                ids.append(i)
+                known.append(c)
+                sets.append(shingles(t.as_py(), size))
+        yield ended()
+
+    return run
 
 
 def connected(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -212,17 +249,21 @@ def connected(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int
     for _ in range(LINKING):
         now = cut(_open(now, found), "buckets")
         judge(_new(now.where("c <> least_c").select("id", F.col("least").alias("center")), compared).groupBy("id").agg(F.min("center").alias("center")))
-    now, most = cut(_open(now.select("key", "id"), found).select("key", "id", "c"), "buckets"), 1
-    while not now.isEmpty():
-        largest = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("largest"))
-        rows = hot_join(now, largest, "key").select("key", "id", "c", (F.col("c") != F.col("largest")).alias("active"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        centers = rows.where("active").select("key", F.col("id").alias("center"), F.col("c").alias("center_c"), place.alias("r")).where(F.col("r") <= most).drop("r")
-        met = hot_join(rows, centers, "key").where("id <> center")
-        judge(_new(met.where("c <> center_c").select("id", "center"), compared))
-        left = _left(met.drop("center_c"), centers, compared, 1 - num / den + 1e-9)
-        now, most = cut(_open(left, found).select("key", "id", "c"), "buckets"), most * 4
-    return found
+    # what is not connected yet: whole groups meet in tasks, which leave out pairs that are connected
+    rest = cut(_open(now.select("key", "id"), found), "buckets")
+    groups = components(rest.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    groups = cut(groups.join(rest.select("id", "c").distinct(), "id"), "groups")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    # blocks of a large group: a class belongs to one block and goes to every pair of blocks that has it
+    blocks = F.when(F.col("n") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b")))
+    # a block meets itself in any tile it is in, so the tile (b, b) is only needed when there is one block
+    tiles = F.filter(tiles, lambda t: (t["a"] != t["b"]) | (F.col("blocks") == 1))
+    dealt = hot_join(groups, sizes, "component").withColumn("blocks", blocks).withColumn("own", own).select("component", "id", "c", F.explode(tiles).alias("t")).select("id", "c", F.xxhash64("component", "t.a", "t.b").alias("tile"))
+    tasks = texts.hint("merge").join(dealt, texts["rid"] == dealt["id"]).select("tile", "rid", "c", "text")
+    links_ = tasks.repartition("tile").sortWithinPartitions("tile", "rid").mapInArrow(_confirm(size, num, den), "u long, v long")
+    return _merged(found, cut(links_, "links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:

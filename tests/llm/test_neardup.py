@@ -57,9 +57,10 @@ def family(seed, n, least, most, words=120):
     return out
 
 
-@pytest.mark.parametrize("tile", [512, 7])
+@pytest.mark.parametrize("tile", [7, 512])
 def test_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "BLOCK", tile)
     texts = chain(60, 1) + chain(40, 2) + [prose(s, 90) for s in range(50)] * 2 + ["short one", "Short  ONE", "", None]
     for k in range(6):  # near copies, texts about as alike as a link needs, and texts that only share keys
         texts += family(10 + k, 25, 0, 0.03) + family(10 + k, 12, 0.02, 0.06) + family(20 + k, 20, 0.08, 0.2)
