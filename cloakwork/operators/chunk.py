@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ def whole_texts(chunks: DataFrame) -> DataFrame:
     return grouped.select("text_hash", joined(F.col("c")).alias("note_text"))
 
 
+def first_by(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Of each key the row with the least value of order; of equal ones the least row. Combined before the exchange."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(order, *rest)).alias("__row")).select(*key, "__row.*").select(*df.columns)
+
+
 def group_chunks(chunks: DataFrame) -> DataFrame:
     """One row a document: text_hash, patient_id (of the first chunk), chunks in order, failed."""
     status = F.col("chunk_status") if "chunk_status" in chunks.columns else F.lit("success")

@@ -329,7 +329,7 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lower(lang) AS lang, MIN(doc_id) AS doc_id FROM documents GROUP BY 1")
 def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.lower("lang").alias("lang")).agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+    return chunk.first_by(docs.select(F.lower("lang").alias("lang"), "doc_id"), ["lang"], "doc_id")
 
 
 @query()
