@@ -40,7 +40,7 @@ from cloakwork.llm.shared import free_name
 Weight = int | float | Decimal | Fraction
 
 #: Sources and slots of a period at most, and documents of a group with the same first digits, about.
-MAX_SOURCES, MAX_PERIOD, GROUP = 20_000, 1 << 22, 16_000
+MAX_SOURCES, MAX_PERIOD, GROUP = 20_000, 1 << 22, 500
 #: A schedule of so many slots at most is a literal and broadcast; a longer one is a table and joined by exchange.
 LITERAL_SLOTS = 100_000
 

@@ -202,7 +202,7 @@ def test_no_key_body_is_left(spark):
         assert (got[i]["text"], got[i]["n_chars"]) == (want, len(want))
 
 
-@pytest.mark.parametrize("literal, group", [(100_000, 16_000), (10, 100)])
+@pytest.mark.parametrize("literal, group", [(100_000, 500), (10, 20_000)])
 def test_places_keep_to_the_given_weights(spark, monkeypatch, literal, group):
     monkeypatch.setattr(mixing, "LITERAL_SLOTS", literal)  # so that the table is joined by exchange
     monkeypatch.setattr(mixing, "GROUP", group)
