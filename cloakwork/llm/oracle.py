@@ -93,3 +93,22 @@ r AS (SELECT items FROM c, z WHERE c.hits >= greatest({urlrules.LEAST}, {urlrule
 b AS (SELECT DISTINCT tok FROM (SELECT DISTINCT tok FROM t) d JOIN r ON list_has_all(d.tok, r.items)),
 f AS (SELECT page_id, h, p, tok, CASE {_FIXED} END AS fixed FROM t)
 SELECT page_id, h AS host, p AS path, fixed.rule AS rule, COALESCE(fixed.verdict, CASE WHEN b.tok IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM f LEFT JOIN b ON f.tok = b.tok"""
+
+# Every order is run over the masks, step by step; the query forms polynomials.
+AUDIT = rf"""WITH d AS (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, MIN(doc_id) OVER (PARTITION BY t) AS least FROM d),
+g AS (SELECT doc_id, bool_or(COALESCE(quality = 1, false)) AS good, bool_or(COALESCE(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, COALESCE(good, false) AS good, COALESCE(toxic, false) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * COALESCE(least < w.doc_id, false)::INT AS mask FROM w LEFT JOIN g ON g.doc_id = w.doc_id),
+m AS (SELECT part, mask, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, CAST(power(2, ascii(filter_order[step]) - 65) AS INT) AS bit,
+  list_sum(list_transform(range(1, step), lambda j: CAST(power(2, ascii(filter_order[j]) - 65) AS INT))) AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, SUM(n) FILTER (mask & (COALESCE(before, 0) + bit)::INT = 0) AS kept,
+  SUM(n) FILTER (mask & bit > 0 AND mask & COALESCE(before, 0)::INT = 0) AS removed, SUM(n) FILTER (mask & bit > 0 AND mask & COALESCE(before, 0)::INT > 0) AS redundant,
+  SUM(n) FILTER (mask = bit) AS unique_fails, SUM(good) FILTER (mask & bit > 0 AND mask & COALESCE(before, 0)::INT = 0) AS good_lost,
+  SUM(toxic) FILTER (mask & bit > 0 AND mask & COALESCE(before, 0)::INT = 0) AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {', '.join(f'CAST(COALESCE({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(SUM(COALESCE(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
