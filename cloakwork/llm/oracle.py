@@ -112,3 +112,16 @@ r AS (SELECT part, filter_order, step, bit, SUM(n) FILTER (mask & (COALESCE(befo
   SUM(toxic) FILTER (mask & bit > 0 AND mask & COALESCE(before, 0)::INT = 0) AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, {', '.join(f'CAST(COALESCE({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
   CAST(SUM(COALESCE(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+# Every vector is compared with every centroid in every round.
+_ASSIGN = """a{r} AS (SELECT vec_id, any_value(v) AS v, arg_min(c, d * 16 + c) AS c, MIN(d) AS d FROM (SELECT x.vec_id, x.v, y.c, list_sum(list_transform(list_zip(x.v, y.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x, c{r} y) GROUP BY 1),
+"""
+_MEANS = """c{n} AS (SELECT c{r}.c, COALESCE(s.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM
+ (SELECT c, i, SUM(v[i])::BIGINT AS s, COUNT(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1) s ON s.c = c{r}.c),
+"""
+CLUSTERS = f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x ORDER BY h LIMIT 16)),
+{''.join(_ASSIGN.format(r=r) + _MEANS.format(r=r, n=r + 1) for r in range(3))}{_ASSIGN.format(r=3)}i AS (SELECT c, SUM(d)::BIGINT AS of_cluster FROM a3 GROUP BY 1)
+SELECT vec_id, a3.c::INT AS cluster, d::BIGINT AS distance, of_cluster AS cluster_inertia, (SELECT SUM(d) FROM a3)::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN i ON i.c = a3.c JOIN c3 ON c3.c = a3.c"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import audit, chat, fingerprints, langid, mixing, neardup, oracle, packing, quality, records, secrets, urlrules
+from cloakwork.llm import audit, chat, clusters, fingerprints, langid, mixing, neardup, oracle, packing, quality, records, secrets, urlrules
 from cloakwork.llm.shared import shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -69,13 +69,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_quality, op4_chat, op5_neardup, op6_langid, op7_urlrules, op8_secrets, op9_records, op10_mixing, op13_audit)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_quality, op4_chat, op5_neardup, op6_langid, op7_urlrules, op8_secrets, op9_records, op10_mixing, op12_clusters, op13_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": oracle.QUALITY, "op5_neardup": oracle.NEARDUP, "op7_urlrules": oracle.URLRULES, "op8_secrets": oracle.SECRETS, "op10_mixing": oracle.MIXING, "op13_audit": oracle.AUDIT}
+    return {"op3_quality": oracle.QUALITY, "op5_neardup": oracle.NEARDUP, "op7_urlrules": oracle.URLRULES, "op8_secrets": oracle.SECRETS, "op10_mixing": oracle.MIXING, "op12_clusters": oracle.CLUSTERS, "op13_audit": oracle.AUDIT}
