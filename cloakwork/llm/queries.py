@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import audit, chat, clusters, fingerprints, langid, mixing, neardup, oracle, packing, quality, records, secrets, urlrules
+from cloakwork.llm import audit, chat, clusters, fingerprints, langid, mixing, neardup, oracle, packing, quality, records, secrets, sharding, urlrules
 from cloakwork.llm.shared import shared_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +82,7 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_quality, op4_chat, op5_neardup, op6_langid, op7_urlrules, op8_secrets, op9_records, op10_mixing, op12_clusters, op13_audit)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_quality, op4_chat, op5_neardup, op6_langid, op7_urlrules, op8_secrets, op9_records, op10_mixing, op11_sharding, op12_clusters, op13_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
