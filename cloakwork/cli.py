@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys
-from cloakwork.operators import bio, llm_spans
+from cloakwork.operators import llm_spans
 from cloakwork.operators.replace import Settings, anonymize
 from cloakwork.plans import jobs
 from cloakwork.schema import SPANS
@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
             for kind in LISTS:
                 s.add_argument(f"--{kind}", help=f"file of {kind} to choose from, one a line")
         if name in ("transformer", "reassembly", "pipeline"):
-            s.add_argument("--model", help="module:function that makes a model; rule is the built-in one")
+            s.add_argument("--model", help="module:function that makes a model")
             s.add_argument("--chunk", type=int)
             s.add_argument("--overlap", type=int)
         if name in ("llm-recognizer", "pipeline"):
@@ -59,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "pipeline":
             s.add_argument("--llm-mode", choices=("off", "only", "merge"))
             s.add_argument("--stages", help="folder for the spans of each stage")
+            s.add_argument("--skip", nargs="*", choices=jobs.STEPS, help="steps to leave out")
         if name == "reassembly":
             s.add_argument("--notes", help="Parquet with text_hash and note_text")
     return p
@@ -77,7 +78,7 @@ def options(argv: list[str]) -> argparse.Namespace:
                     raise SystemExit(f"unknown option {k} in {args.config}")
                 if getattr(args, k) is None:
                     setattr(args, k, v)
-    needed = ["input", "output", *(["salt", "key"] if args.job in ("anonymizer", "pipeline") else []), *(["notes"] if args.job == "reassembly" else []), *(["llm", "prompt"] if args.job == "llm-recognizer" or getattr(args, "llm_mode", None) in ("only", "merge") else [])]
+    needed = ["input", "output", *(["salt", "key"] if args.job in ("anonymizer", "pipeline") and "anonymizer" not in (getattr(args, "skip", None) or ()) else []), *(["notes"] if args.job == "reassembly" else []), *(["llm", "prompt"] if args.job == "llm-recognizer" or getattr(args, "llm_mode", None) in ("only", "merge") else [])]
     missing = [n for n in needed if not getattr(args, n)]
     if missing:
         raise SystemExit(f"{args.job} needs {', '.join('--' + m for m in missing)}")
@@ -93,8 +94,7 @@ def _named(path: str):
 def _model(args: argparse.Namespace) -> jobs.ModelConfig | None:
     if not args.model:
         return None
-    load = bio.rule_model if args.model == "rule" else _named(args.model)
-    return jobs.ModelConfig(args.model, load, args.chunk or 512, args.overlap or 40)
+    return jobs.ModelConfig(args.model, _named(args.model), args.chunk or 512, args.overlap or 40)
 
 
 def _text(path: str) -> str:
@@ -108,7 +108,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     df = io.read_pipeline(spark, [p if args.recursive else io.input_pattern(p) for p in paths], recursive=bool(args.recursive), merge_schemas=bool(args.merge_schemas))
     entities = args.entities or list(jobs.ENTITIES)
     settings = None
-    if args.job in ("anonymizer", "pipeline"):
+    if args.job in ("anonymizer", "pipeline") and args.salt:
         settings = Settings(Keys.load(args.salt, args.key), args.year or dt.datetime.now(dt.timezone.utc).year, jitter_required=bool(args.jitter_required), **{k: tuple(word_list(getattr(args, k))) for k in LISTS if getattr(args, k)})
     if args.job == "recognizer":
         required, key = ["text_hash", "note_text"], "text_hash"
@@ -117,7 +117,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         required, key = ["text_hash", "note_text"], "text_hash"
         job = lambda d: llm_spans.recognize(d, _text(args.prompt), _named(args.llm), args.attempts or 3)
     elif args.job == "anonymizer":
-        required, key = ["text_hash", "note_text"], "row_id" if "row_id" in df.columns else "text_hash"
+        required, key = ["text_hash", "note_text"], "row_id"
+        # two patients may share a text, so that a text alone is no row
+        if "row_id" not in df.columns and "note_text" in df.columns:
+            df = jobs.identified(df)
         if "spans" not in df.columns:
             df = df.withColumn("spans", F.from_json("recognizer_results_json", SPANS))
         job = lambda d: anonymize(d, settings)
@@ -128,12 +131,14 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         job = lambda d: jobs.tag(d, model)
     elif args.job == "reassembly":
         required, key = ["text_hash", "chunk_id", "entities"], "text_hash"
-        model = _model(args) or jobs.ModelConfig("model", bio.rule_model)  # only its name and labels are used
+        model = _model(args) or jobs.ModelConfig("model", list)  # only its name and labels are used
         job = lambda d: jobs.reassemble(d, io.read_pipeline(spark, io.input_pattern(args.notes)), model)
     else:
         required, key = ["note_text"], "row_id"
+        if "note_text" in df.columns:
+            df = jobs.identified(df)
         ask = {"llm": _named(args.llm), "prompt": _text(args.prompt), "llm_mode": args.llm_mode} if args.llm_mode in ("only", "merge") else {}
-        job = lambda d: jobs.pipeline(d, settings, _model(args), entities, stages=args.stages, **ask)
+        job = lambda d: jobs.pipeline(d, settings, _model(args), entities, stages=args.stages, skip=args.skip or (), **ask)
     if args.dry_run:
         print(jobs.dry_run(df, required, job))
         return 0

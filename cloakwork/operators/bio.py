@@ -86,25 +86,6 @@ def tag(text: Column, load: Callable[[], Model], ignored: tuple[str, ...] = ("O"
     return run(text)
 
 
-def rule_model() -> Model:
-    """A deterministic stand-in for a tagger: words with a capital in mid-sentence are names, numbers are ids."""
-    import re
-
-    word = re.compile(r"\S+")
-
-    def run(texts: list[str]) -> list[list[dict]]:
-        out = []
-        for t in texts:
-            found = []
-            for i, m in enumerate(word.finditer(t)):
-                kind = "ID" if m[0].strip(".,").isdigit() else "NAME" if i and m[0][:1].isupper() and not t[: m.start()].rstrip().endswith((".", "!", "?")) else None
-                found.append({"entity": f"B-{kind}" if kind else "O", "score": 0.9, "start": m.start(), "end": m.end(), "word": m[0], "index": i + 1})
-            out.append(found)
-        return out
-
-    return run
-
-
 def map_labels(spans: Column, labels: dict[str, str], id_label: str | None = None, multiplier: float = 1.0) -> Column:
     """Entity types by a model's label map; the score of id_label is multiplied."""
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else None

@@ -101,8 +101,15 @@ MRN = (
     (r"(?i)(?<=MED REC:\s{1,20})(?:\([0-9]+\))?[0-9]+", 0.95),
 )
 DATA_URI, PNG, BASE64 = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]{50,}", r"iVBORw0KGgo[A-Za-z0-9+/]{100,}", r"[A-Za-z0-9+/]{500,}={0,2}"
-#: Words of molecular biology near which a run of bases is more likely a sequence.
-GENETIC_CONTEXT = r"\b(?:[cmt]?dna|(?:m|t|r|si)?rna|gen(?:e|es|etic\w*|om\w+|otyp\w+)|chromosom\w*|plasmid\w*|nucleotid\w*|bases?|base\s?pairs?|sequenc\w*|fasta|pcr|primers?|probes?|codons?|exons?|introns?|promoters?|alleles?|snps?|mutat\w*|variants?|deletions?|insertions?)\b"
+#: Terms of the public glossary of genetics of the National Human Genome Research Institute, near which a run of bases is
+#: more likely a sequence.
+GENETIC_TERMS = (
+    "allele", "base pair", "cDNA", "chromosome", "codon", "complementary DNA", "deletion", "DNA", "DNA sequencing", "exon", "gene", "gene expression",
+    "genome", "genomic", "genotype", "haplotype", "insertion", "intron", "locus", "messenger RNA", "microarray", "mitochondrial DNA", "mRNA", "mutation",
+    "nucleotide", "PCR", "plasmid", "point mutation", "polymerase chain reaction", "primer", "probe", "promoter", "RNA", "sequence", "SNP",
+    "substitution", "transcript", "transfer RNA", "tRNA", "variant", "vector",
+)
+GENETIC_CONTEXT = r"(?i)\b(?:" + "|".join(t.replace(" ", r"\s+") for t in GENETIC_TERMS) + r")s?\b"
 
 # Postal addresses of the United States, after the postal service's public lists of states, street suffixes and units.
 _STATES = {
@@ -131,15 +138,19 @@ def _any(words: Sequence[str]) -> str:
 
 STATE = _any([*_STATES, *_STATES.values()])
 STREET = _any([*_SUFFIXES, *_SUFFIXES.values(), *_WHOLE_SUFFIXES])
-DIRECTION = _any([d for ns in ("", "North", "South") for ew in ("", "east", "west") if (d := (ns + ew).capitalize())]).replace(")", "|[NS][EW]?|[EW])[.]?")
+DIRECTIONS = ("North", "Northeast", "Northwest", "South", "Southeast", "Southwest", "East", "West", "N", "NE", "NW", "S", "SE", "SW", "E", "W")
+DIRECTION = _any(DIRECTIONS) + "[.]?"
 ZIP = "[0-9]{5}(?:-[0-9]{4})?"
-UNIT = _any(["Apartment", "Apt", "Building", "Bldg", "Floor", "Fl", "Lot", "Room", "Rm", "Suite", "Ste", "Unit"])[:-1] + "|(?=[#]))[.]?\\s*[#]?\\s*[A-Za-z0-9-]{1,8}"
+UNITS = ("Apartment", "Apt", "Building", "Bldg", "Floor", "Fl", "Lot", "Room", "Rm", "Suite", "Ste", "Unit")
+#: A unit's name and number, or its number alone after a number sign.
+UNIT = rf"(?:{_any(UNITS)}[.]?\s*[#]?|[#])\s*[A-Za-z0-9-]{{1,8}}"
 _HOUSE, _NAME_WORD, _TOWN = "[0-9]{1,6}(?:-[0-9]{1,5})?[A-Za-z]?", "[A-Za-z0-9]['A-Za-z0-9-]*[.]?", "[A-Za-z]['A-Za-z-]*[.]?(?:\\s+[A-Za-z]['A-Za-z-]*[.]?){0,3}"
 _LINE = rf"\b{_HOUSE}\s+(?:{DIRECTION}\s+)?(?:{_NAME_WORD}\s+){{1,5}}?{STREET}[.]?(?:\s+{DIRECTION}\b)?(?:\s*,?\s+{UNIT})?"
 _TAIL = rf"\s*,?\s*\b{STATE}\b[.]?\s*,?\s*"
 _BOX = r"\b(?:P[.]?\s*O[.]?|Post\s+Office)\s+Box\s+[0-9]{1,7}"
-#: A quantity, which no address holds.
-DOSE = r"(?i)\b[0-9]+\s*(?:g|kg|m?l|mc?g|[cm]m|mmol|meq|units?|tablets?)\b"
+#: Units of the metric system that prescriptions have: a number with one is a quantity, which no address holds.
+QUANTITIES = ("cm", "g", "kg", "mcg", "mg", "mL", "mm", "mmol", "ng")
+DOSE = r"(?i)\b[0-9]+(?:[.][0-9]+)?\s*" + _any(QUANTITIES) + r"\b"
 # The names and scores of the three forms.
 ADDRESS = (
     (rf"(?i){_LINE}\s*,\s*{_TOWN}{_TAIL}{ZIP}\b", 0.95, "full_address"),

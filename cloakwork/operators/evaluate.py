@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.operators.long_spans import interval_join
 from cloakwork.operators.spans import packed_rows, resolve_frame, resolved_rows
 
 KEY = ["note_id", "span_tag", "span_start", "span_end"]
@@ -207,7 +208,7 @@ def _covering(spans: str, at: Column) -> Column:
 
 def token_labels(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """note_id, tok_start, tok_end, tag: that of the first span, by ordinal, that overlaps the token; else O."""
-    hit = tokens.join(spans.select("note_id", "span_start", "span_end", "span_tag", "ordinal"), "note_id").where((F.col("tok_start") < F.col("span_end")) & (F.col("span_start") < F.col("tok_end")))
+    hit = interval_join(tokens.select("note_id", "tok_start", "tok_end"), spans.select("note_id", "span_start", "span_end", "span_tag", "ordinal"), "note_id", ("tok_start", "tok_end"), ("span_start", "span_end"))
     first = hit.groupBy("note_id", "tok_start", "tok_end").agg(F.min_by("span_tag", F.struct("ordinal", "span_tag")).alias("tag"))
     return tokens.join(first, ["note_id", "tok_start", "tok_end"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
 

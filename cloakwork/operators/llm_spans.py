@@ -7,7 +7,7 @@ plain expressions and need no model.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,11 +40,11 @@ def located(text: Column, reply: Column) -> Column:
 
 
 def ask(prompts: Column, load: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0) -> Column:
-    """Replies, array<string>, to an array of prompts, by a model that load() makes once a batch; null after `attempts`
+    """Replies, array<string>, to an array of prompts, by a model that load() makes once a task; null after `attempts`
     failures, with doubling waits."""
 
     @F.pandas_udf("array<string>")
-    def run(batches: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
 
         def one(p: str) -> str | None:
@@ -56,7 +56,8 @@ def ask(prompts: Column, load: Callable[[], Callable[[str], str]], attempts: int
                         time.sleep(wait * 2**k)
             return None
 
-        return batches.map(lambda prompts: [one(p) for p in prompts])
+        for s in batches:
+            yield s.map(lambda prompts: [one(p) for p in prompts])
 
     return run(prompts)
 

@@ -7,7 +7,7 @@ results don't depend on how spans came together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,15 +46,42 @@ def hull_iou(a: Column, b: Column) -> Column:
 def by_position(spans: Column) -> Column:
     """Sorted by start, longer first, then by higher score and type, so that ties have one order."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["score"]).alias("c"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
+    return F.transform(F.sort_array(keyed), lambda k: k["s"])
 
 
-def _last(spans: Column) -> Column:
-    return F.try_element_at(spans, F.lit(-1))
+def fold(xs: Column, kind: str, pending: str, start: Column, step: Callable[[Column, Column, Column], tuple[Column, Column]], close: Callable[[Column], Column]) -> Column:
+    """A fold that keeps elements of an array: step gets what is kept, what is pending (of the type pending) and the next
+    element, and returns both anew; close turns what is pending at last into an array. step may append to what is kept,
+    but not look at it.
+
+    An append copies the array, so that n of them would cost n squared. The elements are taken in pieces, each of which
+    has a short array of its own: n elements in pieces of s copy about n * s / 2 + (n / s)^2 / 2, least at the cube root
+    of 2 n.
+    """
+    state = f"struct<kept: array<{kind}>, pending: {pending}>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, x: Column) -> Column:
+        kept, now = step(s["kept"], s["pending"], x)
+        return F.struct(kept.alias("kept"), now.alias("pending"))  # a cast here would copy the array
+
+    def piece(all_: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(none.alias("kept"), all_["pending"].alias("pending")).cast(state), one)
+        # one value as a lambda's variable, or the piece would be folded twice
+        return F.transform(F.array(done), lambda d: F.struct(F.array_append(all_["parts"], d["kept"]).alias("parts"), d["pending"].alias("pending")))[0]
+
+    def whole(ys: Column) -> Column:
+        n = F.size(ys)
+        size = F.greatest(F.lit(1), F.ceil(F.cbrt(2.0 * n)).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), size), lambda i: F.slice(ys, i, size))
+        begin = F.struct(F.array().cast(f"array<array<{kind}>>").alias("parts"), start.cast(pending).alias("pending"))
+        return F.aggregate(pieces, begin, piece, lambda a: F.concat(F.flatten(a["parts"]), close(a["pending"])))
+
+    return F.transform(F.array(xs), whole)[0]
 
 
-def _without_last(spans: Column) -> Column:
-    return F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0)))
+def _pending(x: Column, kind: str = SPANS) -> Column:
+    return F.when(x.isNull(), F.array().cast(kind)).otherwise(F.array(x).cast(kind))
 
 
 def dedupe(spans: Column, by_type: bool) -> Column:
@@ -62,36 +89,46 @@ def dedupe(spans: Column, by_type: bool) -> Column:
     are made neighbours, so that each span is compared with one other."""
     if by_type:
         keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["entity_type"].alias("t"), (-s["score"]).alias("c"), s.alias("s")))
-        ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
+        ordered = F.transform(F.sort_array(keyed), lambda k: k["s"])
     else:
         ordered = by_position(spans)
-    same = lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"]) & ((x["entity_type"] == y["entity_type"]) if by_type else F.lit(True))
-    return F.aggregate(ordered, no_spans(), lambda kept, x: F.when(F.coalesce(same(x, _last(kept)), F.lit(False)), kept).otherwise(F.array_append(kept, x)))
+    same = lambda x, y: F.coalesce((x["start"] == y["start"]) & (x["end"] == y["end"]) & ((x["entity_type"] == y["entity_type"]) if by_type else F.lit(True)), F.lit(False))
+    # sorted once, as a lambda's variable
+    return F.transform(F.array(ordered), lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~same(x, F.get(xs, i - 1))))[0]
+
+
+def _longest_step(start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Callable[[Column, Column, Column], tuple[Column, Column]]:
+    def step(kept: Column, last: Column, x: Column) -> tuple[Column, Column]:
+        apart = ~((start(last) < end(x)) & (start(x) < end(last)))
+        before = end(x) < end(last)  # of spans without length, one may end before the last one does
+        longer = end(x) - start(x) > end(last) - start(last)
+        return (
+            F.when(last.isNull() | ~apart, kept).when(before, F.array_append(kept, x)).otherwise(F.array_append(kept, last)),
+            F.when(last.isNull(), x).when(apart, F.when(before, last).otherwise(x)).when(longer, x).otherwise(last),
+        )
+
+    return step
 
 
 def longest_wins(spans: Column) -> Column:
     """Left to right: a span without overlap is kept; one that is longer than every kept span it overlaps evicts
     them; any other is dropped. Spans must come sorted.
 
-    Kept spans are disjoint, so the one that ends last is the only one that a later span can overlap; it stands last.
+    Kept spans are disjoint, so the one that ends last is the only one that a later span can overlap; it is pending.
     """
-
-    def step(kept: Column, x: Column) -> Column:
-        last = _last(kept)
-        free = F.size(kept) == 0
-        # of spans without length, one may end before the last one does
-        apart = F.when(x["end"] < last["end"], F.concat(_without_last(kept), F.array(x, last))).otherwise(F.array_append(kept, x))
-        return F.when(free, F.array_append(kept, x)).when(~overlaps(last, x), apart).when(length(x) > length(last), F.array_append(_without_last(kept), x)).otherwise(kept)
-
-    return F.aggregate(spans, no_spans(), step)
+    step = _longest_step(lambda s: s["start"], lambda s: s["end"])
+    return fold(spans.cast(SPANS), SPAN, SPAN, F.lit(None), step, _pending)
 
 
 def merge_contained(spans: Column) -> Column:
     """Drop spans within an earlier kept one; partial overlaps survive. Spans must come sorted, so a span lies within
     an earlier one if the furthest end so far is not before its own."""
-    start = F.struct(F.lit(None).cast("int").alias("reach"), no_spans().alias("kept"))
-    within = lambda a, x: F.coalesce(a["reach"] >= x["end"], F.lit(False))
-    return F.aggregate(spans, start, lambda a, x: F.when(within(a, x), a).otherwise(F.struct(x["end"].alias("reach"), F.array_append(a["kept"], x).alias("kept"))), lambda a: a["kept"])
+
+    def step(kept: Column, reach: Column, x: Column) -> tuple[Column, Column]:
+        within = F.coalesce(reach >= x["end"], F.lit(False))
+        return F.when(within, kept).otherwise(F.array_append(kept, x)), F.when(within, reach).otherwise(x["end"])
+
+    return fold(spans.cast(SPANS), SPAN, "int", F.lit(None), step, lambda _: no_spans())
 
 
 def drop_overlapping_earlier(spans: Column) -> Column:
@@ -119,15 +156,18 @@ def merge_adjacent(spans: Column, text: Column, types: Sequence[str], max_gap: i
     eligible = F.filter(by_position(spans), lambda s: s["entity_type"].isin(list(types)))
     others = F.filter(by_position(spans), lambda s: ~s["entity_type"].isin(list(types)))
 
-    def step(done: Column, x: Column) -> Column:
-        near = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["entity_type"] == x["entity_type"]) & (x["start"] >= F.try_element_at(done, F.lit(-1))["end"])
-        prev = F.try_element_at(done, F.lit(-1))
+    def step(kept: Column, prev: Column, x: Column) -> tuple[Column, Column]:
         gap = x["start"] - prev["end"]
-        joins = near & (gap <= max_gap) & F.substring(text, prev["end"] + 1, gap).rlike(r"^\s*$")
+        joins = (prev["entity_type"] == x["entity_type"]) & (gap >= 0) & (gap <= max_gap) & F.substring(text, prev["end"] + 1, gap).rlike(r"^\s*$")
         joined = F.struct(prev["entity_type"], prev["start"], x["end"].alias("end"), F.greatest(prev["score"], x["score"]).alias("score"), prev["recognizer"], prev["pattern"]).cast(SPAN)
-        return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, x))
+        return _joined(kept, prev, x, joins, joined)
+
+    return F.concat(others, fold(eligible, SPAN, SPAN, F.lit(None), step, _pending))
 
-    return F.concat(others, F.aggregate(eligible, no_spans(), step))
+
+def _joined(kept: Column, prev: Column, x: Column, joins: Column, joined: Column) -> tuple[Column, Column]:
+    joins = F.coalesce(joins, F.lit(False))
+    return F.when(prev.isNull() | joins, kept).otherwise(F.array_append(kept, prev)), F.when(joins, joined).otherwise(x)
 
 
 def suppress(spans: Column, iou: float = 0.5) -> Column:
@@ -135,7 +175,7 @@ def suppress(spans: Column, iou: float = 0.5) -> Column:
     numbered = F.transform(spans, lambda s, i: F.struct((-s["score"]).alias("a"), s["start"].alias("b"), s["end"].alias("c"), s["entity_type"].alias("d"), i.alias("i"), s.alias("s")))
     kept_type = f"array<struct<a: double, b: int, c: int, d: string, i: int, s: {SPAN}>>"
     step = lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k["s"], x["s"]) & (hull_iou(k["s"], x["s"]) >= iou)), kept).otherwise(F.array_append(kept, x))
-    kept = F.aggregate(F.array_sort(numbered).cast(kept_type), F.array().cast(kept_type), step)
+    kept = F.aggregate(F.sort_array(numbered).cast(kept_type), F.array().cast(kept_type), step)
     return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["i"].alias("i"), k["s"].alias("s")))), lambda k: k["s"])
 
 
@@ -180,37 +220,42 @@ def merge_adjacent_long(df: DataFrame, key: str, max_gap: int = 2) -> DataFrame:
 def merge_continuous(spans: Column, text: Column, max_gap: int) -> Column:
     """Chain spans of one type that overlap or whose gap of at most max_gap is blanks and joining marks only."""
 
-    def step(done: Column, x: Column) -> Column:
-        prev = F.try_element_at(done, F.lit(-1))
+    def step(kept: Column, prev: Column, x: Column) -> tuple[Column, Column]:
         gap = x["start"] - prev["end"]
-        near = (F.size(done) > 0) & (prev["entity_type"] == x["entity_type"])
-        joins = near & ((gap <= 0) | ((gap <= max_gap) & F.substring(text, prev["end"] + 1, F.greatest(gap, F.lit(0))).rlike(r"^[\s,.\-']*$")))
+        joins = (prev["entity_type"] == x["entity_type"]) & ((gap <= 0) | ((gap <= max_gap) & F.substring(text, prev["end"] + 1, F.greatest(gap, F.lit(0))).rlike(r"^[\s,.\-']*$")))
         joined = F.struct(prev["entity_type"], prev["start"], F.greatest(prev["end"], x["end"]).alias("end"), F.greatest(prev["score"], x["score"]).alias("score"), prev["recognizer"], prev["pattern"]).cast(SPAN)
-        return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.array_append(done, x))
+        return _joined(kept, prev, x, joins, joined)
 
-    return F.aggregate(by_position(spans), no_spans(), step)
+    return fold(by_position(spans), SPAN, SPAN, F.lit(None), step, _pending)
 
 
-def resolved_rows(rows: Column, kind: str) -> Column:
-    """Longest wins over an array (of type kind) of struct(start, minus: -end, less: -score, row)."""
-    meets = lambda a, b: (a["start"] < -b["minus"]) & (b["start"] < -a["minus"])
-    size = lambda a: -a["minus"] - a["start"]
-    same = lambda a, b: (a["start"] == b["start"]) & (a["minus"] == b["minus"])
-    none = F.array().cast(kind)
-    once = F.aggregate(F.array_sort(rows), none, lambda kept, x: F.when(F.coalesce(same(x, _last(kept)), F.lit(False)), kept).otherwise(F.array_append(kept, x)))
+def rows_resolved(rows: Column, kind: str, once: bool = True) -> Column:
+    """Longest wins over an array (of type kind) of struct(start, minus: -end, less: -score, row). once: equal ranges
+    collapse first."""
+    of = kind[len("array<") : -1]
+    same = lambda a, b: F.coalesce((a["start"] == b["start"]) & (a["minus"] == b["minus"]), F.lit(False))
+    step = _longest_step(lambda s: s["start"], lambda s: -s["minus"])
 
-    def step(kept: Column, x: Column) -> Column:
-        last = _last(kept)
-        apart = F.when(-x["minus"] < -last["minus"], F.concat(_without_last(kept), F.array(x, last))).otherwise(F.array_append(kept, x))
-        return F.when(F.size(kept) == 0, F.array_append(kept, x)).when(~meets(last, x), apart).when(size(x) > size(last), F.array_append(_without_last(kept), x)).otherwise(kept)
+    def resolved(xs: Column) -> Column:
+        ys = F.filter(xs, lambda x, i: (i == 0) | ~same(x, F.get(xs, i - 1))) if once else xs
+        return fold(ys, of, of, F.lit(None), step, lambda p: _pending(p, kind))
 
-    return F.aggregate(once, none, step)
+    # sorted once, as a lambda's variable
+    return F.transform(F.array(F.sort_array(rows)), resolved)[0]
+
+
+def packed(start: Column, end: Column, score: Column, rest: Sequence[str | Column]) -> Column:
+    """An aggregate that collects rows in the form of rows_resolved()."""
+    return F.collect_list(F.struct(start.alias("start"), (-end).alias("minus"), (-score).alias("less"), F.struct(*rest).alias("row")))
+
+
+def resolved_rows(rows: Column, kind: str) -> Column:
+    return rows_resolved(rows, kind)
 
 
 def packed_rows(df: DataFrame, rest: Sequence[str]) -> Column:
-    """An aggregate that collects rows in the form of resolved_rows()."""
     score = F.col("score") if "score" in df.columns else F.lit(0.0)
-    return F.collect_list(F.struct(F.col("span_start").alias("start"), (-F.col("span_end")).alias("minus"), (-score).alias("less"), F.struct(*rest).alias("row")))
+    return packed(F.col("span_start"), F.col("span_end"), score, rest)
 
 
 def resolve_frame(df: DataFrame, model_name: str | None = None, by: Sequence[str] = ("note_id",)) -> DataFrame:

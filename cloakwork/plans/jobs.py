@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from cloakwork.operators import bio, chunk, detect, known, llm_spans
 from cloakwork.operators.replace import Settings, anonymize
 from cloakwork.operators.spans import by_position, longest_wins
 from cloakwork.schema import require_columns, row_id, text_hash
-from cloakwork.sources import io
+from cloakwork.sources import io, resume
+from cloakwork.sources.shared import hot_join
 
 ENTITIES = ("EMAIL_ADDRESS", "PHONE", "US_SSN", "URL", "IP_ADDRESS", "ACC_NUM", "HAR", "MRN", "LOCATION", "BASE64_IMAGE", "GENETIC_SEQUENCE", "DATE_TIME")
 
@@ -36,16 +37,17 @@ class ModelConfig:
     id_multiplier: float = 1.0
 
 
-def recognize(notes: DataFrame, entities: Sequence[str] = ENTITIES, resolve: bool = False, stopwords: Sequence[str] = ()) -> DataFrame:
+def recognize(notes: DataFrame, entities: Sequence[str] = ENTITIES, resolve: bool = False, stopwords: Sequence[str] = (), cached_types: Sequence[str] | None = None) -> DataFrame:
     """notes(note_text[, text_hash, patient_identifiers, recognizer_results_json]) with spans.
 
-    Detectors, cached results and known values together; resolve: longest wins. A null text has no spans and the
+    Detectors, cached results (of cached_types, by default the entities) and known values together; resolve: longest
+    wins. A null text has no spans and the
     status "skipped"; no row is dropped.
     """
     require_columns(notes, ["note_text"])
     spans = detect.detect(F.col("note_text"), entities)
     if "recognizer_results_json" in notes.columns:
-        spans = F.concat(spans, detect.cached(F.col("recognizer_results_json"), [*entities, *known.KINDS.values()]))
+        spans = F.concat(spans, detect.cached(F.col("recognizer_results_json"), [*(entities if cached_types is None else cached_types), *known.KINDS.values()]))
     if "patient_identifiers" in notes.columns:
         spans = F.concat(spans, known.known_values(F.col("note_text"), io.identifiers(), stopwords))
     if resolve:
@@ -79,29 +81,60 @@ def reassemble(chunks: DataFrame, notes: DataFrame, model: ModelConfig) -> DataF
     return out.withColumn("spans", bio.map_labels(F.col("spans"), dict(model.labels), model.id_label, model.id_multiplier)) if model.labels else out
 
 
-def pipeline(notes: DataFrame, settings: Settings, model: ModelConfig | None = None, entities: Sequence[str] = ENTITIES, llm: Callable[[], Callable[[str], str]] | None = None, prompt: str = "", llm_mode: str = "off", stages: str | None = None) -> DataFrame:
-    """Tag, detect, ask a model, resolve, replace. llm_mode: off, only (the model's spans alone) or merge.
+def identified(notes: DataFrame) -> DataFrame:
+    """notes with lower-case names, text_hash, patient_uid (null if missing) and row_id, by which runs are resumed."""
+    base = notes.toDF(*(c.lower() for c in notes.columns))
+    own = text_hash(F.col("note_text"))
+    base = base.withColumn("text_hash", F.coalesce("text_hash", own) if "text_hash" in base.columns else own)
+    if "patient_uid" not in base.columns:
+        base = base.withColumn("patient_uid", F.lit(None).cast("string"))
+    return base.withColumn("row_id", row_id(F.col("text_hash"), F.col("patient_uid")))
+
+
+#: What a pipeline can do without.
+STEPS = ("detectors", "known", "cached", "tagger", "anonymizer")
+
+
+def pipeline(
+    notes: DataFrame,
+    settings: Settings | None,
+    model: ModelConfig | None = None,
+    entities: Sequence[str] = ENTITIES,
+    llm: Callable[[], Callable[[str], str]] | None = None,
+    prompt: str = "",
+    llm_mode: str = "off",
+    stages: str | None = None,
+    skip: Sequence[str] = (),
+) -> DataFrame:
+    """Tag, detect, ask a model, resolve, replace. llm_mode: off, only (the model's spans alone) or merge. skip: steps
+    of STEPS to leave out; without the anonymizer the rows come with their spans.
 
     One lazy plan. stages: a folder where the tagger's, the model's and all spans are written as tables tagged, asked and
-    recognized, from which the later steps read.
+    recognized, a folder for each run, from which the later steps read.
     """
     if llm_mode not in ("off", "only", "merge"):
         raise ValueError("llm_mode is off, only or merge")
-    base = notes.toDF(*(c.lower() for c in notes.columns))
-    base = base.withColumn("text_hash", F.coalesce("text_hash", text_hash(F.col("note_text"))) if "text_hash" in base.columns else text_hash(F.col("note_text")))
-    if "patient_uid" not in base.columns:
-        base = base.withColumn("patient_uid", F.lit(None).cast("string"))
-    base = base.withColumn("row_id", row_id(F.col("text_hash"), F.col("patient_uid")))
-    found = recognize(base, entities).drop("entity_count", "processing_status", "error_message") if llm_mode != "only" else base.withColumn("spans", F.array().cast(dict(recognize(base.limit(0), entities).dtypes)["spans"]))
+    if unknown := set(skip) - set(STEPS):
+        raise ValueError(f"no such steps: {sorted(unknown)}; there are {STEPS}")
+    if settings is None and "anonymizer" not in skip:
+        raise ValueError("the anonymizer needs settings")
+    base = identified(notes)
+    sources = base
+    for step, column in (("known", "patient_identifiers"), ("cached", "recognizer_results_json")):
+        if (step in skip or llm_mode == "only") and column in sources.columns:
+            sources = sources.drop(column)
+    found = recognize(sources, () if "detectors" in skip or llm_mode == "only" else entities, cached_types=entities).drop("entity_count", "processing_status", "error_message")
     extra = []
+    run = f"run={uuid.uuid4().hex}"
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         if stages is None:
             return df
-        io.write_parquet(df, f"{stages.rstrip('/')}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{stages.rstrip('/')}/{name}")
+        path = f"{stages.rstrip('/')}/{name}/{run}"
+        io.write_parquet(df, path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    if model and llm_mode != "only":
+    if model and llm_mode != "only" and "tagger" not in skip:
         tagged = staged(reassemble(tag(base.dropDuplicates(["text_hash"]), model), base, model).select("text_hash", "spans"), "tagged")
         extra.append(tagged.select("text_hash", F.col("spans").alias("__model")))
     if llm and llm_mode != "off":
@@ -109,8 +142,10 @@ def pipeline(notes: DataFrame, settings: Settings, model: ModelConfig | None = N
         extra.append(asked.select("text_hash", F.col("spans").alias("__llm")))
     for e in extra:
         name = e.columns[1]
-        found = found.join(e, "text_hash", "left").withColumn("spans", F.concat("spans", F.coalesce(name, F.slice("spans", 1, 0)))).drop(name)
-    return anonymize(staged(found, "recognized"), settings)
+        # very many notes may share a text, such as an empty one
+        found = hot_join(found, e, "text_hash", "left").withColumn("spans", F.concat("spans", F.coalesce(name, F.slice("spans", 1, 0)))).drop(name)
+    found = staged(found, "recognized")
+    return found if "anonymizer" in skip else anonymize(found, settings)
 
 
 def guard(output: DataFrame, had_input: bool) -> DataFrame:
@@ -125,14 +160,7 @@ def run_resumed(df: DataFrame, job: Callable[[DataFrame], DataFrame], path: str,
 
     Rows that fail are left out of the output, so that the next run takes them again.
     """
-    spark = df.sparkSession
-    try:
-        df = io.remaining(df, spark.read.parquet(path), key)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    io.write_parquet(without_failed(job(df)), path, "append")
-    return spark.read.parquet(path).count()
+    return resume.continued(df, lambda d: without_failed(job(d)), path, key)
 
 
 def without_failed(out: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.operators import bio, chunk, evaluate
+from cloakwork.operators import bio, chunk, evaluate, long_spans
 from cloakwork.operators import spans as sp
 from cloakwork.plans.catalogue import query, table
 from cloakwork.schema import SPAN
@@ -93,6 +93,24 @@ def nms_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_arrays(spark, sf_dir).select("note_id", sp.suppress(once, 0.5).alias("spans")))
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """note_id, entity_type, start, end and score of the predictions, one row a range and type."""
+    p = predicted(spark, sf_dir)
+    return p.groupBy("note_id", F.col("span_tag").alias("entity_type"), F.col("span_start").alias("start"), F.col("span_end").alias("end")).agg(F.max("score").alias("score"))
+
+
+@query(_fold_sql(_LONGEST))
+def resolve_longest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest wins by islands of overlapping rows."""
+    return long_spans.longest_wins_long(_rows(spark, sf_dir), "note_id").withColumn("score", F.round("score", 6))
+
+
+@query(_fold_sql(_NMS).replace("ORDER BY a, b DESC, s DESC, t", "ORDER BY s DESC, a, b, t"))
+def nms_iou_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression by rounds of local maxima over pairs that an interval join finds."""
+    return long_spans.suppress_long(_rows(spark, sf_dir), "note_id", 0.5).withColumn("score", F.round("score", 6))
+
+
 _MERGE = """SELECT note_id, entity_type, MIN("start") AS "start", arg_max("end", ("start", "end")) AS "end", round(MAX(score), 6) AS score FROM (
  SELECT *, SUM(CASE WHEN pt = entity_type AND "start" - pe BETWEEN 0 AND 2 THEN 0 ELSE 1 END) OVER (PARTITION BY note_id ORDER BY "start", "end", entity_type, score DESC ROWS UNBOUNDED PRECEDING) AS island FROM (
  SELECT *, lag("end") OVER w AS pe, lag(entity_type) OVER w AS pt FROM d WINDOW w AS (PARTITION BY note_id ORDER BY "start", "end", entity_type, score DESC))) GROUP BY note_id, island, entity_type"""
@@ -176,11 +194,11 @@ def label_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.explode_labels(gold(spark, sf_dir).drop("ordinal"), {"X": ["A"], "Y": ["A", "R"]})
 
 
-_MATCH = f"""WITH g AS ({GOLD_SQL}), p AS (SELECT *, row_number() OVER () AS pid FROM ({PRED_SQL})),
-q AS (SELECT * FROM p WHERE note_id IN (SELECT note_id FROM g) AND span_tag IN (SELECT span_tag FROM g)),
-c AS (SELECT pid, arg_min({{'n': g.note_id, 't': g.span_tag, 'a': g.span_start, 'b': g.span_end}}, (g.ordinal, g.span_start, g.span_end)) AS c FROM q JOIN g ON q.note_id = g.note_id AND q.span_tag = g.span_tag
+_MATCH = f"""WITH g AS MATERIALIZED ({GOLD_SQL}), p AS MATERIALIZED (SELECT *, concat_ws('|', note_id, span_start, span_end, span_tag, model_name, category) AS pid FROM ({PRED_SQL})),
+q AS MATERIALIZED (SELECT * FROM p WHERE note_id IN (SELECT note_id FROM g) AND span_tag IN (SELECT span_tag FROM g)),
+c AS MATERIALIZED (SELECT pid, arg_min({{'n': g.note_id, 't': g.span_tag, 'a': g.span_start, 'b': g.span_end}}, (g.ordinal, g.span_start, g.span_end)) AS c FROM q JOIN g ON q.note_id = g.note_id AND q.span_tag = g.span_tag
  WHERE CASE WHEN q.span_end > q.span_start THEN greatest(0, least(q.span_end, g.span_end) - greatest(q.span_start, g.span_start)) / (q.span_end - q.span_start) ELSE 0 END >= 0.5 GROUP BY pid),
-tp AS (SELECT DISTINCT c.n AS note_id, c.t AS span_tag, c.a AS span_start, c.b AS span_end FROM c),
+tp AS MATERIALIZED (SELECT DISTINCT c.n AS note_id, c.t AS span_tag, c.a AS span_start, c.b AS span_end FROM c),
 fp AS (SELECT note_id, span_tag, span_start, span_end FROM q ANTI JOIN c USING (pid)),
 fn AS (SELECT note_id, span_tag, span_start, span_end FROM g ANTI JOIN tp USING (note_id, span_tag, span_start, span_end)),
 r AS (SELECT *, 'tp' AS kind FROM tp UNION ALL SELECT *, 'fp' FROM fp UNION ALL SELECT *, 'fn' FROM fn)"""
@@ -248,6 +266,14 @@ def token_offset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.token_labels(t, gold(spark, sf_dir))
 
 
+@query(f"""SELECT t.note_id, tok_start, tok_end, span_start, span_end, span_tag, ordinal FROM (SELECT DISTINCT note_id, "start" AS tok_start, "end" AS tok_end FROM ({TOKENS_SQL})) t
+JOIN ({GOLD_SQL}) g ON t.note_id = g.note_id AND tok_start < span_end AND span_start < tok_end""")
+def span_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tokens and gold spans that overlap, joined by note and bucket of offsets."""
+    t = tokens(spark, sf_dir).select("note_id", F.col("start").alias("tok_start"), F.col("end").alias("tok_end")).distinct()
+    return long_spans.interval_join(t, gold(spark, sf_dir), "note_id", ("tok_start", "tok_end"), ("span_start", "span_end"))
+
+
 def _resolved_sql(source: str) -> str:
     """Longest wins per g (a name) and note of rows (g, note_id, a, b, s, t)."""
     return f"""d AS ({source}), e AS (SELECT *, row_number() OVER (PARTITION BY g, note_id, a, b ORDER BY s DESC, t) AS rn FROM d),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from cloakwork.plans import jobs
 from cloakwork.plans.catalogue import query, table
 from cloakwork.schema import SPANS, row_id, text_hash
 from cloakwork.sources import io
+from cloakwork.sources.shared import shared_dir
 from cloakwork.streaming import stream
 
 #: A key for demonstration; real runs bring their own.
@@ -472,7 +470,7 @@ def stream_mask_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The masking stream over the documents' files, run until nothing is left."""
     schema = table(spark, sf_dir, "documents").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(spark, sf_dir, "documents"))
-    out = _stream_folder(spark)
+    out = shared_dir(spark, "stream")
     stream.run_available(stream.mask_documents(rows.select("doc_id", "text")), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("doc_id", F.col("text").alias("masked"))
 
@@ -489,17 +487,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.event_sessions(table(spark, sf_dir, "events"))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; only a local master without one gets its own."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='cloakwork-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for a file source: the table's own folder, or a glob of its one file."""
     path = f"{sf_dir}/{name}.parquet"

@@ -17,3 +17,22 @@ def load():
 def mended():
     answer = load()
     return lambda prompt: answer(prompt.replace("boom", "fine"))
+
+
+def tagger():
+    """A tagger by rule: words with a capital in mid-sentence are names, numbers are ids."""
+    import re
+
+    word = re.compile(r"\S+")
+
+    def run(texts: list[str]) -> list[list[dict]]:
+        out = []
+        for t in texts:
+            found = []
+            for i, m in enumerate(word.finditer(t)):
+                kind = "ID" if m[0].strip(".,").isdigit() else "NAME" if i and m[0][:1].isupper() and not t[: m.start()].rstrip().endswith((".", "!", "?")) else None
+                found.append({"entity": f"B-{kind}" if kind else "O", "score": 0.9, "start": m.start(), "end": m.end(), "word": m[0], "index": i + 1})
+            out.append(found)
+        return out
+
+    return run
