@@ -54,9 +54,8 @@ def fold(xs: Column, kind: str, pending: str, start: Column, step: Callable[[Col
     element, and returns both anew; close turns what is pending at last into an array. step may append to what is kept,
     but not look at it.
 
-    An append copies the array, so that n of them would cost n squared. The elements are taken in pieces, each of which
-    has a short array of its own: n elements in pieces of s copy about n * s / 2 + (n / s)^2 / 2, least at the cube root
-    of 2 n.
+    Each step copies what has been kept so far, so that n of them would cost n squared. The elements are taken in pieces
+    of about the root of n, each of which has a short array of its own.
     """
     state = f"struct<kept: array<{kind}>, pending: {pending}>"
     none = F.array().cast(f"array<{kind}>")
@@ -72,7 +71,7 @@ def fold(xs: Column, kind: str, pending: str, start: Column, step: Callable[[Col
 
     def whole(ys: Column) -> Column:
         n = F.size(ys)
-        size = F.greatest(F.lit(1), F.ceil(F.cbrt(2.0 * n)).cast("int"))
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
         pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), size), lambda i: F.slice(ys, i, size))
         begin = F.struct(F.array().cast(f"array<array<{kind}>>").alias("parts"), start.cast(pending).alias("pending"))
         return F.aggregate(pieces, begin, piece, lambda a: F.concat(F.flatten(a["parts"]), close(a["pending"])))
