@@ -21,7 +21,8 @@ A center is compared with TILE classes a task, whose sets pass one by one. The s
 copies are never expanded.
 
 Defined cases: a null or empty text, and one without words, has an empty set, links with nothing and is kept; a text
-of fewer words than a shingle is one shingle; rows with one doc_id count as one document; a row without doc_id takes
+of fewer words than a shingle is one shingle; rows with one doc_id count as one document, whose texts, if they differ, are
+linked with each other; a row without doc_id takes
 no part in any group (component_id null) and is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -41,8 +42,8 @@ BANDS, ROWS = 17, 4
 TILE = 512
 #: Rounds that compare each class with one other, and classes of a block; a task confirms links within two blocks.
 LINKING, BLOCK = 2, 256
-FEATURES = "doc_id long, n_shingles long, class string, vals array<long>"
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.string()), ("vals", pa.list_(pa.int64()))])
+FEATURES = "doc_id long, text_hash long, n_shingles long, class string, vals array<long>"
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.string()), ("vals", pa.list_(pa.int64()))])
 _M = np.random.default_rng(20_240_229).integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _A = np.random.default_rng(7).integers(0, 2**63, 2 * BANDS * ROWS, dtype=np.uint64)
 
@@ -90,12 +91,12 @@ def _features(size: int):
     def run(parts):
         for batch in parts:
             n, names, vals = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 names.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 vals.append(band_values(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(vals, pa.list_(pa.int64()))], schema=_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(vals, pa.list_(pa.int64()))], schema=_FEATURES)
 
     return run
 
@@ -232,11 +233,13 @@ def _confirm(size: int, num: int, den: int):
 
 
 def connected(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """id and component of classes(id, vals) that are linked with another; docs(doc_id, text)."""
+    """id and component of classes(id, doc_id, text_hash, vals) that are linked with another; docs(doc_id, text_hash,
+    text) has the text of each class under its doc_id and text_hash."""
     now = cut(buckets(classes), "buckets")
-    members = now.select("id").distinct()
+    members = classes.select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).join(now.select("id").distinct(), "id")
     # the texts of all candidates, once; never by broadcast, for they grow with the documents
-    texts = cut(docs.hint("merge").join(members, docs["doc_id"] == members["id"]).select(F.col("id").alias("rid"), "text").dropDuplicates(["rid"]), "texts")
+    of_class = docs.hint("merge").join(members, (docs["doc_id"] == members["d"]) & (docs["text_hash"] == members["h"]))
+    texts = cut(of_class.select(F.col("id").alias("rid"), "text").dropDuplicates(["rid"]), "texts")
     compared = cut(now.where("key is null").selectExpr("id", "id AS center", "id AS both", "id AS total"), "compared")
     found = None
 
@@ -266,14 +269,40 @@ def connected(classes: DataFrame, docs: DataFrame, size: int, num: int, den: int
     return _merged(found, cut(links_, "links"))
 
 
+def _numbered(named: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The classes of named(doc_id, text_hash, class, vals), each with an id of its own and the doc_id and text_hash of a
+    row, and links(u, v) between the classes of one doc_id, if there are any.
+
+    A class's id is its smallest doc_id. Where different texts have one doc_id, classes may share it; all but the first of
+    those have negative ids, from a hash of the class.
+    """
+    first = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    classes = cut(named.groupBy("class").agg(first, F.first("vals").alias("vals")).select("class", "row.doc_id", "row.text_hash", "vals"), "classes")
+    several = cut(named.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id", "least"), "several")
+    if several.isEmpty():
+        return classes.withColumn("id", F.col("doc_id")), None
+    shared = classes.select("doc_id", "class").join(several.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class").alias("holder"))
+    own = F.col("holder").isNull() | (F.col("holder") == F.col("class"))
+    other = -F.shiftrightunsigned(F.xxhash64("class"), 1) - 1
+    classes = cut(classes.join(shared, "doc_id", "left").select("class", "doc_id", "text_hash", "vals", F.when(own, F.col("doc_id")).otherwise(other).alias("id")), "classes")
+    ids = classes.select("class", "id")
+    of_doc = named.select("doc_id", "class").join(several, "doc_id").where("class <> least").select("class", "least").distinct()
+    same = of_doc.join(ids.withColumnRenamed("id", "u"), "class").join(ids.select(F.col("class").alias("least"), F.col("id").alias("v")), "least")
+    return classes, cut(same.select("u", "v"), "same")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs(doc_id, text); linked: den * intersection >= num * union."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     features = cut(docs.mapInArrow(_features(shingle), FEATURES), "features")
     named = features.where("doc_id is not null and class is not null")
-    classes = cut(named.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("vals").alias("vals")), "classes")
+    classes, same = _numbered(named)
     found = connected(classes, docs, shingle, num, den)
-    named_classes = classes.select(F.col("class"), "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
+    if same is not None:  # a component is known by the smallest doc_id of its classes, not by their ids
+        found = _merged(found, same)
+        least = found.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+        found = hot_join(found, least, "component").select("id", F.col("least").alias("component"))
+    named_classes = classes.select("class", "id", "doc_id").join(found, "id", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
     out = hot_join(features, cut(named_classes, "components"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

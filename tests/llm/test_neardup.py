@@ -111,6 +111,16 @@ def test_comparisons_grow_with_the_group(spark, monkeypatch):
         assert (kept == 1 if groups == 1 else kept >= groups) and sum(made) < 6 * len(texts), (kept, made)
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """A document of several texts has the links of all of them, whichever text its rows come with."""
+    a, b, c = (family(30 + k, 4, 0, 0.01) for k in range(3))
+    rows = [(1, a[0]), (1, b[0]), (2, b[1]), (3, a[1]), (4, c[0]), (9, c[1]), (9, b[2]), (7, prose(70, 90)), (7, prose(71, 90)), (8, prose(71, 90))]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(5)).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 1, 7: 7, 8: 7}
+    assert {r["doc_id"] for r in neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 7}
+
+
 def test_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
