@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 from llm_texts import prose
@@ -130,6 +131,23 @@ def test_rules_equal_brute_force(spark):
     assert len(want) > 3 and {s for s in want if len(s) > 1} and got == want
 
 
+def test_nearly_equal_rows_of_many_names(spark):
+    """14 names that nearly always come together: every combination is a set, each looks at one less name."""
+    r = random.Random(11)
+    rows = []
+    for i in range(200):
+        names = [f"q:k{k:02}" for k in range(14) if r.random() < 0.95]
+        rows.append((names or ["q:none"], i % 10 < 6))
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    urlrules.mine(df.limit(20), support=0.0).collect()  # compiles
+    t = time.time()
+    got = urlrules.mine(df, support=0.0).collect()
+    assert time.time() - t < 30
+    sets = {tuple(sorted(x for any_of in g["needs"] for x in any_of)): g["confidence"] for g in got}
+    assert all(not (set(a) < set(b) and sets[a] >= sets[b]) for a in sets for b in sets)
+    assert all(abs(c - (lambda has: sum(has) / len(has))([b for t, b in rows if set(s) <= set(t)])) < 1e-9 for s, c in sets.items())
+
+
 def test_tokens_that_always_come_together(spark):
     tail = "&".join(f"k{i}=1" for i in range(30))
     pages = spark.createDataFrame([(i, f"http://h{i}.io/p?{tail}" if i % 2 else f"http://h{i}.io/q?z=1") for i in range(400)] + [(999, "http://new.org/x?k7=2"), (1000, "http://a.io/" + "b/" * 20_000)], "page_id long, url string")
