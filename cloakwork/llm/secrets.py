@@ -42,11 +42,19 @@ class Rule:
         return hashlib.sha256(repr((self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
 
 
+#: A whole private key: its BEGIN line, lines about its encryption, and base64 through the END line, or, if that is
+#: missing, the base64 words that follow (64 at most: those of a key of 4096 bits) and a last, shorter one alone in its
+#: line. Ends of lines may be written as \\n.
+PEM = (
+    r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[\t\n\r ]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}"
+    r"(?:[A-Za-z0-9+/=\\\t\n\r ]*-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:(?:(?:[\t\n\r ]|\\[nr])+[A-Za-z0-9+/=]{16,}){1,64}(?:[\t ]*\r?\n[A-Za-z0-9+/=]{1,15}[\t ]*\r?(?:\n|$))?)?)"
+)
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("=", ":")),
     Rule("access", r"AKIA[A-Z0-9]{12,}", has=("AKIA",)),
     Rule("hex", r"[0-9a-f]{32,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", has=("PRIVATE KEY-----",)),
+    Rule("pem", PEM, has=("PRIVATE KEY-----",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", has=("eyJ",)),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", has=("gh",)),
 )
@@ -145,42 +153,30 @@ def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.coalesce(F.array_join(one, ","), F.lit(""))
 
 
-def _without_keys(text: Column, rule: Rule, mark: str) -> Column:
-    """text with every private key replaced by mark: from the BEGIN line through the END line, or, if that is missing
-    before the next BEGIN, through the base64 words that follow (and a last, shorter one alone in its line)."""
-    base64 = r"[A-Za-z0-9+/=\\]"
-    end = r"(?s)^.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+def marked(text: Column, spans: Column, mark: str) -> Column:
+    """text with what sorted spans cover replaced by mark, once for spans that overlap."""
 
-    def rest(part: Column) -> Column:
-        bare = F.regexp_replace(part, r"^\s*(?:Proc-Type:[^\n]*\n)?(?:DEK-Info:[^\n]*\n)?\s*", "")
-        found = F.split(bare, r"(?<=\s)(?=\S)")
-        whole = F.transform(found, lambda x, i: x.rlike(rf"^{base64}{{16,}}\s*$") | ((i > 0) & F.get(found, i - 1).rlike(rf"^{base64}{{16,}}\s*\n\s*$") & x.rlike(rf"^{base64}+(?:[ \t]*\r?\n\s*)?$")))
-        first = F.array_position(whole, False).cast("int")
-        open_end = F.when(F.coalesce(whole[0], F.lit(False)), F.when(first == 0, "").otherwise(F.array_join(F.slice(found, F.greatest(first, F.lit(1)), F.size(found)), ""))).otherwise(part)
-        return F.when(part.rlike(end), F.regexp_replace(part, end, "")).otherwise(open_end)
+    def step(a: Column, x: Column) -> Column:
+        apart = x["start"] >= a["at"]
+        piece = F.substring(text, a["at"] + 1, (x["start"] - a["at"]).cast("int"))
+        return F.struct(F.greatest(a["at"], x["end"].cast("int")).alias("at"), F.when(apart, F.array_append(a["parts"], piece)).otherwise(a["parts"]).alias("parts"))
 
-    parts = F.split(text, rule.pattern, -1)
-    return F.when(F.contains(text, F.lit(rule.has[0])), F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(rest(x))), mark)).otherwise(text)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(spans, start, step, lambda a: F.array_join(F.array_append(a["parts"], F.substring(text, a["at"] + 1, F.length(text))), mark))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs, all rows and the same columns, with every found secret in text replaced by mark and n_chars recounted.
 
-    Only texts with a finding change. Matches that overlap one replaced before them are replaced as far as they
-    still match; patterns run in the order of the rules. Of a
-    private key, of which scan() names the first line only, all lines are replaced, before any other rule.
+    The spans are those of scan(); only texts with a finding change. What a text looks like without its secrets may
+    match again (parts on both sides of one); so a mark should hold nothing that a rule could match.
     """
-    found = scan(docs, rules=rules).where("spans is not null").select(F.col("blob").alias("b")).distinct()
+    found = scan(docs, rules=rules).where("spans is not null").select(F.col("blob").alias("b"), "spans").dropDuplicates(["b"])
     found = cut(found, "blobs")
-    b, blob = (free_name(docs.columns, n) for n in ("__hit", "__blob"))
+    b, blob, spans = (free_name(docs.columns, n) for n in ("__hit", "__blob", "__spans"))
     text = F.col("text")
-    marked = text
-    for r in rules:
-        if r.kind == "pem":
-            marked = _without_keys(marked, r, mark)
-    for r in rules:
-        exact = r.pattern if not r.group else r.pattern[: -len("+)")] + f"{{{r.least},}})"
-        marked = F.regexp_replace(marked, exact, mark)
-    out = docs.withColumn(blob, F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)).join(found.withColumnRenamed("b", b), F.col(blob) == F.col(b), "left")
-    changed = F.when(F.col(b).isNotNull(), marked).otherwise(text)
-    return out.select(*(changed.alias(c) if c == "text" else F.when(F.col(b).isNotNull(), F.length(marked)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    found = found.select(F.col("b").alias(b), F.col("spans").alias(spans))
+    out = docs.withColumn(blob, F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)).join(found, F.col(blob) == F.col(b), "left")
+    changed = F.when(F.col(b).isNotNull(), marked(text, F.col(spans), mark)).otherwise(text)
+    out = out.withColumn("text", changed)
+    return out.select(*(F.when(F.col(b).isNotNull(), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -64,6 +64,7 @@ TEXTS = [
     "é\U0001f600 " + "0123456789abcdef" * 3 + " TOKEN = deadbeefdeadbeefdeadbeefdeadbeef",
     "password: token:abcdefghij and AKIA1 and gh eyJabcdefgh1.abcdefgh2.abcdefgh3",
     "-----BEGIN RSA PRIVATE KEY-----\nghp_" + "a1" * 20,
+    "x -----BEGIN PRIVATE KEY-----\n" + "\n".join(["MIIabc+/" * 8] * 5) + "\nQUJD==\n-----END PRIVATE KEY----- y -----BEGIN EC PRIVATE KEY----- none",
     "nothing here",
     "",
     None,
@@ -88,10 +89,10 @@ def test_ledger_scans_only_what_is_new(spark):
     assert spark.read.parquet(ledger).count() == 3
     again = secrets.scan(docs, ledger).collect()
     rows = spark.read.parquet(ledger).collect()
-    assert len(rows) == len({x["blob"] for x in rows}) == 6  # null and empty are one blob
+    assert len(rows) == len({x["blob"] for x in rows}) == 7  # null and empty are one blob
     assert {i: x for i, x in _found(again).items() if i < 3} == _found(first)
     secrets.scan(docs, ledger).collect()
-    assert spark.read.parquet(ledger).count() == 6
+    assert spark.read.parquet(ledger).count() == 7
 
 
 def test_changed_rules_are_scanned_anew_and_alone(spark):
@@ -124,7 +125,7 @@ def test_secrets_odd_rows_and_redaction(odd, none, spark):
     out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
     assert secrets.redact(docs).columns == docs.columns
     assert "hunter22" not in out[0]["text"] and "[secret]" in out[0]["text"] and out[0]["n_chars"] == len(out[0]["text"])
-    assert out[4]["text"] == "nothing here" and out[4]["n_chars"] == 1 and out[6]["text"] is None
+    assert out[5]["text"] == "nothing here" and out[5]["n_chars"] == 1 and out[7]["text"] is None and out[4]["text"] == "x [secret] y [secret] none"
     clean = secrets.scan(secrets.redact(docs)).where("spans is not null").count()
     assert clean == 0
 
@@ -153,8 +154,24 @@ def test_shares_are_exact():
     share = mixing.shares(many)
     total = sum(1 / (i + 1) for i in range(3000)) + 350
     assert abs(share["big"] / sum(share.values()) - 350 / total) < 1e-3 and len(set(share.values())) > 30
-    roots = mixing.tempered({"a": 10**18, "b": 4 * 10**16, "c": 5})
-    assert sum(roots.values()) <= mixing.MAX_PERIOD and abs(roots["a"] / roots["b"] - 5) < 0.01 and roots["c"] == 1
+    assert mixing.tempered({"a": 10**12, "b": 4 * 10**10, "c": 5}) == {"a": 10**6, "b": 2 * 10**5, "c": 2}
+    with pytest.raises(ValueError):
+        mixing.shares(mixing.tempered({"a": 10**18, "c": 5}))
+
+
+def test_targets_are_exact_for_any_number_of_sources():
+    sizes = {f"l{i}": 1_000_000 for i in range(10_000)} | {f"s{i}": 100 for i in range(10_000)}
+    share = mixing.shares(mixing.tempered(sizes))
+    assert {(share[f"l{i}"], share[f"s{i}"]) for i in range(10_000)} == {(100, 1)}
+    assert mixing.shares({"a": 0.1234567, "b": 0.7654321, "c": 0.1111112}) == {"a": 1234567, "b": 7654321, "c": 1111112}
+
+
+def test_a_long_schedule_is_made_in_a_task(spark, monkeypatch):
+    share = {"a": 700, "b": 20, None: 3, "": 1}
+    want = sorted(map(tuple, mixing._table(spark, share).select("s", "i", "at", "n").collect()))
+    monkeypatch.setattr(mixing, "LITERAL_SLOTS", 10)
+    monkeypatch.setattr(mixing, "BATCH", 64)
+    assert sorted(map(tuple, mixing._table(spark, share).select("s", "i", "at", "n").collect())) == want and len(want) == 724
 
 
 def test_mix_equals_brute_force(spark, odd, none):
