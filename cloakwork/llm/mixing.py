@@ -9,8 +9,9 @@ number of a block into its slot. All else are DataFrame operations.
 
 Weights are whole numbers, fractions, decimals, or floats, which count as the decimals they are written as. Without
 given weights a source's target is the whole part of the square root of its documents (see tempered), so the period
-grows with the root of the data. More than MAX_PERIOD slots (weights with very many digits) are an error; rounded()
-shortens such weights.
+grows with the root of the data. A long period is computed in a task, which holds one number for each source, and
+written to the shared folder. More than MAX_PERIOD slots (weights with very many digits) are an error; rounded() shortens
+such weights.
 
 Within a source the order is that of md5(doc_id). Ranks come from windows over (source, first digits of the md5)
 and from the counts of those groups; there are as many digits as it takes for groups of about GROUP documents, so a
@@ -35,14 +36,16 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import free_name
+from cloakwork.llm.shared import cut, free_name
 
 Weight = int | float | Decimal | Fraction
 
 #: Sources and slots of a period at most, and documents of a group with the same first digits, about.
-MAX_SOURCES, MAX_PERIOD, GROUP = 20_000, 1 << 22, 500
+MAX_SOURCES, MAX_PERIOD, GROUP = 20_000, 1 << 28, 500
 #: A schedule of so many slots at most is a literal and broadcast; a longer one is a table and joined by exchange.
 LITERAL_SLOTS = 100_000
+#: Rows that the task of a long period gives at a time.
+BATCH = 1 << 16
 
 
 def shares(weights: Mapping[str | None, Weight]) -> dict[str | None, int]:
@@ -90,21 +93,50 @@ def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int
     return [(order[i], k, slot) for slot, (i, k) in enumerate(_picks(share, order))]
 
 
+def _key(source: str | None) -> str:
+    return "-" if source is None else f"+{source}"
+
+
 def _table(spark: SparkSession, share: Mapping[str | None, int]) -> DataFrame:
     """s (a source's key), i, at, n: the schedule of one period, and each source's share."""
+    if sum(share.values()) > LITERAL_SLOTS:
+        return _long_table(spark, share)
     slots: dict[str | None, list[int]] = {s: [] for s in share}
     for s, _, slot in schedule(share):
         slots[s].append(slot)
-    rows = [("-" if s is None else f"+{s}", share[s], at) for s, at in slots.items()]
-    kind = "s string, n long, slots array<long>"
-    if sum(share.values()) <= LITERAL_SLOTS:
-        given = F.lit(json.dumps([{"s": s, "n": n, "slots": at} for s, n, at in rows]))
-        table = spark.range(1).select(F.inline(F.from_json(given, f"array<struct<{kind}>>")))
-    else:
-        table = spark.createDataFrame(rows, kind)
+    given = F.lit(json.dumps([{"s": _key(s), "n": share[s], "slots": at} for s, at in slots.items()]))
+    table = spark.range(1).select(F.inline(F.from_json(given, "array<struct<s: string, n: long, slots: array<long>>>")))
     return table.select("s", "n", F.posexplode("slots").alias("i", "at"))
 
 
+def _long_table(spark: SparkSession, share: Mapping[str | None, int]) -> DataFrame:
+    """The same as a table in the shared folder, made by one task in one pass over the slots."""
+    order = _order(share)
+    keys, n = [_key(s) for s in order], [share[s] for s in order]
+
+    def run(_):
+        import pyarrow as pa
+
+        rows: list[tuple[int, int]] = []
+
+        def batch(first: int) -> pa.RecordBatch:
+            of = [i for i, _ in rows]
+            names = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(keys)).cast(pa.string())
+            at = pa.array(range(first, first + len(rows)), pa.int64())
+            return pa.RecordBatch.from_arrays([names, pa.array([n[i] for i in of], pa.int64()), pa.array([k for _, k in rows], pa.int32()), at], ["s", "n", "i", "at"])
+
+        first = 0
+        for pick in _picks(share, order):
+            rows.append(pick)
+            if len(rows) == BATCH:
+                yield batch(first)
+                first += len(rows)
+                rows.clear()
+        yield batch(first)
+
+    return cut(spark.range(0, 1, 1, 1).mapInArrow(run, "s string, n long, i int, at long"), "schedule")
+
+
 def sizes(docs: DataFrame) -> dict[str | None, int]:
     """Rows of the sources, whose number is bounded by MAX_SOURCES."""
     rows = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
@@ -114,11 +146,9 @@ def sizes(docs: DataFrame) -> dict[str | None, int]:
 
 
 def tempered(rows: Mapping[str | None, int]) -> dict[str | None, int]:
-    """The whole part of the square root of each source's rows, divided by the least whole number that brings their sum
-    to MAX_PERIOD; 1 at least."""
-    roots = {s: math.isqrt(n) for s, n in rows.items()}
-    by = -(-sum(roots.values()) // (MAX_PERIOD - len(roots)))
-    return {s: max(1, n // by) for s, n in roots.items()}
+    """The whole part of the square root of each source's rows, exactly; shares() refuses more than MAX_PERIOD slots, which
+    takes more than 3.6e12 rows in 20,000 sources."""
+    return {s: math.isqrt(n) for s, n in rows.items()}
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, Weight] | None = None, block: int = 8) -> DataFrame:
