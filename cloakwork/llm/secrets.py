@@ -43,12 +43,12 @@ class Rule:
 
 
 #: A whole private key: its BEGIN line, lines about its encryption, and base64 through the END line, or, if that is
-#: missing, the base64 words that follow (64 at most: those of a key of 4096 bits) and a last, shorter one alone in its
+#: missing, the base64 words that follow (60 at most: those of a key of 4096 bits) and a last, shorter one alone in its
 #: line. Ends of lines may be written as \\n.
 PEM = (
     r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[\t\n\r ]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}"
     r"(?:[A-Za-z0-9+/=\\\t\n\r ]*-----END (?:[A-Z]+ )?PRIVATE KEY-----"
-    r"|(?:(?:(?:[\t\n\r ]|\\[nr])+[A-Za-z0-9+/=]{16,}){1,64}(?:[\t ]*\r?\n[A-Za-z0-9+/=]{1,15}[\t ]*\r?(?:\n|$))?)?)"
+    r"|(?:(?:(?:[\t\n\r ]|\\[nr])+[A-Za-z0-9+/=]{16,}){1,60}(?:[\t ]*\r?\n[A-Za-z0-9+/=]{1,15}[\t ]*\r?(?:\n|$))?)?)"
 )
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("=", ":")),
