@@ -211,6 +211,28 @@ def known_values_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "turn", F.col("h.value").alias("value")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH f AS (SELECT conv_id, arg_min(text, (turn, text)) AS t FROM conversations GROUP BY 1),
+v AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z]{6,}'))) AS value FROM f)
+SELECT c.conv_id, c.turn, value, CAST(SUM((length(lower(c.text)) - length(replace(lower(c.text), value, ''))) // length(value)) AS BIGINT) AS n
+FROM conversations c JOIN v ON v.conv_id = c.conv_id WHERE contains(lower(c.text), value) GROUP BY 1, 2, 3""")
+def known_values_by_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a conversation's first turn, as its identifiers, in all its turns."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("note_text"))
+    first = rows.groupBy("conv_id").agg(F.min_by("note_text", F.struct("turn", "note_text")).alias("t"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit("([a-z]{6,})"), F.lit(1)))
+    patients = first.select("conv_id", F.create_map(F.lit("mrn"), words).alias("identifiers"))
+    found = known.known_by_patient(rows, patients, "conv_id").select("conv_id", "turn", "note_text", F.explode("spans").alias("s"))
+    hit = F.lower(F.substring("note_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
+    return found.groupBy("conv_id", "turn", hit.alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, lang, n_chars FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang, n_chars ORDER BY doc_id) AS i,
+ dense_rank() OVER (PARTITION BY lang ORDER BY sha256('7:' || CAST(n_chars AS VARCHAR)), n_chars) AS k FROM documents WHERE n_chars IS NOT NULL) WHERE i = 1 AND k <= 25""")
+def bottom_k_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report: of each language, 25 lengths by their keyed hash, and the first document of each."""
+    return io.bottom_k(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 25, "n_chars", by=("lang",), seed=7)
+
+
 _DICTIONARY = {"institution": "Example", "rules": [{"pattern": r"\bthe\s+of\b", "flags": ["IGNORECASE"], "score": 0.9, "label": "pair", "category": "facility"}, {"pattern": r"\bof\b", "flags": [], "score": 0.6, "label": "of", "category": "location"}]}
 
 

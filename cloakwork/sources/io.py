@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.schema import IDENTIFIERS, SPANS, text_hash
+from cloakwork.sources.shared import free_name
 
 ALIASES = {
     "text_hash": ("text_hash", "hash", "note_id", "id"),
@@ -138,6 +139,17 @@ def sample_rows(df: DataFrame, limit: int, total: int | None = None, where: str
     return (df.dropDuplicates([key]) if key else df).limit(limit)
 
 
+def bottom_k(df: DataFrame, k: int, key: str, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Of each group by, the rows of the k keys with the smallest SHA-256 of seed:key, one row a key: its first in the
+    order of df's columns. The same rows whatever the partitions, and samples of parts merge: that of a union is the
+    sample of the parts' samples. Each task keeps k keys a group before rows meet. A null key is not sampled."""
+    rank, nth = (free_name(df.columns, n) for n in ("__rank", "__nth"))
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
+    few = df.where(F.col(key).isNotNull()).withColumn(rank, F.dense_rank().over(Window.partitionBy(*by).orderBy(h, key))).where(F.col(rank) <= k)
+    first = Window.partitionBy(*by, key).orderBy(*df.columns)
+    return few.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*df.columns)
+
+
 def row_count(df: DataFrame, where: str | None = None) -> int:
     return (df.where(where) if where else df).count()
 
