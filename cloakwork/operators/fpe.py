@@ -1,18 +1,15 @@
-"""Format-preserving encryption (FF3 of NIST SP 800-38G) of the letters and digits of identifiers.
+"""Format-preserving encryption (FF3 of NIST SP 800-38G) of the letters and digits of identifiers, as column expressions.
 
-Only letters and digits change; all else keeps its place. FF3 feeds each of its eight rounds through one AES block, with
-numbers of up to 96 bits in between, for which SQL has no type; so it runs in an Arrow function, where the blocks of all
-values of a batch go through AES together, as arrays.
+Only letters and digits change; all else keeps its place. Each of the eight rounds is one block of the engine's own
+aes_encrypt; the numbers in between have at most 96 bits, which DECIMAL(38) holds, and blocks of 128 bits are reduced to
+them 16 bits at a time. Rounds are a fold, so that a value is named once however often it is used.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,158 +19,114 @@ DIGITS = "0123456789"
 ALNUM = DIGITS + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Shortest and longest content of each alphabet; shorter ones are padded, longer ones hashed.
 LIMITS = {DIGITS: (6, 56), ALNUM: (4, 32)}
+ROUNDS = 8
 
 
-def _tables() -> tuple[list[int], list[int]]:
-    """AES's S-box and doubling in its field, from their definitions."""
-    double = [(x << 1) ^ (0x11B if x & 0x80 else 0) for x in range(256)]
-    power, log, x = [0] * 256, [0] * 256, 1
-    for i in range(255):
-        power[i], log[x] = x, i
-        x ^= double[x]
-    box = []
-    for v in range(256):
-        b = power[255 - log[v]] if v > 1 else v
-        r = 0x63
-        for k in range(5):
-            r ^= ((b << k) | (b >> (8 - k))) & 0xFF
-        box.append(r)
-    return box, double
-
-
-_BOX, _DOUBLE = _tables()
-_BOXES, _DOUBLES = np.array(_BOX, np.uint8), np.array(_DOUBLE, np.uint16).astype(np.uint8)
-#: Where each byte of a block comes from when its rows are shifted.
-_SHIFT = np.array([(i + 4 * (i % 4)) % 16 for i in range(16)])
-
-
-class Aes:
-    """Encryption of blocks, each for itself, with a key of 16, 24 or 32 bytes."""
-
-    def __init__(self, key: bytes):
-        words = [list(key[i : i + 4]) for i in range(0, len(key), 4)]
-        n, rounds, c = len(words), len(words) + 6, 1
-        for i in range(n, 4 * (rounds + 1)):
-            w = words[-1]
-            if i % n == 0:
-                w = [_BOX[b] for b in w[1:] + w[:1]]
-                w[0] ^= c
-                c = _DOUBLE[c]
-            elif n > 6 and i % n == 4:
-                w = [_BOX[b] for b in w]
-            words.append([a ^ b for a, b in zip(words[i - n], w)])
-        self.keys = np.array([sum(words[4 * r : 4 * r + 4], []) for r in range(rounds + 1)], np.uint8)
-
-    def blocks(self, data: np.ndarray) -> np.ndarray:
-        """Of an array (blocks, 16) of bytes."""
-        s = data ^ self.keys[0]
-        for r, key in enumerate(self.keys[1:], 1):
-            s = _BOXES[s[:, _SHIFT]]
-            if r < len(self.keys) - 1:
-                c = s.reshape(-1, 4, 4)
-                every = np.bitwise_xor.reduce(c, axis=2, keepdims=True)
-                s = (c ^ every ^ _DOUBLES[c ^ np.roll(c, -1, axis=2)]).reshape(-1, 16)
-            s = s ^ key
-        return s
-
-
-class Ff3:
-    """FF3 over an alphabet, for many texts of one length at a time. key in bytes, tweak of 8 bytes."""
-
-    def __init__(self, key: bytes, tweak: bytes, alphabet: str):
-        self.aes, self.alphabet, self.radix = Aes(key[::-1]), alphabet, len(alphabet)
-        self.value = {c: i for i, c in enumerate(alphabet)}
-        self.left, self.right = int.from_bytes(tweak[:4]), int.from_bytes(tweak[4:])
-
-    def _number(self, s: str) -> int:
-        """Of the reversed string: the first character counts least."""
-        n = 0
-        for c in reversed(s):
-            n = n * self.radix + self.value[c]
-        return n
-
-    def _string(self, n: int, size: int) -> str:
-        out = []
-        for _ in range(size):
-            n, d = divmod(n, self.radix)
-            out.append(self.alphabet[d])
-        return "".join(out)
-
-    def _round(self, i: int, halves: list[int]) -> list[int]:
-        w = (self.left if i % 2 else self.right) ^ i
-        data = b"".join(n.to_bytes(12, "little") + w.to_bytes(4, "little") for n in halves)
-        out = self.aes.blocks(np.frombuffer(data, np.uint8).reshape(-1, 16)).tobytes()
-        return [int.from_bytes(out[k : k + 16], "little") for k in range(0, len(out), 16)]
-
-    def _apply(self, texts: list[str], decrypt: bool) -> list[str]:
-        if not texts:
-            return []
-        n = len(texts[0])
-        u = (n + 1) // 2
-        a, b = [self._number(t[:u]) for t in texts], [self._number(t[u:]) for t in texts]
-        for i in reversed(range(8)) if decrypt else range(8):
-            most = self.radix ** (n - u if i % 2 else u)
-            if decrypt:
-                a, b = [(x - y) % most for x, y in zip(b, self._round(i, a))], a
-            else:
-                a, b = b, [(x + y) % most for x, y in zip(a, self._round(i, b))]
-        return [self._string(x, u) + self._string(y, n - u) for x, y in zip(a, b)]
-
-    def encrypt(self, texts: list[str]) -> list[str]:
-        return self._apply(texts, False)
-
-    def decrypt(self, texts: list[str]) -> list[str]:
-        return self._apply(texts, True)
-
-
-class Identifiers:
-    """encrypt and decrypt keep a text's format. Content too short is padded, encrypted and cut (and so not
-    reversible); content too long is replaced by a keyed hash."""
-
-    def __init__(self, keys: Keys):
-        self.key = hashlib.sha256(keys.both).digest()[:16]
-        self._cipher = lru_cache(4096)(self._make)
-
-    def _make(self, alphabet: str, n: int) -> Ff3:
-        kind = "numeric" if alphabet == DIGITS else "alphanumeric"
-        tweak = hashlib.sha256(f"{kind}:{n}:{self.key.hex()}".encode()).digest()[:8]
-        return Ff3(self.key, tweak, alphabet)
-
-    def _apply(self, texts: list[str | None], decrypt: bool) -> list[str | None]:
-        contents = ["".join(c for c in t or "" if c in ALNUM) for t in texts]
-        new: list[str] = [""] * len(texts)
-        alike: dict[tuple[str, int], list[int]] = {}
-        for i, content in enumerate(contents):
-            alphabet = DIGITS if content.isdigit() else ALNUM
-            if len(content) > LIMITS[alphabet][1]:
-                new[i] = hashlib.sha256((content + self.key.hex()).encode()).hexdigest()
-            elif content:
-                alike.setdefault((alphabet, len(content)), []).append(i)
-        for (alphabet, n), rows in alike.items():
-            cipher = self._cipher(alphabet, n)
-            padded = [contents[i].ljust(LIMITS[alphabet][0], alphabet[0]) for i in rows]
-            for i, x in zip(rows, cipher.decrypt(padded) if decrypt else cipher.encrypt(padded)):
-                new[i] = x[:n]
-        return [_filled(t, x) if c else t for t, c, x in zip(texts, contents, new)]
-
-    def encrypt(self, texts: list[str | None]) -> list[str | None]:
-        return self._apply(texts, False)
-
-    def decrypt(self, texts: list[str | None]) -> list[str | None]:
-        return self._apply(texts, True)
-
-
-def _filled(text: str, content: str) -> str:
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _whole(n: int | Column) -> Column:
+    return (n if isinstance(n, Column) else F.lit(str(n))).cast("decimal(38,0)")
+
+
+def _quotient(n: Column, by: Column) -> Column:
+    return _whole((n - n % by) / by)
+
+
+def _number(text: Column, alphabet: Column, radix: Column) -> Column:
+    """The first character counts least."""
+    places = F.sequence(F.length(text), F.lit(1), F.lit(-1))
+    return F.aggregate(places, _whole(0), lambda n, i: _whole(n * radix + F.instr(alphabet, F.substring(text, i, F.lit(1))) - 1))
+
+
+def _string(n: Column, size: Column, alphabet: Column, radix: Column) -> Column:
+    def step(a: Column, _: Column) -> Column:
+        digit = (a["n"] % radix).cast("int")
+        return F.struct(_quotient(a["n"], radix).alias("n"), F.concat(a["out"], F.substring(alphabet, digit + 1, F.lit(1))).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), size), F.struct(n.alias("n"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+
+def _turned(digits: Column) -> Column:
+    """Hexadecimal digits with their bytes in reverse order."""
+    return F.reverse(F.regexp_replace(digits, "(.)(.)", "$2$1"))
+
+
+def _hex(n: Column, size: int) -> Column:
+    return F.lpad(F.hex(n.cast("bigint")), size, "0")
+
+
+def ff3(text: Column, key: bytes, tweak: Column, alphabet: Column, decrypt: bool = False) -> Column:
+    """text, of an alphabet's characters only, encrypted or decrypted under a key and a tweak of 16 hexadecimal digits.
+
+    Null where text, tweak or alphabet is null; half of a text must have a value below 10^32 (56 digits, 32 letters or
+    digits), so that 16 bits more fit DECIMAL(38).
+    """
+    cipher_key, limb = F.lit(key[::-1]), _whole(2**48)
+
+    def block(n: Column, tweak_half: Column, i: Column) -> Column:
+        """The round's block as 32 hexadecimal digits, greatest first."""
+        w = F.conv(tweak_half, 16, 10).cast("bigint").bitwiseXOR(i.cast("bigint"))
+        plain = F.concat(_hex(w, 8), _hex(_quotient(n, limb), 12), _hex(n % limb, 12))
+        return _turned(F.hex(F.substring(F.aes_encrypt(F.unhex(_turned(plain)), cipher_key, F.lit("ECB")), 1, 16)))
+
+    def residue(digits: Column, m: Column) -> Column:
+        """What 128 bits leave, divided by m."""
+        parts = F.transform(F.regexp_extract_all(digits, F.lit("(.{4})"), F.lit(1)), lambda d: _whole(F.conv(d, 16, 10)))
+        return F.aggregate(parts, _whole(0), lambda r, d: _whole((r * _whole(65536) + d) % m))
+
+    def of(x: Column) -> Column:
+        """x: the text t, its tweak w, the lengths u and v of its halves, and how many values each can have."""
+        t, letters, radix = x["t"], x["letters"], x["radix"]
+
+        def step(a: Column, i: Column) -> Column:
+            odd = i % 2 == 1
+            m = F.when(odd, x["most_v"]).otherwise(x["most_u"])
+            half = F.when(odd, F.substring(x["w"], 1, 8)).otherwise(F.substring(x["w"], 9, 8))
+            fed, other = (a["a"], a["b"]) if decrypt else (a["b"], a["a"])
+            y = residue(block(fed, half, i), m)
+            new = _whole((other - y + m) % m) if decrypt else _whole((other + y) % m)
+            return F.struct(new.alias("a"), fed.alias("b")) if decrypt else F.struct(fed.alias("a"), new.alias("b"))
+
+        halves = F.struct(_number(F.substring(t, F.lit(1), x["u"]), letters, radix).alias("a"), _number(F.substring(t, x["u"] + 1, x["v"]), letters, radix).alias("b"))
+        order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if decrypt else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+        return F.aggregate(order, halves, step, lambda a: F.concat(_string(a["a"], x["u"], letters, radix), _string(a["b"], x["v"], letters, radix)))
+
+    u = F.ceil(F.length(text) / 2).cast("int")
+    v, radix = F.length(text) - u, _whole(F.length(alphabet))
+    most = lambda n: F.aggregate(F.sequence(F.lit(1), n), _whole(1), lambda p, _: _whole(p * radix))
+    known = F.struct(text.alias("t"), tweak.alias("w"), alphabet.alias("letters"), radix.alias("radix"), u.alias("u"), v.alias("v"), most(u).alias("most_u"), most(v).alias("most_v"))
+    return F.when(text.isNotNull() & tweak.isNotNull() & alphabet.isNotNull(), _let(known, of))
+
+
+def _filled(text: Column, content: Column) -> Column:
     """text with its letters and digits replaced by those of content; what is left of content follows."""
-    out = iter(content)
-    return "".join(next(out, "") if c in ALNUM else c for c in text) + "".join(out)
+    pieces = F.split(text, "[0-9A-Za-z]", -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i == F.size(pieces) - 1, F.substring(content, i + 1, F.length(content))).otherwise(F.substring(content, i + 1, F.lit(1))))), "")
+
+
+def _identifiers(text: Column, keys: Keys, decrypt: bool) -> Column:
+    key = hashlib.sha256(keys.both).digest()[:16]
+
+    def new(content: Column) -> Column:
+        digits, n = ~content.rlike("[A-Za-z]"), F.length(content)
+        either = lambda a, b: F.when(digits, F.lit(a)).otherwise(F.lit(b))
+        tweak = F.substring(F.sha2(F.concat(either("numeric:", "alphanumeric:"), n.cast("string"), F.lit(f":{key.hex()}")), 256), 1, 16)
+        least, most = (either(a, b) for a, b in zip(LIMITS[DIGITS], LIMITS[ALNUM]))
+        sealed = _let(F.rpad(content, F.greatest(n, least), F.lit("0")), lambda t: ff3(t, key, tweak, either(DIGITS, ALNUM), decrypt))
+        return F.when(n > most, F.sha2(F.concat(content, F.lit(key.hex())), 256)).otherwise(F.substring(sealed, F.lit(1), n))
+
+    content = F.regexp_replace(text, "[^0-9A-Za-z]", "")
+    return F.when(content == "", text).otherwise(_let(_let(content, new), lambda c: _filled(text, c)))
 
 
 def encrypt(text: Column, keys: Keys) -> Column:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = Identifiers(keys)
-        for s in batches:
-            yield pd.Series(ids.encrypt([None if pd.isna(t) else t for t in s]), dtype=object)
+    """text in its format, under keys. Null and texts without letters or digits stay; content that is too short is
+    padded, encrypted and cut (and so not reversible), content that is too long is replaced by a keyed hash."""
+    return _identifiers(text, keys, False)
+
 
-    return run(text)
+def decrypt(text: Column, keys: Keys) -> Column:
+    return _identifiers(text, keys, True)

@@ -125,7 +125,7 @@ def mask_text(text: Column, spans: Column) -> Column:
 
 #: Values that a task keeps.
 MEMO = 100_000
-SLOW = ("date_jitter", "hips_alphanumeric", "hips_names", "hips_location")
+SLOW = ("date_jitter", "hips_names", "hips_location")
 
 
 def native_value(operator: Column, entity: Column, text: Column, patient: Column, s: Settings) -> Column:
@@ -133,6 +133,7 @@ def native_value(operator: Column, entity: Column, text: Column, patient: Column
         F.when(operator == "redact", F.lit(""))
         .when(operator == "keep", text)
         .when(operator == "masking", mask(entity))
+        .when(operator == "hips_alphanumeric", fpe.encrypt(text, s.keys))
         .when(operator == "age_grouping", ages.cap_age(text, s.age_limit))
         .when(operator == "accession_number_hash", accession_hash(text, F.lit(s.salt), F.lit(s.study), patient))
         .when(operator.isin("fake", "faker_anonymizer"), fake.fake(entity, text, s.keys))
@@ -143,10 +144,8 @@ def makers(s: Settings) -> dict[str, Callable[[list[str], list[int]], list[str |
     """The slow operators, by name, as functions of texts and jitters."""
     namer = names.Namer(s.keys, s.names or names.default_names(), s.stopwords)
     placer = locations.Placer(s.keys, s.facilities or locations.FACILITIES, s.streets or locations.STREETS, s.cities or locations.CITIES, s.stopwords)
-    ids = fpe.Identifiers(s.keys)
     return {
         "date_jitter": lambda texts, days: [dates.shift_date(t, d, s.year) for t, d in zip(texts, days)],
-        "hips_alphanumeric": lambda texts, days: ids.encrypt(texts),
         "hips_names": lambda texts, days: [namer.replace(t) for t in texts],
         "hips_location": lambda texts, days: [placer.replace(t) for t in texts],
     }

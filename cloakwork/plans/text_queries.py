@@ -358,6 +358,26 @@ def fpe_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones.select("hit", fpe.encrypt(F.col("hit"), KEYS).alias("encrypted"))
 
 
+# Published vectors of FF3 under one key (tweak, letters or digits, text, cipher text).
+_FF3_KEY = "EF4359D8D580AA4F7F036D6F04FC6A94"
+_FF3_DIGITS = (("D8E7920AFA330A73", "890121234567890000", "750918814058654607"), ("9A768A92F60E12D8", "890121234567890000", "018989839189395384"))
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN '{_FF3_DIGITS[0][2]}' ELSE '{_FF3_DIGITS[1][2]}' END AS cipher, '{_FF3_DIGITS[0][1]}' AS plain, id, id AS opened, regexp_replace(regexp_replace(id, '[0-9]', '9', 'g'), '[A-Za-z]', '9', 'g') AS shape
+FROM (SELECT c_custkey, 'M-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '/' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS id FROM customer)""")
+def fpe_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published vectors both ways, and identifiers that are opened again and keep their shape."""
+    key, odd = bytes.fromhex(_FF3_KEY), F.col("c_custkey") % 2 == 1
+    pick = lambda k: F.when(odd, _FF3_DIGITS[1][k]).otherwise(F.lit(_FF3_DIGITS[0][k]))
+    segment = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise("")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("M-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("/"), segment).alias("id"))
+    sealed = rows.withColumns({"sealed": fpe.encrypt(F.col("id"), KEYS), "cipher": fpe.ff3(pick(1), key, pick(0), F.lit(fpe.DIGITS))})
+    return sealed.select(
+        "c_custkey", "cipher", fpe.ff3(F.col("cipher"), key, pick(0), F.lit(fpe.DIGITS), True).alias("plain"), "id",
+        fpe.decrypt(F.col("sealed"), KEYS).alias("opened"), F.regexp_replace("sealed", "[0-9A-Za-z]", "9").alias("shape"),
+    )
+
+
 def _index_sql(text: str, n: int) -> str:
     """The keyed index of a text in SQL."""
     return f"CAST(('0x' || sha256(unhex('{_K}') || encode({text}))[1:16])::UBIGINT % {n} AS INTEGER)"
