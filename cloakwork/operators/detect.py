@@ -136,8 +136,9 @@ def _any(words: Sequence[str]) -> str:
     return "(?:" + "|".join(sorted((w.replace(" ", r"\s+") for w in words), key=lambda w: (-len(w), w))) + ")"
 
 
-STATE = _any([*_STATES, *_STATES.values()])
-STREET = _any([*_SUFFIXES, *_SUFFIXES.values(), *_WHOLE_SUFFIXES])
+STATES = (*_STATES, *_STATES.values())
+STREET_KINDS = (*_SUFFIXES, *_SUFFIXES.values(), *_WHOLE_SUFFIXES)
+STATE, STREET = _any(STATES), _any(STREET_KINDS)
 DIRECTIONS = ("North", "Northeast", "Northwest", "South", "Southeast", "Southwest", "East", "West", "N", "NE", "NW", "S", "SE", "SW", "E", "W")
 DIRECTION = _any(DIRECTIONS) + "[.]?"
 ZIP = "[0-9]{5}(?:-[0-9]{4})?"
