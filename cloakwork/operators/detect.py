@@ -20,7 +20,7 @@ HIT = "array<struct<start: int, end: int, hit: string>>"
 
 def find(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, hit)."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
 

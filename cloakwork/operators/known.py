@@ -1,4 +1,4 @@
-"""Known values: a patient's own identifiers found anywhere in a note, and patterns of a dictionary.
+"""Known values: a patient's own identifiers found anywhere in a note. (Patterns of a dictionary: dictionary.py.)
 
 known_values() builds, in each row, an automaton of that row's identifiers, in an Arrow function; many values and a
 long text cost one pass. find_values() is the native form for few values.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakwork.operators.dictionary import Dictionary, dictionary  # noqa: F401  also known values
 from cloakwork.operators.spans import merge_continuous
 from cloakwork.schema import SPANS
 from cloakwork.sources.shared import hot_join
@@ -173,56 +174,3 @@ def find_values(text: Column, values: Column) -> Column:
         return F.transform(ends, lambda e: F.struct(v.alias("value"), (e - F.length(v)).alias("start"), e.alias("end")))
 
     return F.flatten(F.transform(values, of))
-
-
-# Pattern dictionaries.
-
-FLAGS = {"IGNORECASE": re.I, "MULTILINE": re.M, "DOTALL": re.S}
-#: Entity types of categories; others are hospitals.
-CATEGORY_TYPES = {"url": "URL", "social": "URL", "location": "LOCATION"}
-
-
-class Dictionary:
-    """Ordered patterns of an institution: {institution, rules: [{pattern, flags, score, label, category}]}."""
-
-    def __init__(self, config: dict):
-        if not isinstance(config.get("institution"), str) or not isinstance(config.get("rules"), list):
-            raise ValueError("a dictionary has an institution and rules")
-        self.name, self.rules = config["institution"], []
-        for i, r in enumerate(config["rules"]):
-            flags = 0
-            for f in r.get("flags", ()):
-                if f not in FLAGS:
-                    raise ValueError(f"rule {i}: unknown flag {f}")
-                flags |= FLAGS[f]
-            score = r.get("score")
-            if not isinstance(score, (int, float)) or isinstance(score, bool) or not 0 <= score <= 1:
-                raise ValueError(f"rule {i}: the score is not between 0 and 1")
-            if not isinstance(r.get("pattern"), str) or not r["pattern"]:
-                raise ValueError(f"rule {i}: no pattern")
-            try:
-                self.rules.append((re.compile(r["pattern"], flags), float(score), r.get("label", f"rule_{i}"), r.get("category", "name")))
-            except re.error as e:
-                raise ValueError(f"rule {i}: {e}") from None
-
-    def spans(self, text: str) -> list[dict]:
-        """A hit within an earlier one is dropped, and one that holds earlier ones replaces them."""
-        kept: list[dict] = []
-        for p, score, label, category in self.rules:
-            for m in p.finditer(text):
-                a, b = m.start(), m.start() + len(m[0].rstrip(".,;:!?)]}"))
-                if a >= b or any(k["start"] <= a and b <= k["end"] for k in kept):
-                    continue
-                kept = [k for k in kept if not (a <= k["start"] and k["end"] <= b)]
-                kept.append({"entity_type": CATEGORY_TYPES.get(category, "HOSPITAL"), "start": a, "end": b, "score": score, "recognizer": f"Institution[{self.name}]", "pattern": label})
-        return sorted(kept, key=lambda s: (s["start"], s["end"]))
-
-
-def dictionary(text: Column, config: dict) -> Column:
-    found = Dictionary(config)
-
-    @F.pandas_udf(SPANS)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: found.spans(t) if t else [])
-
-    return run(text)

@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cloakwork.plans import parts_queries, span_queries, text_queries  # noqa: F401  they register themselves
+    from cloakwork.plans import dictionary_queries, parts_queries, span_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
