@@ -10,7 +10,7 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.keyed import Keys
@@ -18,7 +18,7 @@ from cloakwork.operators import llm_spans
 from cloakwork.operators.replace import Settings, anonymize
 from cloakwork.plans import jobs
 from cloakwork.schema import SPANS
-from cloakwork.sources import io
+from cloakwork.sources import io, note_files
 from cloakwork.sources.resources import word_list
 
 
@@ -40,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--dry-run", action="store_true", default=None, help="check columns and print the plan")
         s.add_argument("--resume", action="store_true", default=None, help="skip rows that the output has")
         s.add_argument("--resolve", action="store_true", default=None)
+        if name not in ("transformer", "reassembly"):
+            s.add_argument("--viewer", help="folder for a JSON file a note of the output, in recognizer and anonymizer")
         if name in ("anonymizer", "pipeline"):
             s.add_argument("--salt", help="file with 64 hex digits")
             s.add_argument("--key", help="file with 64 hex digits")
@@ -101,6 +103,15 @@ def _text(path: str) -> str:
     return Path(path).read_text(encoding="utf-8").strip()
 
 
+def _viewer_files(out: DataFrame, folder: str) -> None:
+    """Files named by row_id, or by text_hash if rows are texts."""
+    key = "row_id" if "row_id" in out.columns else "text_hash"
+    if {"spans", "note_text"} <= set(out.columns):
+        note_files.write_recognizer_files(out, f"{folder}/recognizer", key)
+    if {"anonymized_note_text", "items"} <= set(out.columns):
+        note_files.write_anonymizer_files(out, f"{folder}/anonymizer", key)
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
     args = options(argv)
     spark = spark or SparkSession.builder.appName("cloakwork").getOrCreate()
@@ -149,6 +160,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         rows = spark.read.parquet(args.output).count()
     if not rows and not df.isEmpty():
         raise jobs.EmptyOutput("no rows came out of an input that had some")
+    if getattr(args, "viewer", None):
+        _viewer_files(spark.read.parquet(args.output), args.viewer.rstrip("/"))
     print(json.dumps({"job": args.job, "rows": rows}))
     return 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.schema import IDENTIFIERS, SPANS, text_hash
@@ -100,8 +100,13 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("note_id"), "*")
 
 
-def spans_to_json(spans: str = "spans"):
-    return F.to_json(F.transform(spans, lambda s: F.struct(s["entity_type"], s["start"], s["end"], s["score"], F.struct(s["recognizer"].alias("recognizer_name"), s["pattern"].alias("matched_pattern")).alias("recognition_metadata"))))
+def span_objects(spans: str | Column) -> Column:
+    """Spans in the layout of result files."""
+    return F.transform(spans, lambda s: F.struct(s["entity_type"], s["start"], s["end"], s["score"], F.struct(s["recognizer"].alias("recognizer_name"), s["pattern"].alias("matched_pattern")).alias("recognition_metadata")))
+
+
+def spans_to_json(spans: str = "spans") -> Column:
+    return F.to_json(span_objects(spans))
 
 
 def span_table(df: DataFrame, key: str = "text_hash", spans: str = "spans") -> DataFrame:
@@ -110,11 +115,6 @@ def span_table(df: DataFrame, key: str = "text_hash", spans: str = "spans") -> D
     return rows.select("note_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.entity_type").alias("span_tag"), F.col("s.score").alias("score"), F.col("s.recognizer").alias("recognizer_name"))
 
 
-def write_note_json(df: DataFrame, path: str, key: str = "text_hash") -> None:
-    """One folder of JSON a note, for viewers."""
-    df.write.mode("overwrite").partitionBy(key).json(path)
-
-
 def resolve_aliases(df: DataFrame, wanted: Sequence[str], aliases: dict[str, Sequence[str]] = ALIASES) -> DataFrame:
     """Columns under their proper names, whichever of their aliases df has."""
     have = {c.lower(): c for c in df.columns}
