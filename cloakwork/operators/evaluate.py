@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.operators.long_spans import interval_join
-from cloakwork.operators.spans import packed_rows, resolve_frame, resolved_rows
+from cloakwork.operators.spans import fold, packed_rows, resolve_frame, resolved_rows
 
 KEY = ["note_id", "span_tag", "span_start", "span_end"]
 
@@ -176,6 +176,10 @@ def power_set(spans: DataFrame, models: Sequence[str]) -> DataFrame:
     return resolve_frame(rows, by=("__combo", "note_id")).withColumnRenamed("__combo", "model_name")
 
 
+#: Spans of a note, both sides together, up to which char_metrics() looks at all of them at each border.
+FEW = 32
+
+
 def char_labels(spans: DataFrame) -> DataFrame:
     """note_id, pos, tag of every character in a span; of several spans the last, by ordinal, tells."""
     chars = spans.where("span_end > span_start").select("note_id", "span_tag", "ordinal", F.explode(F.sequence(F.col("span_start"), F.col("span_end") - 1)).alias("pos"))
@@ -183,29 +187,50 @@ def char_labels(spans: DataFrame) -> DataFrame:
 
 
 def char_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """token_metrics() of the characters' labels, without a row a character: between two borders of a note's spans all
-    characters have one label."""
+    """token_metrics() of the characters' labels, without a row a character: a sweep over the borders of a note's spans
+    with those that are open there. Between two borders all characters have one label, that of the last open span, by
+    ordinal and tag. The cost is that of the borders times the spans open at one."""
 
     def packed(spans: DataFrame, name: str) -> DataFrame:
-        row = F.struct("ordinal", F.col("span_tag").alias("tag"), F.col("span_start").alias("start"), F.col("span_end").alias("end"))
-        return spans.where("span_end > span_start").groupBy("note_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+        row = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("span_tag").alias("tag"), F.col("span_end").cast("int").alias("end"), F.col("span_start").cast("int").alias("start"))
+        return spans.where("span_end > span_start").groupBy("note_id").agg(F.collect_list(row).alias(name))
 
+    open_ = "array<struct<ordinal: bigint, tag: string, end: int>>"
     notes = packed(gold, "g").join(packed(predicted, "p"), "note_id", "full_outer")
+
+    def events(name: str, side: int) -> Column:
+        at = lambda s, pos, kind: F.struct(pos.alias("pos"), F.lit(kind).alias("side"), F.struct(s["ordinal"], s["tag"], s["end"]).alias("s"))
+        return F.concat(F.transform(name, lambda s: at(s, s["start"], side)), F.transform(name, lambda s: at(s, s["end"], 0)))
+
+    def step(kept: Column, now: Column, x: Column) -> tuple[Column, Column]:
+        label = lambda xs: F.coalesce(F.array_max(xs)["tag"], F.lit("O"))
+        still = lambda xs, side: F.concat(F.filter(xs, lambda s: s["end"] > x["pos"]), F.when(x["side"] == side, F.array(x["s"])).otherwise(F.array().cast(open_)))
+        passed = (x["pos"] > now["pos"]) & (F.size(now["g"]) + F.size(now["p"]) > 0)
+        part = F.struct(label(now["g"]).alias("g"), label(now["p"]).alias("p"), (x["pos"] - now["pos"]).alias("n"))
+        return F.when(passed, F.array_append(kept, part)).otherwise(kept), F.struct(x["pos"].alias("pos"), still(now["g"], 1).alias("g"), still(now["p"], 2).alias("p"))
+
+    part, pending = "struct<g: string, p: string, n: int>", f"struct<pos: int, g: {open_}, p: {open_}>"
+    def at_borders(xs: Column) -> Column:
+        """Of a struct of both sides, the parts between neighbouring borders."""
+        borders = F.array_sort(F.array_distinct(F.flatten(F.array(xs["g"]["start"], xs["g"]["end"], xs["p"]["start"], xs["p"]["end"]))))
+
+        def between(bs: Column) -> Column:
+            label = lambda side, a: F.coalesce(F.array_max(F.filter(xs[side], lambda s: (s["start"] <= a) & (a < s["end"])))["tag"], F.lit("O"))
+            ends = F.slice(bs, F.lit(2), F.greatest(F.size(bs) - 1, F.lit(0)))
+            return F.transform(ends, lambda e, i: F.transform(F.array(F.get(bs, i)), lambda a: F.struct(label("g", a).alias("g"), label("p", a).alias("p"), (e - a).alias("n")))[0])
+
+        return F.transform(F.array(borders), between)[0]
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(open_).alias("g"), F.array().cast(open_).alias("p"))
     none = F.array().cast(dict(notes.dtypes)["g"])
     notes = notes.select(F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
-    borders = F.array_sort(F.array_distinct(F.flatten(F.array("g.start", "g.end", "p.start", "p.end"))))
-    notes = notes.withColumn("b", borders)
-    parts = notes.select("g", "p", F.explode(F.arrays_zip(F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(0))).alias("a"), F.slice("b", F.lit(2), F.size("b")).alias("e"))).alias("i"))
-    # sorted by ordinal, so the last that covers an interval tells
-    label = lambda spans: F.coalesce(_covering(spans, F.col("i.a"))["tag"], F.lit("O"))
-    rows = parts.select(label("g").alias("g"), label("p").alias("p"), (F.col("i.e") - F.col("i.a")).cast("long").alias("n"))
+    swept = fold(F.sort_array(F.concat(events("g", 1), events("p", 2))), part, pending, start, step, lambda _: F.array().cast(f"array<{part}>"))
+    looked_up = F.transform(F.array(F.struct("g", "p")), at_borders)[0]
+    parts = F.when(F.size("g") + F.size("p") <= FEW, looked_up).otherwise(swept)
+    rows = notes.select(F.explode(parts).alias("i")).select("i.g", "i.p", F.col("i.n").cast("long").alias("n"))
     return _confusion_scores(rows.groupBy("g", "p").agg(F.sum("n").alias("count")))
 
 
-def _covering(spans: str, at: Column) -> Column:
-    return F.try_element_at(F.filter(spans, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(-1))
-
-
 def token_labels(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """note_id, tok_start, tok_end, tag: that of the first span, by ordinal, that overlaps the token; else O."""
     hit = interval_join(tokens.select("note_id", "tok_start", "tok_end"), spans.select("note_id", "span_start", "span_end", "span_tag", "ordinal"), "note_id", ("tok_start", "tok_end"), ("span_start", "span_end"))
