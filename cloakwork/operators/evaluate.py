@@ -169,11 +169,23 @@ def ablation(gold: DataFrame, predicted: DataFrame, configs: Mapping[str, Sequen
 
 
 def power_set(spans: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Every combination of models, named by their sorted names joined with "+", resolved per note; one scan."""
-    combos = ["+".join(c) for k in range(1, len(models) + 1) for c in combinations(sorted(models), k)]
-    member = F.create_map(*(x for m in models for x in (F.lit(m), F.array(*(F.lit(c) for c in combos if m in c.split("+"))))))
-    rows = spans.withColumn("__combo", F.explode(member[F.col("model_name")])).drop("model_name")
-    return resolve_frame(rows, by=("__combo", "note_id")).withColumnRenamed("__combo", "model_name")
+    """Every combination of models, named by their sorted names joined with "+", resolved per note. Other models' spans
+    are left out.
+
+    A note's spans meet once, and all combinations are resolved there; a span is not repeated before the exchange.
+    """
+    rest = [c for c in spans.columns if c not in ("note_id", "model_name")]
+    packed = spans.where(F.col("model_name").isin(list(models))).groupBy("note_id").agg(packed_rows(spans, [*rest, "model_name"]).alias("rows"))
+    kind = dict(packed.dtypes)["rows"]
+    combos = [c for k in range(1, len(models) + 1) for c in combinations(sorted(models), k)]
+    every = F.array(*(F.struct(F.lit("+".join(c)).alias("name"), F.array(*map(F.lit, c)).alias("models")) for c in combos))
+
+    def of(c: Column) -> Column:
+        own = F.filter("rows", lambda r: F.array_contains(c["models"], r["row"]["model_name"]))
+        return F.struct(c["name"].alias("model_name"), resolved_rows(own, kind).alias("rows"))
+
+    each = packed.select("note_id", F.explode(F.transform(every, of)).alias("c")).select("note_id", "c.model_name", F.explode("c.rows").alias("r"))
+    return each.select("model_name", "note_id", *(F.col("r.row")[c].alias(c) for c in rest))
 
 
 #: Spans of a note, both sides together, up to which char_metrics() looks at all of them at each border.
