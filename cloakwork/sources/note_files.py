@@ -115,7 +115,8 @@ def file_name(key: Column) -> Column:
 def write_note_files(df: DataFrame, path: str, key: str, body: Column, distinct: bool = False, mode: str = "overwrite") -> None:
     """body (text) of each row of df as a file <key>.json in path, without an exchange.
 
-    Rows of one key must have the same body; a second, different one is an error where it is seen. distinct: the name
+    Rows of one key must have the same body. overwrite: a second, different one is an error where it is seen; append: it
+    replaces the first, as it does a file of an earlier run, so keys must be unique. distinct: the name
     also has the first 16 digits of the body's SHA-256, so that each different body has a file whatever its key.
     overwrite replaces the folder at the end, by a move, and so needs a store that can move folders; append does not.
 
