@@ -1,8 +1,7 @@
 """Quality rules: base counts of a text, and its divergence from language references.
 
-The references are learned from rows with a language, TRAIN_ROWS of each in expectation, chosen by the MD5 of their
-doc_id: the character-class histogram, and the shares of the COMMON most frequent words and of all others. A text's
-histograms are compared with each language's by the Jensen-Shannon distance (base 2, 0 to 1). A text is kept if, for
+The references are learned from all rows with a text and a language: the character-class histogram, and the shares of
+the COMMON most frequent words and of all others. A text's histograms are compared with each language's by the Jensen-Shannon distance (base 2, 0 to 1). A text is kept if, for
 some language, both distances are small enough; a histogram that too few characters or words made is not judged. All
 operations are DataFrame functions; what is collected from the corpus is COMMON + 7 numbers a language, for every
 language, and the counts of rows a language.
@@ -24,8 +23,10 @@ from cloakwork.llm.shared import cut
 
 SPACE, WHITE = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Bins of a word histogram besides that of all other words, and rows that a language is learned from.
-COMMON, TRAIN_ROWS = 40, 4000
+#: Bins of a word histogram besides that of all other words.
+COMMON = 40
+#: Only of the SQL, which learns a language from about as many of its rows; up to them, from all.
+TRAIN_ROWS = 4000
 #: Distances above which a histogram differs, and how much a text needs to be judged by it.
 CHAR_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_WORDS = 0.3, 0.47, 200, 50
 CLASSES = ("letters", "capitals", "digits", "spaces", "symbols", "others")
@@ -50,17 +51,19 @@ def _counted(docs: DataFrame) -> DataFrame:
     return base.withColumn("classes", F.array(*(F.col(c).cast("double") for c in CLASSES))).drop("rest", "marks")
 
 
-def references(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> list[dict]:
-    """[{lang, classes: shares, words: {word: share}}] learned from docs(doc_id, text, lang)."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy(F.col("lang").alias("l")).count()
-    at = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double")
-    known = known.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(at < F.lit(float(train_rows << 32)) / F.col("count")).select("text", "lang")
-    # written, for it is read twice; rows and size are bounded by the languages
-    known = cut(known, "known")
-    counts = known.select("lang", F.explode(words(F.lower("text"))).alias("w")).groupBy("lang", "w").count()
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= COMMON).select("lang", "w", "count")
-    totals = _counted(known).groupBy("lang").agg(F.sum("n_words").alias("n"), *(F.sum(c).alias(c) for c in CLASSES)).collect()
+def references(docs: DataFrame) -> list[dict]:
+    """[{lang, classes: shares, words: {word: share}}] learned from all rows of docs(text, lang) with both."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+    # written, for it is read twice; one row for each different word, so that classes are counted once a word
+    counts = cut(known.select("lang", F.explode(words(F.col("text"))).alias("w")).groupBy("lang", "w").count(), "words")
+    lower = counts.groupBy("lang", F.lower("w").alias("w")).agg(F.sum("count").alias("count"))
+    best = lower.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).where(F.col("r") <= COMMON).select("lang", "w", "count")
+    each = _counted(counts.select("lang", "count", F.col("w").alias("text")))
+    totals = [r.asDict() for r in each.groupBy("lang").agg(F.sum("count").alias("n"), *(F.sum(F.col(c) * F.col("count")).alias(c) for c in CLASSES)).collect()]
+    # words have no white space: it is what else the texts have
+    chars_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    for r in totals:
+        r["spaces"] = chars_of[r["lang"]] - sum(r[c] for c in CLASSES)
     by = {r["lang"]: r for r in totals if r["n"]}
     found: dict[str, dict[str, int]] = {}
     for r in best.collect():

@@ -43,6 +43,24 @@ def test_quality_counts_equal_brute_force(spark):
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
 
 
+def test_references_are_learned_from_all_rows(spark):
+    r = random.Random(9)
+    odd = ["Aa", "aa", "\u0130x", "b#", "7c", "\u00c9t\u00e9", "--", "\U0001f600"]
+    rows = [(i, r.choice("  \n") + r.choice(" \t").join(r.choice(odd) if r.random() < 0.3 else f"w{r.randrange(60)}" for _ in range(4)), "en" if i % 9 else "fr") for i in range(9000)]
+    rows += [(None, "Aa no number", "en"), (1, None, "en"), (2, "no language", None), (3, " ", "de"), (4, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["lang"]: x for x in quality.references(docs)}
+    assert set(got) == {"en", "fr"}
+    kind = lambda c: "spaces" if c in " \t\n" else "symbols" if c in "#*$%&|<>" else "digits" if c in "0123456789" else "capitals" if unicodedata.category(c) == "Lu" else "letters" if c.isalpha() else "others"
+    for lang, ref in got.items():
+        texts = [t for _, t, x in rows if x == lang and t is not None]
+        seen = Counter(w.lower() for t in texts for w in t.split())
+        chars = Counter(kind(c) for t in texts for c in t)
+        assert ref["classes"] == [chars[c] / chars.total() for c in quality.CLASSES]
+        best = sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]
+        assert ref["words"] == {w: n / seen.total() for w, n in best}
+
+
 def test_quality_rejects_what_is_unlike_any_language(spark):
     good = [prose(s, 200) for s in range(30)]
     symbols = " ".join(w + "###" for w in prose(50, 200).split())
