@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.shared import cut
-from cloakwork.llm.tokens import Encoder, batches
+from cloakwork.llm.tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
@@ -106,8 +106,7 @@ def _pack_part(tokenizer: str, kind: str, end_id: int, size: int, windows: int):
         w = Windows(size, windows, part << PART_BITS)
         for batch in parts:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, [len(t) for t in texts], SLICE):
-                ids, per = encoder.encode(texts[a:b])
+            for a, b, ids, per in encoder.encode_slices(texts, SLICE):
                 ids = ids.astype("<u4")
                 ends = np.cumsum(per)
                 for doc, n, e in zip(docs[a:b], per.tolist(), ends.tolist()):

@@ -13,19 +13,25 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept before the cache starts anew: entries and characters.
 MAX_ENTRIES, MAX_CHARS = 1_200_000, 24_000_000
+#: Slices of texts whose chunks are looked up together.
+AHEAD = 8
 #: Words a call of the tokenizer.
 JOINED = 128
 #: Before a word: a line break, written twice (texts with two white spaces in a row are cut in another way).
 BREAK = "\n\n"
 #: A white space run but for its last character, or a word with the white space before it.
 _CHUNK = re.compile(r"\s+(?!\S)|\s?\S+")
-#: Two white spaces in a row.
-_RUN = re.compile(r"\s\s")
+#: Two white spaces in a row; Arrow's regular expressions know white space of ASCII only, so it is listed.
+_WHITE = "".join(f"\\x{{{i:x}}}" for i in range(1 << 16) if chr(i).isspace())
+_RUN = f"[{_WHITE}][{_WHITE}]"
 #: Separators on which Python and the tokenizers' regex engine disagree.
 _ODD = re.compile(r"[\x1c-\x1f\x85᠎​﻿]")
+_EITHER = f"{_RUN}|{_ODD.pattern}"
 
 
 class Encoder:
@@ -90,7 +96,11 @@ class Encoder:
             return self._add_each(cache, prefix, chunks)
         words: dict[str, list[tuple[str, str, str]]] = {" ": [], "": []}  # by prefix: (chunk, word, mark)
         other = []
-        for c in chunks:
+        simple = [c for c in chunks if c.isalpha()]
+        self._add_words(cache, prefix, simple)
+        for c in chunks if len(simple) < len(chunks) else ():
+            if c.isalpha():
+                continue
             at, body = (prefix, c) if not prefix or c[:2] != BREAK else ("", c[2:])
             word, mark = (body[:-1], body[-1]) if body[-1:] in self.mark_ids else (body, "")
             if word.isalpha() and (at == prefix or not mark):
@@ -145,44 +155,79 @@ class Encoder:
         ids[ends[tail >= 0] - 1] = tail[tail >= 0]
         self._store(cache, chunks, ids, lengths)
 
+    def _split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of texts without two white spaces in a row: the first chunk of each, the places of all others, and how many
+        others each has. Arrow splits the texts and finds equal chunks, so that a chunk is looked up once a call."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " + BREAK), " ")
+        offsets = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = [chunks[c] for c in codes[offsets[:-1]].tolist()]
+        rest = np.delete(codes, offsets[:-1])
+        used = np.zeros(len(chunks), bool)
+        used[rest] = True
+        at = np.zeros(len(chunks), np.int64)
+        at[used] = self._look_up(self.after_space, " ", [chunks[c] for c in np.flatnonzero(used).tolist()])
+        return first, at[rest], np.diff(offsets) - 1
+
     def _look_up(self, cache: dict[str, int], prefix: str, chunks: list[str]) -> np.ndarray:
         got = np.fromiter(map(cache.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(got < 0)
         if len(missing):
-            self._add(cache, prefix, list(dict.fromkeys(chunks[i] for i in missing)))
-            got[missing] = [cache[chunks[i]] for i in missing]
+            new = [chunks[i] for i in missing.tolist()]
+            self._add(cache, prefix, list(dict.fromkeys(new)))
+            got[missing] = np.fromiter(map(cache.get, new), np.int64, len(new))
         return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._gather(*self._places(texts))
+
+    def encode_slices(self, texts: list[str], most: int):
+        """(from, to, ids of all texts, ids per text) of slices of at most `most` characters. Chunks are looked up once
+        for AHEAD slices: a place is 8 bytes a chunk, whereas the ids are gathered by a slice."""
+        sizes = list(map(len, texts))
+        for a, b in batches(texts, sizes, AHEAD * most):
+            places, n = self._places(texts[a:b])
+            at = np.concatenate([[0], np.cumsum(n)])
+            for c, d in batches(texts[a:b], sizes[a:b], most):
+                yield a + c, a + d, *self._gather(places[at[c] : at[d]], n[c:d])
+
+    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the chunks of all texts are, and how many chunks each text has."""
         if self.n > MAX_ENTRIES or self.chars > MAX_CHARS:
             self._clear()
-        spaced: list[list[str]] = []
         plain: list[list[str]] = []
-        for t in texts:
-            if self.kind == "whole" or _ODD.search(t):
+        easy: list[int] = []
+        # of most texts one search tells that they have neither
+        hard = pc.match_substring_regex(pa.array(texts, pa.string()), _EITHER).to_pylist() if self.kind == "byte" else repeat(True)
+        for i, (t, h) in enumerate(zip(texts, hard)):
+            if not h:
+                plain.append([])
+                easy.append(i)
+            elif self.kind == "whole" or _ODD.search(t):
                 plain.append([t] if t else [])
-                spaced.append([])
             elif self.kind == "word":
                 # lower case first, so that a word has one entry; only of a sigma does lower() look at what follows
                 plain.append((t if not self.lowers or "\u03a3" in t else t.lower()).split())
-                spaced.append([])
-            elif _RUN.search(t):
-                plain.append(_CHUNK.findall(t))
-                spaced.append([])
             else:
-                first, *rest = t.replace("\n", " " + BREAK).split(" ")
-                plain.append([first])
-                spaced.append(rest)
+                plain.append(_CHUNK.findall(t))
+        b, n_b = np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        if easy:
+            first, b, n_b[easy] = self._split([texts[i] for i in easy])
+            for i, c in zip(easy, first):
+                plain[i] = [c]
         a = self._look_up(self.plain, "", list(chain.from_iterable(plain)))
-        b = self._look_up(self.after_space, " ", list(chain.from_iterable(spaced)))
         n_a = np.fromiter(map(len, plain), np.int64, len(texts))
-        n_b = np.fromiter(map(len, spaced), np.int64, len(texts))
         # a text's plain chunks come before its spaced ones
         n = n_a + n_b
         begin = np.cumsum(n) - n
         chunks = np.empty(int(n.sum()), np.int64)
         chunks[np.repeat(begin - (np.cumsum(n_a) - n_a), n_a) + np.arange(len(a))] = a
         chunks[np.repeat(begin + n_a - (np.cumsum(n_b) - n_b), n_b) + np.arange(len(b))] = b
+        return chunks, n
+
+    def _gather(self, chunks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.cumsum(n) - n
         lengths = self.length[chunks]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

@@ -33,6 +33,22 @@ def test_encoder_joins_plain_words():
     assert e.encode([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_chunk_is_looked_up_once_a_call(monkeypatch):
+    """Looking up each occurrence was a third of the time of packing."""
+    e = Encoder(PATHS["byte"], "byte")
+    looked_up, look_up = [], e._look_up
+    monkeypatch.setattr(e, "_look_up", lambda cache, prefix, chunks: looked_up.extend(chunks) or look_up(cache, prefix, chunks))
+    words = [f"w{i % 50}" for i in range(20_000)]
+    texts = [" ".join(words), "\n".join(words), "", " ", "w1 ", " w1", "w1\n", "\nw1"] + [f"a{chr(i)}{chr(i)}b c{chr(i)}d" for i in (32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000)]
+    ids, per = e.encode(texts)
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert per.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(looked_up) < 200
+    parts = list(e.encode_slices(texts, 30))
+    assert [x for a, b, _, _ in parts for x in range(a, b)] == list(range(len(texts))) and len(parts) > 4
+    assert np.concatenate([p for *_, p in parts]).tolist() == per.tolist() and np.concatenate([i for _, _, i, _ in parts]).tolist() == ids.tolist()
+
+
 def check_packed(rows, ids_of):
     """Every id of every document lies in one piece, checksums hold, and sequences have no gaps."""
     by_seq, by_doc = {}, {}
