@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Chunks kept before the cache starts anew: entries and characters.
 MAX_ENTRIES, MAX_CHARS = 1_200_000, 24_000_000
 #: Slices of texts whose chunks are looked up together.
-AHEAD = 8
+AHEAD = 2
 #: Words a call of the tokenizer.
 JOINED = 128
 #: Before a word: a line break, written twice (texts with two white spaces in a row are cut in another way).
@@ -168,7 +168,10 @@ class Encoder:
         used[rest] = True
         at = np.zeros(len(chunks), np.int64)
         at[used] = self._look_up(self.after_space, " ", [chunks[c] for c in np.flatnonzero(used).tolist()])
-        return first, at[rest], np.diff(offsets) - 1
+        counts = np.diff(offsets) - 1
+        del parts, coded, offsets, codes
+        pa.default_memory_pool().release_unused()  # a worker that waits keeps what the pool keeps
+        return first, at[rest], counts
 
     def _look_up(self, cache: dict[str, int], prefix: str, chunks: list[str]) -> np.ndarray:
         got = np.fromiter(map(cache.get, chunks, repeat(-1)), np.int64, len(chunks))
