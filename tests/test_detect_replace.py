@@ -137,6 +137,42 @@ def test_fpe_vectors_and_round_trip(spark):
     assert (found[""], found["--"], found[None]) == ("", "--", None) and [len(found["12"]), len(found["9" * 60])] == [2, 64]
 
 
+def test_fpe_of_arrays(spark):
+    """The texts of an array go through each round together: nulls, texts without content, short, long and very long ones."""
+    key, digits, letters = bytes.fromhex("EF4359D8D580AA4F7F036D6F04FC6A94"), "0123456789", "0123456789abcdefghijklmnop"
+    vectors = [
+        ("D8E7920AFA330A73", digits, "890121234567890000", "750918814058654607"),
+        (None, digits, "890121234567890000", None),
+        ("9A768A92F60E12D8", letters, "0123456789abcdefghi", "g2pk40i992fn20cjakb"),
+        ("9A768A92F60E12D8", digits, None, None),
+        ("D8E7920AFA330A73", digits, "89012123456789000000789000000", "48598367162252569629397416226"),
+        ("9A768A92F60E12D8", digits, "890121234567890000", "018989839189395384"),
+    ]
+    kind = "array<struct<text: string, tweak: string, alphabet: string>>"
+    for column, other, decrypt in ((2, 3, False), (3, 2, True)):
+        df = spark.createDataFrame([([(v[column], v[0], v[1]) for v in vectors],)], f"i {kind}")
+        assert df.select(fpe.ff3_all(F.col("i"), key, decrypt).alias("x")).first()["x"] == [v[other] if v[3] else None for v in vectors]
+    content = digits + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [None, "", "--", *("9" * n for n in range(1, 60, 4)), *("".join(content[i * n * 7 % 62] for i in range(n)) + "-Z" for n in range(1, 34))]
+    df = spark.createDataFrame([(texts,)], "t array<string>").select("t", fpe.encrypt_all(F.col("t"), KEYS).alias("e"))
+    row = df.select("t", "e", fpe.decrypt_all(F.col("e"), KEYS).alias("d")).first()
+    single = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fpe.encrypt(F.col("t"), KEYS).alias("e")).collect()
+    assert row["e"] == [r["e"] for r in sorted(single)]
+    size = lambda t: len(re.sub("[^0-9A-Za-z]", "", t))
+    assert all(d == t for t, d in zip(texts, row["d"]) if t is None or size(t) == 0 or (6 if re.sub("[^0-9A-Za-z]", "", t).isdigit() else 4) <= size(t) <= 32)
+
+
+def test_rows_in_blocks_are_dealt_out(spark):
+    """A file that is one task is dealt out, whole, in arrays that are neither long nor one a task."""
+    rows = spark.range(0, 9000, 1, 1).select("id", F.col("id").cast("string").alias("t"))
+    blocks = fpe.in_blocks(rows)
+    assert blocks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = blocks.select(F.spark_partition_id().alias("p"), "rows").collect()
+    assert max(len(r["rows"]) for r in found) <= fpe.BLOCK and len({r["p"] for r in found}) > 1
+    assert sorted(x["id"] for r in found for x in r["rows"]) == list(range(9000)) and all(x["t"] == str(x["id"]) for r in found for x in r["rows"])
+    assert fpe.in_blocks(rows.limit(0)).count() == 0
+
+
 def test_names_and_places():
     n = names.Namer(KEYS, names.default_names())
     assert n.replace("Dr. John van SMITH, MD").startswith("Dr. ") and n.replace("Dr. John van SMITH, MD").endswith(", MD") and " van " in n.replace("Dr. John van SMITH, MD")
