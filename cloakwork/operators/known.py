@@ -42,7 +42,7 @@ GAPS = {"PATIENT": 1, "LOCATION": 3}
 def fold(text: str) -> str:
     """Lower case, one character for each, so that offsets hold."""
     low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
 def usable(kind: str, values: Sequence[str | None], stopwords: frozenset[str]) -> list[str]:
@@ -66,16 +66,23 @@ def automaton(identifiers: Mapping[str, Sequence[str] | None], stopwords: frozen
         return None
     found = ahocorasick.Automaton()
     for w, types in words.items():
-        found.add_word(w, (len(w), sorted(types)))
+        found.add_word(w, (w, sorted(types)))
     found.make_automaton()
     return found
 
 
-def occurrences(found, text: str | None) -> list[tuple[str, int, int]]:
-    """(entity type, start, end) of every occurrence, overlapping ones too."""
+def occurrences(found, text: str | None, overlapping: bool = True) -> list[tuple[str, int, int]]:
+    """(entity type, start, end) of every occurrence; without overlapping, those of one value from the left that don't."""
     if found is None or not text:
         return []
-    return sorted((t, e - n + 1, e + 1) for e, (n, types) in found.iter(fold(text)) for t in types)
+    out: list[tuple[str, int, int]] = []
+    ends: dict[str, int] = {}
+    for e, (w, types) in found.iter(fold(text)):
+        start = e + 1 - len(w)
+        if overlapping or start >= ends.get(w, 0):
+            ends[w] = e + 1
+            out += ((t, start, e + 1) for t in types)
+    return sorted(out)
 
 
 def hits(text: str, identifiers: dict[str, Sequence[str]], stopwords: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
@@ -111,7 +118,7 @@ NOTES = 2000
 _HIT = "array<struct<entity_type: string, start: int, end: int>>"
 
 
-def _by_patient(stopwords: frozenset[str]):
+def _by_patient(stopwords: frozenset[str], overlapping: bool = True):
     """Rows (patient, salt, place, identifiers, row, text), sorted: identifiers (place 0), then notes (place 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +136,20 @@ def _by_patient(stopwords: frozenset[str]):
                 if not built:
                     found, built = automaton(given, stopwords), True
                 notes.append(i)
-                spans.append([{"entity_type": t, "start": s, "end": e} for t, s, e in occurrences(found, text)])
+                spans.append([{"entity_type": t, "start": s, "end": e} for t, s, e in occurrences(found, text, overlapping)])
             kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(notes, pa.int64())), pa.array(spans, kind)], ["row", "found"])
 
     return run
 
 
-def known_by_patient(notes: DataFrame, patients: DataFrame, patient: str = "patient_uid", stopwords: Sequence[str] = (), merge: bool = True) -> DataFrame:
+def known_by_patient(notes: DataFrame, patients: DataFrame, patient: str = "patient_uid", stopwords: Sequence[str] = (), merge: bool = True, overlapping: bool = True) -> DataFrame:
     """notes(patient, note_text, ...) with spans of their patient's identifiers: patients(patient, identifiers), a map of
     kinds to values.
 
     Notes are dealt out by patient, those of a patient with very many in parts of about NOTES; each part meets the
-    patient's identifiers once, and one automaton serves all its notes.
+    patient's identifiers once, and one automaton serves all its notes. For masking, occurrences of a value that overlap
+    ("anana" in "ananana") are needed, all of them; for counting, overlapping=False leaves those from the left.
 
     Defined cases: a note without patient, or whose patient has no identifiers, has no spans, nor has a null text; a
     patient of several rows has all their identifiers; no note is dropped.
@@ -158,7 +166,7 @@ def known_by_patient(notes: DataFrame, patients: DataFrame, patient: str = "pati
     rows = dealt.select("patient", "salt", F.lit(1).alias("place"), none.alias("identifiers"), "row", "text").unionByName(heads, allowMissingColumns=True)
     out = T.StructType([T.StructField("row", whole.schema["row"].dataType), T.StructField("found", T._parse_datatype_string(_HIT))])
     sorted_ = rows.repartition(F.xxhash64("patient", "salt")).sortWithinPartitions("patient", "salt", "place")
-    found = sorted_.mapInArrow(_by_patient(stop), out)
+    found = sorted_.mapInArrow(_by_patient(stop, overlapping), out)
     rest = whole.where(F.col("patient").isNull()).select("row", F.array().cast(_HIT).alias("found"))
     found = found.unionByName(rest)
     return found.select("row.*", _spans(F.col("found"), F.coalesce(F.col("row.note_text").cast("string"), F.lit("")), merge).alias("spans"))

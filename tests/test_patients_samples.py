@@ -1,9 +1,11 @@
 """A patient's automaton, built once for many notes, and samples that do not depend on partitions."""
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cloakwork.operators import known
+from cloakwork.plans import catalogue
 from cloakwork.sources import io
 
 NOTES = "id long, patient_uid string, note_text string"
@@ -44,6 +46,18 @@ def test_an_automaton_serves_all_notes_of_a_part(monkeypatch):
     assert all(len(s) == 2 for b in out for s in b.column(1).to_pylist())
 
 
+def test_occurrences_of_a_value_that_overlap(spark, tmp_path):
+    """Masking takes all of them; the query counts as its SQL does, also on nulls and on letters whose lower case is longer."""
+    assert known.hits("ontiontion", {"mrn": ["ontion"]}) == [("MRN", 0, 6), ("MRN", 4, 10)]
+    assert known.occurrences(known.automaton({"mrn": ["ontion", "nti"]}), "Ontiontiontion", False) == [("MRN", 0, 6), ("MRN", 1, 4), ("MRN", 5, 8), ("MRN", 8, 14), ("MRN", 9, 12)]
+    rows = [(1, 0, "Ontion, tretre"), (1, 1, "ontiontion tretretre tretretretre"), (2, 0, None), (2, 1, "abcabcabc abcdef"), (2, 2, "abcabcabcabcdefabc"), (3, None, "zzzzzz"), (3, 1, "yyyyyy"), (3, 2, "yyyyyyyyyyyyy zzzzzz"), (4, 0, "İstanbul"), (4, 0, "istanbul"), (4, 1, "İSTANBULİstanbul"), (None, 0, "nobody nobody")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, catalogue.queries()["known_values_by_patient"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(db.execute(catalogue.oracle_sql()["known_values_by_patient"]).fetchall()) and (1, 1, "ontion", 1) in got
+
+
 def test_bottom_k(spark):
     df = spark.range(3000).select("id", (F.col("id") % 700).alias("key"), (F.col("id") % 3).cast("string").alias("g"))
     one, many = (sorted(map(tuple, io.bottom_k(df.repartition(n), 40, "key", seed=3).collect())) for n in (1, 64))
