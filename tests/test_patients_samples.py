@@ -52,10 +52,10 @@ def test_occurrences_of_a_value_that_overlap(spark, tmp_path):
     assert known.occurrences(known.automaton({"mrn": ["ontion", "nti"]}), "Ontiontiontion", False) == [("MRN", 0, 6), ("MRN", 1, 4), ("MRN", 5, 8), ("MRN", 8, 14), ("MRN", 9, 12)]
     rows = [(1, 0, "Ontion, tretre"), (1, 1, "ontiontion tretretre tretretretre"), (2, 0, None), (2, 1, "abcabcabc abcdef"), (2, 2, "abcabcabcabcdefabc"), (3, None, "zzzzzz"), (3, 1, "yyyyyy"), (3, 2, "yyyyyyyyyyyyy zzzzzz"), (4, 0, "İstanbul"), (4, 0, "istanbul"), (4, 1, "İSTANBULİstanbul"), (None, 0, "nobody nobody")]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = sorted(map(tuple, catalogue.queries()["known_values_by_patient"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, catalogue.queries()["known_values_by_patient"](spark, str(tmp_path)).collect()), key=str)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
-    assert got == sorted(db.execute(catalogue.oracle_sql()["known_values_by_patient"]).fetchall()) and (1, 1, "ontion", 1) in got
+    assert got == sorted(db.execute(catalogue.oracle_sql()["known_values_by_patient"]).fetchall(), key=str) and (1, 1, "ontion", 1) in got
 
 
 def test_bottom_k(spark):
